@@ -1,9 +1,14 @@
 """Payloads to typed rows.
 
-Two forms of the same steps exist. ``explode_records``, ``sort_newest_first`` and
-``top_n_per_key`` work on rows and serve any record table. The array functions work
-inside one payload: a payload is a single row, so its records can be sorted, cut and
-counted without a shuffle, and this is what the dataset views use.
+Two forms of the same steps exist. ``top_n_per_key`` and ``record_totals`` work on rows
+and serve any record table. The functions that take snapshots work inside one payload:
+it is a single row, so its records can be sorted and cut without a shuffle, and this
+is what the dataset views use.
+
+The decoded payload is a column of its own, used twice in the next step. Spark then
+keeps the two steps apart and decodes every payload once. A filter on the decoded
+column would be pushed below that step and decode a second time; rows without records
+are dropped by exploding instead.
 """
 
 from __future__ import annotations
@@ -14,114 +19,88 @@ from snapfolio.catalog import ENVELOPE, NESTED_MAP, NESTED_OBJECT, RECORDS, Data
 from snapfolio.functions import decode_payload, payload_kind
 from snapfolio.operators.ranking import DEFAULT_SALTS, top_per_key
 
-# --- inside one payload -------------------------------------------------------
 
+def _any_value(record: Column, keys: list[str]) -> Column:
+    return F.coalesce(*[record[k].cast("string") for k in keys]).isNotNull()
 
-def _null_safe_kind(raw: Column, kind: str, value: Column) -> Column:
-    """``value`` if the payload has the right outer form. ``from_json`` would turn an
-    object into an array of one record."""
-    return F.when(payload_kind(raw) == kind, value)
 
+def _any_key(maps: Column, keys: list[str]) -> Column:
+    """Whether any of the objects has any of the keys, also with a null value."""
+    none = F.array().cast("array<string>")
+    found = F.flatten(F.transform(maps, lambda m: F.coalesce(F.map_keys(m), none)))
+    return F.coalesce(F.arrays_overlap(found, F.array(*map(F.lit, keys))), F.lit(False))
 
-def _known_keys_present(raw: Column, spec: DatasetSpec) -> Column:
-    """Whether any record has any displayed key, also with a null value."""
-    maps = decode_payload(raw, "ARRAY<MAP<STRING, STRING>>")
-    keys = F.flatten(F.transform(maps, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
-    return F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, spec.keys))), F.lit(False))
 
+def decoded_records(
+    snapshots: DataFrame, spec: DatasetSpec, record_ddl: str | None = None
+) -> DataFrame:
+    """``symbol`` and ``records``, the array of a snapshot's records in payload order.
 
-def _any_value(record: Column, spec: DatasetSpec) -> Column:
-    return F.coalesce(*[record[k].cast("string") for k in spec.keys]).isNotNull()
-
-
-def record_array(raw: Column, spec: DatasetSpec) -> Column:
-    """All records of a payload in payload order, each with its position ``pos``.
-
-    NULL for a payload of the wrong shape, and for one whose records have none of the
-    displayed keys. A declared type cannot tell a missing key from a null value, so
+    ``records`` is NULL for a payload of the wrong outer form (``from_json`` would turn
+    an object into an array of one record) and for one whose records have none of
+    the displayed keys. A declared type cannot tell a missing key from a null value, so
     the keys themselves are looked up, but only where every value is NULL.
     """
+    if spec.shape == NESTED_MAP:
+        raise ValueError(f"{spec.data_type}: a map of maps has no record array")
+    record_ddl = record_ddl or spec.record_ddl
+    raw, decoded = F.col("raw_data"), F.col("_decoded")
     if spec.shape in (RECORDS, ENVELOPE):
-        decoded = _null_safe_kind(raw, "array", decode_payload(raw, spec.payload_ddl))
-        records = F.transform(
-            decoded, lambda r, i: F.struct(i.cast("long").alias("pos"), r.alias("record"))
-        )
-        shown = F.exists(records, lambda r: _any_value(r["record"], spec)) | _known_keys_present(
-            raw, spec
-        )
-        return F.when(shown, records)
-    if spec.shape == NESTED_OBJECT:
-        keyed = f"STRUCT<`{spec.member}`: MAP<STRING, STRING>>"
-        keys = F.map_keys(decode_payload(raw, keyed)[spec.member])
-        record = decode_payload(raw, spec.payload_ddl)[spec.member]
-        shown = (payload_kind(raw) == "object") & F.arrays_overlap(
-            keys, F.array(*map(F.lit, spec.keys))
-        )
-        return F.when(
-            shown, F.array(F.struct(F.lit(0).cast("long").alias("pos"), record.alias("record")))
-        )
-    return _breakdown_array(raw, spec)
+        kind, value = "array", decode_payload(raw, f"ARRAY<{record_ddl}>")
+        maps = decode_payload(raw, "ARRAY<MAP<STRING, STRING>>")
+    else:
+        nested = f"STRUCT<`{spec.member}`: {record_ddl}>"
+        kind, value = "object", F.array(decode_payload(raw, nested)[spec.member])
+        nested_map = f"STRUCT<`{spec.member}`: MAP<STRING, STRING>>"
+        maps = F.array(decode_payload(raw, nested_map)[spec.member])
+    shown = F.exists(decoded, lambda r: _any_value(r, spec.keys)) | _any_key(maps, spec.keys)
+    return snapshots.select(
+        "symbol", "raw_data", F.when(payload_kind(raw) == kind, value).alias("_decoded")
+    ).select("symbol", F.when(shown, decoded).alias("records"))
+
+
+def explode_records(
+    snapshots: DataFrame, spec: DatasetSpec, record_ddl: str | None = None
+) -> DataFrame:
+    """Every record of every snapshot: ``symbol, pos`` and its keys."""
+    return (
+        decoded_records(snapshots, spec, record_ddl)
+        .select("symbol", F.posexplode("records").alias("pos", "_r"))
+        .select("symbol", F.col("pos").cast("long").alias("pos"), "_r.*")
+    )
 
 
-def _breakdown_array(raw: Column, spec: DatasetSpec) -> Column:
-    """The (period, segment, value) triples of a map of maps, newest period first.
+def sort_newest_first(
+    snapshots: DataFrame, spec: DatasetSpec, first: int | None = None
+) -> DataFrame:
+    """Records with ``rank``, their place in display order, all or the ``first`` ones.
 
-    A map promises no order, so ``pos`` counts in the order (period desc, segment asc).
+    Newest means the greatest sort key as text, NULL last, equal ones by position;
+    without a sort key it is the payload order.
     """
-    breakdown = decode_payload(raw, spec.payload_ddl)[spec.member]
-
-    def of_period(period: Column) -> Column:
-        return F.transform(
-            F.array_sort(F.map_keys(breakdown[period])),
-            lambda segment: F.struct(
-                period.alias("period"), segment.alias("segment"),
-                breakdown[period][segment].alias("value"),
-            ),
+    rows = decoded_records(snapshots, spec)
+
+    def cut(records: Column) -> Column:
+        return records if first is None else F.slice(records, 1, first)
+
+    if spec.sort_key is None:
+        exploded = rows.select("symbol", F.posexplode(cut(F.col("records"))).alias("_i", "record"))
+        pos = F.col("_i")
+    else:
+        # Descending by (key, -position) puts NULL keys last and keeps equal keys in order.
+        keyed = F.transform(
+            "records",
+            lambda r, i: F.struct(r[spec.sort_key].alias("key"), (-i).alias("back"), r.alias("record")),
         )
-
-    periods = F.filter(F.sort_array(F.map_keys(breakdown), asc=False), lambda p: breakdown[p].isNotNull())
-    triples = F.flatten(F.transform(periods, of_period))
-    numbered = F.transform(
-        triples, lambda t, i: F.struct(i.cast("long").alias("pos"), t.alias("record"))
-    )
-    return F.when((payload_kind(raw) == "object") & (F.size(triples) > 0), numbered)
-
-
-def newest_first_array(records: Column, spec: DatasetSpec) -> Column:
-    """Sort by the sort key as text, newest first, NULL last, equal ones by position."""
-    if spec.sort_key is None or spec.shape == NESTED_MAP:
-        return records
-    keyed = F.transform(
-        records,
-        lambda r: F.struct(
-            r["record"][spec.sort_key].alias("key"), (-r["pos"]).alias("back"),
-            r["record"].alias("record"),
-        ),
-    )
-    return F.transform(
-        F.sort_array(keyed, asc=False),
-        lambda r: F.struct((-r["back"]).alias("pos"), r["record"].alias("record")),
-    )
-
-
-# --- on rows ------------------------------------------------------------------
-
-
-def explode_records(snapshots: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Every record of every snapshot: ``symbol, pos`` and the declared keys."""
-    return (
-        snapshots.withColumn("_records", record_array(F.col("raw_data"), spec))
-        .select("symbol", F.explode("_records").alias("_r"))
-        .select("symbol", "_r.pos", "_r.record.*")
-    )
-
-
-def sort_newest_first(snapshots: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Every record with ``rank``, its place in display order, sorted within its payload."""
-    records = newest_first_array(record_array(F.col("raw_data"), spec), spec)
-    return (
-        snapshots.select("symbol", F.posexplode(records).alias("_i", "_r"))
-        .select("symbol", (F.col("_i") + 1).cast("long").alias("rank"), "_r.pos", "_r.record.*")
+        exploded = rows.select(
+            "symbol", F.posexplode(cut(F.sort_array(keyed, asc=False))).alias("_i", "_r")
+        ).select("symbol", "_i", "_r.back", "_r.record")
+        pos = -F.col("back")
+    return exploded.select(
+        "symbol",
+        (F.col("_i") + 1).cast("long").alias("rank"),
+        pos.cast("long").alias("pos"),
+        "record.*",
     )
 
 
@@ -142,7 +121,10 @@ def extract_nested_object(snapshots: DataFrame, member: str, ddl: str) -> DataFr
 
 
 def flatten_nested_map(snapshots: DataFrame, member: str) -> DataFrame:
-    """A map of maps as rows (symbol, period, segment, value); null values are kept."""
+    """A map of maps as rows (symbol, period, segment, value); null values are kept.
+
+    A map promises no order, so the rows have no position.
+    """
     value = decode_payload(
         F.col("raw_data"), f"STRUCT<`{member}`: MAP<STRING, MAP<STRING, DOUBLE>>>"
     )[member]

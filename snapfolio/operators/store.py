@@ -7,11 +7,14 @@ is used where it exists, so that planning need not read payloads.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snapfolio.catalog import spec_for
 from snapfolio.functions import has_content
 from snapfolio.operators.ranking import DEFAULT_SALTS, top_per_key
+from snapfolio.sources.scratch import written
 
 STORE_DDL = (
     "id BIGINT, data_type STRING, symbol STRING, last_updated TIMESTAMP_NTZ, "
@@ -34,32 +37,74 @@ def of_type(store: DataFrame, data_type: str) -> DataFrame:
     return store.filter(F.col("data_type") == data_type)
 
 
+def newest_versions(store: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Time, id and, where known, usability of the newest snapshot per key.
+
+    Payloads are not read. Every task sends one narrow row per key, so even a key that
+    is in every file costs its reducer next to nothing.
+    """
+    version = ["last_updated", "id", *(["usable"] if "usable" in store.columns else [])]
+    newest = store.groupBy(*keys).agg(F.max(F.struct(*version)).alias("_v"))
+    return newest.select(*keys, "_v.*")
+
+
+def _latest(
+    store: DataFrame, data_type: str | None, how: str, salts: int, only_usable: bool
+) -> DataFrame:
+    if data_type is None:
+        keys = list(KEY)
+    else:
+        store, keys = of_type(store, data_type), ["symbol"]
+    if how == "lookup":
+        newest = newest_versions(store, keys)
+        if only_usable and "usable" in newest.columns:
+            newest = newest.filter("usable")
+        on = [*keys, "last_updated", "id"]
+        latest = store.join(written(newest.select(on), "newest"), on, "left_semi")
+        latest = latest.select(store.columns)
+    elif how == "rank":
+        latest = top_per_key(store, keys, newest_first(), 1, rank=None, salts=salts)
+    else:
+        raise ValueError(f"unknown way to find the latest: {how!r}")
+    return latest.filter(usable_flag(latest)) if only_usable else latest
+
+
 def latest_snapshot(
-    store: DataFrame, data_type: str | None = None, salts: int = DEFAULT_SALTS
+    store: DataFrame,
+    data_type: str | None = None,
+    how: str = "lookup",
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """The newest snapshot of every (data type, symbol), or of every symbol of one type.
 
-    With ``data_type`` the work is keyed by symbol alone, so whatever follows per
-    symbol finds its rows already in place.
+    ``how="lookup"`` is for stored tables. Batches usually hold a key once each, so
+    dropping old payloads before a shuffle would drop nothing, and ranking would
+    shuffle the whole store. Instead the newest (time, id) per key is found without
+    payloads and written to the scratch folder. Its size is then known, and Spark
+    joins it by broadcast if it is below ``spark.sql.autoBroadcastJoinThreshold``, so that
+    payloads are never shuffled; beyond that it joins by (key, time, id), in which no
+    key is hot. Ids have to be unique within a key and time.
+
+    ``how="rank"`` ranks whole rows. It reads its input once and starts no job, which
+    suits computed and small DataFrames. ``salts=1`` suits keys with few snapshots.
     """
-    if data_type is None:
-        return top_per_key(store, KEY, newest_first(), 1, rank=None, salts=salts)
-    one = of_type(store, data_type)
-    return top_per_key(one, ["symbol"], newest_first(), 1, rank=None, salts=salts)
+    return _latest(store, data_type, how, salts, only_usable=False)
 
 
 def nonempty_latest(
-    store: DataFrame, data_type: str | None = None, salts: int = DEFAULT_SALTS
+    store: DataFrame,
+    data_type: str | None = None,
+    how: str = "lookup",
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Keys whose newest snapshot is not empty. An older snapshot never stands in for it."""
-    latest = latest_snapshot(store, data_type, salts)
-    return latest.filter(usable_flag(latest))
+    return _latest(store, data_type, how, salts, only_usable=True)
 
 
-def usable_keys(store: DataFrame, salts: int = DEFAULT_SALTS) -> DataFrame:
+def usable_keys(store: DataFrame) -> DataFrame:
     """The keys of ``nonempty_latest`` without their payloads."""
     narrow = store.select(*KEY, "last_updated", "id", usable_flag(store).alias("usable"))
-    return latest_snapshot(narrow, salts=salts).filter("usable").select(*KEY)
+    return newest_versions(narrow).filter("usable").select(*KEY)
 
 
 def cache_summary(store: DataFrame) -> DataFrame:

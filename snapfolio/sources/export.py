@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from snapfolio.catalog import NESTED_MAP, NESTED_OBJECT, DatasetSpec
 from snapfolio.functions import decode_payload, encode_payload, payload_kind
 from snapfolio.operators.ranking import DEFAULT_SALTS
-from snapfolio.operators.shaping import record_array
+from snapfolio.operators.shaping import explode_records, flatten_nested_map
 from snapfolio.operators.store import latest_snapshot, nonempty_latest
 
 # Quotes are doubled, so that text with commas, quotes and line ends survives.
@@ -29,13 +29,15 @@ def select_export_keys(df: DataFrame, keys: Sequence[str] | DataFrame | None = N
     return df.filter(F.col("symbol").isin(list(keys)))
 
 
-def infer_record_type(store: DataFrame, spec: DatasetSpec) -> str:
+def infer_record_type(store: DataFrame, spec: DatasetSpec, how: str = "lookup") -> str:
     """The type of all payload keys of a data type, as found in the newest payloads.
 
     Runs a job; only the type comes back to the driver. Keys of the catalogue keep
     their declared type and come first, other keys follow by name.
     """
-    latest = nonempty_latest(store, spec.data_type)
+    if spec.shape == NESTED_MAP:
+        return spec.record_ddl
+    latest = nonempty_latest(store, spec.data_type, how)
     records = decode_payload(F.col("raw_data"), "ARRAY<VARIANT>")
     if spec.shape == NESTED_OBJECT:
         value = decode_payload(F.col("raw_data"), f"STRUCT<`{spec.member}`: VARIANT>")[spec.member]
@@ -62,42 +64,23 @@ def export_records(
     spec: DatasetSpec,
     keys: Sequence[str] | DataFrame | None = None,
     record_ddl: str | None = None,
+    how: str = "lookup",
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """All records of the newest snapshot of the chosen symbols, with the payload's key
     names, in payload order (``pos``). Keys whose newest snapshot is empty have none.
 
     The declared keys are exported; ``record_ddl`` (see ``infer_record_type``) adds
-    others. Maps of maps become period, segment and value.
+    others. Maps of maps become period, segment and value, which have no position.
     """
     if isinstance(keys, DataFrame):
         # After the reduction to one row per key, so that no key is hot in the join.
-        latest = select_export_keys(latest_snapshot(store, spec.data_type, salts), keys)
-    else:
-        latest = latest_snapshot(select_export_keys(store, keys), spec.data_type, salts)
-    if record_ddl is None:
-        records = record_array(F.col("raw_data"), spec)
+        latest = select_export_keys(latest_snapshot(store, spec.data_type, how, salts), keys)
     else:
-        records = _records_of_type(F.col("raw_data"), spec, record_ddl)
-    return (
-        latest.select("symbol", F.explode(records).alias("_r"))
-        .select("symbol", "_r.pos", "_r.record.*")
-    )
-
-
-def _records_of_type(raw: Column, spec: DatasetSpec, record_ddl: str) -> Column:
+        latest = latest_snapshot(select_export_keys(store, keys), spec.data_type, how, salts)
     if spec.shape == NESTED_MAP:
-        raise ValueError("a map of maps has no record type")
-    if spec.shape == NESTED_OBJECT:
-        record = decode_payload(raw, f"STRUCT<`{spec.member}`: {record_ddl}>")[spec.member]
-        decoded = F.when(record.isNotNull(), F.array(record))
-        kind = "object"
-    else:
-        decoded, kind = decode_payload(raw, f"ARRAY<{record_ddl}>"), "array"
-    numbered = F.transform(
-        decoded, lambda r, i: F.struct(i.cast("long").alias("pos"), r.alias("record"))
-    )
-    return F.when(payload_kind(raw) == kind, numbered)
+        return flatten_nested_map(latest, spec.member)
+    return explode_records(latest, spec, record_ddl)
 
 
 def export_path(directory: str, data_type: str, run: str) -> str:
@@ -144,7 +127,10 @@ def write_export(
     if layout not in ("flat", "symbol"):
         raise ValueError(f"unknown layout {layout!r}")
     rows = _flat_columns(records) if fmt == "csv" else records
-    order = ["symbol", "pos"] if "pos" in rows.columns else ["symbol"]
+    if "pos" in rows.columns:
+        order = [F.asc("symbol"), F.asc("pos")]
+    else:
+        order = [F.asc("symbol"), F.desc("period"), F.asc("segment")]
     writer = (
         rows.sortWithinPartitions(*order)
         .write.mode("errorifexists")
@@ -170,8 +156,9 @@ def export_all_keys(
     fmt: str = "csv",
     layout: str = "symbol",
     record_ddl: str | None = None,
+    how: str = "lookup",
 ) -> str:
     """Export the chosen symbols of a data type in one job; returns the folder written."""
     path = export_path(directory, spec.data_type, run)
-    write_export(export_records(store, spec, keys, record_ddl), path, fmt=fmt, layout=layout)
+    write_export(export_records(store, spec, keys, record_ddl, how), path, fmt=fmt, layout=layout)
     return path

@@ -101,7 +101,7 @@ def stream_latest_snapshot(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_snapshot(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        latest_snapshot(batch, how="rank").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (
         snapshots.writeStream.outputMode("append")

@@ -21,7 +21,7 @@ def main() -> None:
     names = sys.argv[2:] or list(queries())
     spark = build_session(
         "check", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8",
-                    "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+                    "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(sf_dir), oracle_sql(), 0

@@ -330,14 +330,13 @@ def oracle_sql() -> dict[str, str]:
         "export_records_all_payload_keys": f"""
             SELECT symbol, pos, {_keys('metrics')}, 'USD' AS currency
             FROM ({records_sql('metrics')}) AS r""",
-        "export_breakdown": f"""
-            SELECT symbol, ROW_NUMBER() OVER (PARTITION BY symbol
-                       ORDER BY period DESC, segment) - 1 AS pos, period, segment, value
-            FROM ({BREAKDOWN}) AS b""",
+        "export_breakdown": f"SELECT symbol, period, segment, value FROM ({BREAKDOWN}) AS b",
         "select_export_keys": f"""
             SELECT symbol, pos, {_keys('growth')} FROM ({records_sql('growth')}) AS r
             WHERE symbol IN (SELECT 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier
                              WHERE s_acctbal > 5000)""",
+        "view_price_from_store": view_sql("price"),
+        "export_csv_from_store": f"SELECT symbol, pos, {_keys('splits')} FROM ({records_sql('splits')}) AS r",
         # Streams
         "stream_ingest": INGESTED,
         "stream_request_counts": """

@@ -186,9 +186,20 @@ def ingested_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- shaping --------------------------------------------------------------------
 
 
+# The snapshots of the fixtures are computed, two per symbol: rank them, reading them once.
+ONCE = {"how": "rank", "salts": 1}
+
+
 def _latest(spark: SparkSession, sf_dir: str, data_type: str) -> tuple[DataFrame, DatasetSpec]:
     snapshots = fixtures.snapshots(spark, sf_dir, data_type)
-    return store.latest_snapshot(snapshots, data_type), spec_for(data_type)
+    return store.latest_snapshot(snapshots, data_type, **ONCE), spec_for(data_type)
+
+
+def _stored(spark: SparkSession, sf_dir: str, data_type: str) -> DataFrame:
+    """The snapshots written as a store, and read back from it."""
+    path = new_folder(spark, "store")
+    store_table.append_snapshot(fixtures.snapshots(spark, sf_dir, data_type), path)
+    return store_table.scan_snapshots(spark, path, data_type)
 
 
 def explode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,12 +265,12 @@ def payload_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def totals_of_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view_totals(fixtures.snapshots(spark, sf_dir, "targets"), spec_for("targets"))
+    return view_totals(fixtures.snapshots(spark, sf_dir, "targets"), spec_for("targets"), **ONCE)
 
 
 def _view(spec: DatasetSpec) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return dataset_view(fixtures.snapshots(spark, sf_dir, spec.data_type), spec)
+        return dataset_view(fixtures.snapshots(spark, sf_dir, spec.data_type), spec, **ONCE)
 
     return query
 
@@ -274,7 +285,7 @@ def _record_schema(spec: DatasetSpec, *lead: str) -> str:
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, path = spec_for("grades"), new_folder(spark, "csv")
     export.export_csv(
-        export.export_records(fixtures.snapshots(spark, sf_dir, "grades"), spec), path
+        export.export_records(fixtures.snapshots(spark, sf_dir, "grades"), spec, **ONCE), path
     )
     schema = _record_schema(spec, "symbol STRING", "pos BIGINT")
     return spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
@@ -284,7 +295,7 @@ def export_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = spec_for("cashflow")
     path = export.export_all_keys(
         fixtures.snapshots(spark, sf_dir, "cashflow"), spec, new_folder(spark, "exports"),
-        run="20240601_120000",
+        run="20240601_120000", how="rank",
     )
     schema = _record_schema(spec, "pos BIGINT") + ", symbol STRING"
     return spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
@@ -297,18 +308,31 @@ def export_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.export_records(fixtures.snapshots(spark, sf_dir, "holders"), spec_for("holders"))
+    snapshots = fixtures.snapshots(spark, sf_dir, "holders")
+    return export.export_records(snapshots, spec_for("holders"), **ONCE)
 
 
 def export_records_all_payload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots, spec = fixtures.snapshots(spark, sf_dir, "metrics"), spec_for("metrics")
-    return export.export_records(
-        snapshots, spec, record_ddl=export.infer_record_type(snapshots, spec)
-    )
+    record_ddl = export.infer_record_type(snapshots, spec, how="rank")
+    return export.export_records(snapshots, spec, record_ddl=record_ddl, **ONCE)
 
 
 def export_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.export_records(fixtures.snapshots(spark, sf_dir, "revenue"), spec_for("revenue"))
+    snapshots = fixtures.snapshots(spark, sf_dir, "revenue")
+    return export.export_records(snapshots, spec_for("revenue"), **ONCE)
+
+
+def view_price_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write, look up and show: the whole way through a stored table."""
+    return dataset_view(_stored(spark, sf_dir, "price"), spec_for("price"))
+
+
+def export_csv_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, path = spec_for("splits"), new_folder(spark, "csv")
+    export.export_csv(export.export_records(_stored(spark, sf_dir, "splits"), spec), path)
+    schema = _record_schema(spec, "symbol STRING", "pos BIGINT")
+    return spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
 
 
 def select_export_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +342,7 @@ def select_export_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))
     )
     return export.export_records(
-        fixtures.snapshots(spark, sf_dir, "growth"), spec_for("growth"), keys=chosen
+        fixtures.snapshots(spark, sf_dir, "growth"), spec_for("growth"), keys=chosen, **ONCE
     )
 
 
@@ -397,6 +421,8 @@ def queries() -> dict[str, Query]:
         "export_records_all_payload_keys": export_records_all_payload_keys,
         "export_breakdown": export_breakdown,
         "select_export_keys": select_export_keys,
+        "view_price_from_store": view_price_from_store,
+        "export_csv_from_store": export_csv_from_store,
         "stream_ingest": stream_ingest,
         "stream_request_counts": stream_request_counts,
         "stream_latest_snapshot": stream_latest_snapshot,
