@@ -37,12 +37,16 @@ def is_valid_json(text: Column) -> Column:
     Spark's JSON functions ignore whatever follows the first value. Putting the text
     in the middle of an object and asking for the key behind it makes trailing text
     an error; putting it in an array and counting to one rules out ``1, "a": 2``.
-    Both only skip over tokens and build no values.
+    Both only skip over tokens and build no values. ``json_array_length`` does not know
+    NaN, which Python reads, so the array is decoded where it gives no answer.
     """
     framed = F.concat(F.lit('{"v":'), text, F.lit(',"__end__":1}'))
     complete = F.from_json(framed, "__end__ INT", _JSON_OPTIONS)["__end__"] == 1
-    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.coalesce(complete & single, F.lit(False))
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    length = F.coalesce(
+        F.json_array_length(listed), F.size(F.from_json(listed, "ARRAY<STRING>", _JSON_OPTIONS))
+    )
+    return F.coalesce(complete & (length == 1), F.lit(False))
 
 
 def is_falsy(text: Column) -> Column:
@@ -60,18 +64,14 @@ def is_falsy(text: Column) -> Column:
 
 def has_content(text: Column) -> Column:
     """Whether a payload is a non-empty array or object; malformed text is not."""
-    kind = payload_kind(text)
-    return F.coalesce(
-        F.when(kind == "array", F.json_array_length(text) > 0).when(
-            kind == "object", F.size(F.json_object_keys(text)) > 0
-        ),
-        F.lit(False),
-    )
+    full = (payload_kind(text) != "scalar") & ~is_falsy(text) & is_valid_json(text)
+    return F.coalesce(full, F.lit(False))
 
 
 def has_member(text: Column, key: str) -> Column:
     """Whether the payload is an object with ``key``, whatever its value."""
-    return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
+    found = member_text(text, key).isNotNull() | F.array_contains(F.json_object_keys(text), key)
+    return F.coalesce((payload_kind(text) == "object") & found, F.lit(False))
 
 
 def member_text(text: Column, key: str) -> Column:

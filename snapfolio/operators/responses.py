@@ -17,7 +17,6 @@ from snapfolio.catalog import (
 )
 from snapfolio.functions import (
     decode_payload,
-    has_content,
     is_falsy,
     is_valid_json,
     member_text,
@@ -88,9 +87,12 @@ def unwrap_envelope(responses: DataFrame, member: str) -> DataFrame:
     )
 
 
-def payload_problem(raw: Column, data_type: Column) -> Column:
+def payload_problem(raw: Column, data_type: Column, known_valid: bool = False) -> Column:
     """Why a stored payload has the wrong shape for its data type; NULL if it is fine.
 
+    An empty payload (``[]``, ``null``) is fine: it is stored, and hides older ones.
+    ``known_valid`` leaves out the check that it is JSON at all.
+
     ``from_json`` alone does not tell: with an array type it turns an error object
     into an array of one empty record.
     """
@@ -98,8 +100,10 @@ def payload_problem(raw: Column, data_type: Column) -> Column:
     lists = data_types_where(lambda s: s.shape in (RECORDS, ENVELOPE))
     objects = data_types_where(lambda s: s.shape in (NESTED_OBJECT, NESTED_MAP))
     records = decode_payload(raw, "ARRAY<STRUCT<__probe: STRING>>")
+    malformed = F.lit(False) if known_valid else ~is_valid_json(raw)
     problem = (
-        F.when(~is_valid_json(raw), "malformed")
+        F.when(malformed, "malformed")
+        .when(is_falsy(raw), F.lit(None).cast("string"))
         .when(data_type.isin(lists) & (kind != "array"), "not_an_array")
         .when(data_type.isin(lists) & records.isNull(), "not_records")
         .when(data_type.isin(objects) & (kind != "object"), "not_an_object")
@@ -140,7 +144,7 @@ def process_responses(landed: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn(
         "problem",
-        F.when(accepted, payload_problem(F.col("raw_data"), F.col("data_type"))),
+        F.when(accepted, payload_problem(F.col("raw_data"), F.col("data_type"), known_valid=True)),
     )
     outcome = (
         F.when(F.col("symbol").isNull(), NO_KEY)
@@ -157,7 +161,7 @@ def process_responses(landed: DataFrame) -> DataFrame:
         outcome.alias("outcome"),
         "problem",
         "raw_data",
-        ((outcome == ACCEPTED) & has_content(F.col("raw_data"))).alias("usable"),
+        ((outcome == ACCEPTED) & ~is_falsy(F.col("raw_data"))).alias("usable"),
     )
 
 

@@ -7,8 +7,9 @@ is what the dataset views use.
 
 The decoded payload is a column of its own, used twice in the next step. Spark then
 keeps the two steps apart and decodes every payload once. A filter on the decoded
-column would be pushed below that step and decode a second time; rows without records
-are dropped by exploding instead.
+column, also the one Spark infers for exploding a plain column, would be pushed below
+that step and decode a second time. So the records are an expression, not a column,
+and rows without records are dropped by exploding it.
 """
 
 from __future__ import annotations
@@ -33,40 +34,42 @@ def _any_key(maps: Column, keys: list[str]) -> Column:
 
 def decoded_records(
     snapshots: DataFrame, spec: DatasetSpec, record_ddl: str | None = None
-) -> DataFrame:
-    """``symbol`` and ``records``, the array of a snapshot's records in payload order.
-
-    ``records`` is NULL for a payload of the wrong outer form (``from_json`` would turn
-    an object into an array of one record) and for one whose records have none of
-    the displayed keys. A declared type cannot tell a missing key from a null value, so
-    the keys themselves are looked up, but only where every value is NULL.
+) -> tuple[DataFrame, Column]:
+    """Snapshots with their payloads decoded, and the records in payload order.
+
+    The records are an array expression over the returned DataFrame. It is NULL for a
+    payload of the wrong outer form (``from_json`` would turn an object into an array of
+    one record) and for one whose records have none of the displayed keys. A declared
+    type cannot tell a missing key from a null value, so the keys themselves are
+    looked up, but only where every value is NULL.
     """
     if spec.shape == NESTED_MAP:
         raise ValueError(f"{spec.data_type}: a map of maps has no record array")
     record_ddl = record_ddl or spec.record_ddl
     raw, decoded = F.col("raw_data"), F.col("_decoded")
     if spec.shape in (RECORDS, ENVELOPE):
-        kind, value = "array", decode_payload(raw, f"ARRAY<{record_ddl}>")
+        kind, value, records = "array", decode_payload(raw, f"ARRAY<{record_ddl}>"), decoded
         maps = decode_payload(raw, "ARRAY<MAP<STRING, STRING>>")
     else:
         nested = f"STRUCT<`{spec.member}`: {record_ddl}>"
-        kind, value = "object", F.array(decode_payload(raw, nested)[spec.member])
+        kind, value = "object", decode_payload(raw, nested)
+        records = F.array(decoded[spec.member])
         nested_map = f"STRUCT<`{spec.member}`: MAP<STRING, STRING>>"
         maps = F.array(decode_payload(raw, nested_map)[spec.member])
-    shown = F.exists(decoded, lambda r: _any_value(r, spec.keys)) | _any_key(maps, spec.keys)
-    return snapshots.select(
+    shown = F.exists(records, lambda r: _any_value(r, spec.keys)) | _any_key(maps, spec.keys)
+    rows = snapshots.select(
         "symbol", "raw_data", F.when(payload_kind(raw) == kind, value).alias("_decoded")
-    ).select("symbol", F.when(shown, decoded).alias("records"))
+    )
+    return rows, F.when(shown, records)
 
 
 def explode_records(
     snapshots: DataFrame, spec: DatasetSpec, record_ddl: str | None = None
 ) -> DataFrame:
     """Every record of every snapshot: ``symbol, pos`` and its keys."""
-    return (
-        decoded_records(snapshots, spec, record_ddl)
-        .select("symbol", F.posexplode("records").alias("pos", "_r"))
-        .select("symbol", F.col("pos").cast("long").alias("pos"), "_r.*")
+    rows, records = decoded_records(snapshots, spec, record_ddl)
+    return rows.select("symbol", F.posexplode(records).alias("pos", "_r")).select(
+        "symbol", F.col("pos").cast("long").alias("pos"), "_r.*"
     )
 
 
@@ -78,18 +81,18 @@ def sort_newest_first(
     Newest means the greatest sort key as text, NULL last, equal ones by position;
     without a sort key it is the payload order.
     """
-    rows = decoded_records(snapshots, spec)
+    rows, records = decoded_records(snapshots, spec)
 
-    def cut(records: Column) -> Column:
-        return records if first is None else F.slice(records, 1, first)
+    def cut(array: Column) -> Column:
+        return array if first is None else F.slice(array, 1, first)
 
     if spec.sort_key is None:
-        exploded = rows.select("symbol", F.posexplode(cut(F.col("records"))).alias("_i", "record"))
+        exploded = rows.select("symbol", F.posexplode(cut(records)).alias("_i", "record"))
         pos = F.col("_i")
     else:
         # Descending by (key, -position) puts NULL keys last and keeps equal keys in order.
         keyed = F.transform(
-            "records",
+            records,
             lambda r, i: F.struct(r[spec.sort_key].alias("key"), (-i).alias("back"), r.alias("record")),
         )
         exploded = rows.select(

@@ -45,7 +45,8 @@ def view_totals(
     latest = latest_snapshot(store, spec.data_type, how, salts)
     if spec.shape == NESTED_MAP:
         return record_totals(flatten_nested_map(latest, spec.member), spec.top_n)
-    sizes = decoded_records(latest, spec).select("symbol", F.size("records").alias("_size"))
+    rows, records = decoded_records(latest, spec)
+    sizes = rows.select("symbol", F.size(records).alias("_size"))
     truncated = F.col("total") > spec.top_n if spec.top_n is not None else F.lit(False)
     # There is one row per symbol already; the aggregate keeps the filter above decoding.
     return (

@@ -126,11 +126,12 @@ OUTCOME = """
 
 PROBLEM_OF_BODY = f"""
     CASE WHEN h IN (3, 5, 8) THEN 'malformed'
-         WHEN {LISTS} AND h IN (1, 2, 4, 6, 7, 10, 12) THEN 'not_an_array'
+         WHEN h IN (0, 1, 2, 9) THEN NULL
+         WHEN {LISTS} AND h IN (4, 6, 7, 10, 12) THEN 'not_an_array'
          WHEN {LISTS} AND h = 11 THEN 'not_records'
          WHEN data_type = 'price' AND h > 12 THEN 'not_an_array'
-         WHEN NOT ({LISTS}) AND h IN (0, 2, 9, 10, 11) THEN 'not_an_object'
-         WHEN data_type = 'revenue' AND h IN (1, 4, 6, 12) THEN 'breakdown_not_an_object' END"""
+         WHEN NOT ({LISTS}) AND h IN (10, 11) THEN 'not_an_object'
+         WHEN data_type = 'revenue' AND h IN (4, 6, 12) THEN 'breakdown_not_an_object' END"""
 
 # The same for what is kept of accepted bodies: the inner array of price envelopes.
 PROBLEM_OF_KEPT = f"""
