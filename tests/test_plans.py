@@ -1,0 +1,102 @@
+"""What the physical plans must and must not contain."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import queries
+from snapfolio.catalog import CATALOG, spec_for
+from snapfolio.operators import ledger, store
+from snapfolio.operators.responses import process_responses
+from snapfolio.plans.views import dataset_view
+from snapfolio.sources import store_table
+from snapfolio.sources.scratch import new_folder
+from tests.conftest import SF_SMALL
+from workloads import fixtures
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    path = new_folder(spark, "test-store")
+    store_table.append_snapshot(fixtures.snapshots(spark, SF_SMALL, "price"), path)
+    store_table.append_snapshot(fixtures.snapshots(spark, SF_SMALL, "income"), path)
+    return store_table.scan_snapshots(spark, path)
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_no_python_and_no_cross_join(spark, name):
+    if name.startswith(("stream_", "export_", "ingest", "append", "view_price_from")):
+        pytest.skip("reads back what it wrote")
+    plan = plan_of(queries()[name](spark, SF_SMALL))
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in plan
+
+
+def test_summaries_and_planning_do_not_read_payloads(table):
+    for df in (
+        store.cache_summary(table), store.type_summary(table, "price"),
+        store.cached_keys(table, "price"), store.usable_keys(table), store.newest_versions(table),
+    ):
+        assert "raw_data" not in plan_of(df)
+
+
+def test_types_are_partitions(table):
+    plan = plan_of(store.type_summary(table, "price"))
+    assert "PartitionFilters: [isnotnull(data_type" in plan
+
+
+def test_stored_payloads_are_not_shuffled(table):
+    """Newest keys are joined by broadcast while they are below Spark's threshold, and no
+    exchange carries payloads."""
+    for how_many in (store.latest_snapshot(table), store.latest_snapshot(table, "price")):
+        plan = plan_of(how_many)
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_newest_keys_are_not_broadcast(spark, table):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(store.latest_snapshot(table))
+        assert "BroadcastHashJoin" not in plan
+        # The time and id take part in the partitioning, so a hot symbol is spread.
+        exchange = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+        assert "last_updated" in exchange and "id#" in exchange
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("spec", CATALOG, ids=lambda s: s.data_type)
+def test_views_decode_once(table, spec):
+    plan = plan_of(dataset_view(table, spec))
+    # The second one looks up keys, and runs only where all values are NULL.
+    assert plan.count("from_json(") == (1 if spec.data_type == "revenue" else 2)
+    # All work happens within the row of a payload, but for ranking the rows of maps.
+    assert plan.count("Exchange hashpartitioning") == (1 if spec.data_type == "revenue" else 0)
+
+
+def test_ranking_limits_before_the_shuffle(table):
+    plan = plan_of(store.latest_snapshot(table, how="rank", salts=1))
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_admission_ranks_only_the_first_of_a_day(spark):
+    requests = fixtures.table(spark, SF_SMALL, "events").select(
+        F.col("event_id").alias("request_id"), "ts", "props"
+    )
+    plan = plan_of(ledger.admit_within_budget(requests))
+    assert "row_number(), 250, Partial" in plan
+    # The requests themselves are not shuffled.
+    assert all("props" not in line for line in plan.splitlines() if "Exchange hash" in line)
+
+
+def test_ingest_needs_no_shuffle(spark):
+    landed = fixtures.landed(fixtures.table(spark, SF_SMALL, "events"))
+    assert "Exchange" not in plan_of(process_responses(landed))
+
+
+def test_view_of_one_type_reads_one_partition(table):
+    plan = plan_of(dataset_view(table, spec_for("price")))
+    assert plan.count("PartitionFilters: [isnotnull(data_type") >= 1
