@@ -38,26 +38,47 @@ PARSE_ERROR = "parse_error"
 NO_KEY = "no_key"
 
 
-def _has_required_member(body: Column, data_type: Column) -> Column:
-    """Whether the member that the data type insists on is there."""
-    check = F.lit(True)
-    for member in sorted({s.required_key for s in CATALOG if s.required_key}):
-        types = data_types_where(lambda s: s.required_key == member)
-        check = F.when(data_type.isin(types), has_member(body, member)).otherwise(check)
-    return check
+def _members() -> dict[str, list[str]]:
+    """The members that data types insist on, and the types that do."""
+    names = sorted({s.required_key for s in CATALOG if s.required_key})
+    return {m: data_types_where(lambda s: s.required_key == m) for m in names}
 
 
-def response_outcome(status: Column, body: Column, data_type: Column) -> Column:
-    """``accepted``, ``empty``, ``http_error`` or ``parse_error``."""
+def required_member(body: Column, data_type: Column) -> Column:
+    """JSON text of the member the data type insists on; NULL if it is null or missing."""
+    text = F.lit(None).cast("string")
+    for member, types in _members().items():
+        text = F.when(
+            data_type.isin(types),
+            F.when(payload_kind(body) == "object", member_text(body, member)),
+        ).otherwise(text)
+    return text
+
+
+def _lacks_member(body: Column, data_type: Column, member: Column) -> Column:
+    """Whether the required member is missing; keys are looked up only if its text is NULL."""
+    lacks = F.lit(False)
+    for name, types in _members().items():
+        lacks = F.when(data_type.isin(types), ~has_member(body, name)).otherwise(lacks)
+    return member.isNull() & lacks
+
+
+def _outcome(status: Column, body: Column, data_type: Column, valid: Column, member: Column) -> Column:
     return (
         F.when(status.isNull() | (status != 200), HTTP_ERROR)
-        .when(~is_valid_json(body), PARSE_ERROR)
+        .when(~valid, PARSE_ERROR)
         .when(is_falsy(body), EMPTY)
-        .when(~_has_required_member(body, data_type), EMPTY)
+        .when(_lacks_member(body, data_type, member), EMPTY)
         .otherwise(ACCEPTED)
     )
 
 
+def response_outcome(status: Column, body: Column, data_type: Column) -> Column:
+    """``accepted``, ``empty``, ``http_error`` or ``parse_error``."""
+    member = required_member(body, data_type)
+    return _outcome(status, body, data_type, is_valid_json(body), member)
+
+
 def classify_response(responses: DataFrame) -> DataFrame:
     """Add the ``outcome`` of every response."""
     return responses.withColumn(
@@ -70,16 +91,6 @@ def normalize_keys(responses: DataFrame) -> DataFrame:
     return responses.withColumn("symbol", normalize_key(F.col("symbol"), F.col("data_type")))
 
 
-def stored_payload(body: Column, data_type: Column) -> Column:
-    """The part of an accepted body that is kept: the inner array of an envelope, or all."""
-    kept = body
-    for member in sorted({s.member for s in CATALOG if s.shape == ENVELOPE}):
-        types = data_types_where(lambda s: s.shape == ENVELOPE and s.member == member)
-        inner = F.coalesce(member_text(body, member), F.lit("null"))
-        kept = F.when(data_type.isin(types), inner).otherwise(kept)
-    return kept
-
-
 def unwrap_envelope(responses: DataFrame, member: str) -> DataFrame:
     """Keep bodies that are objects with ``member`` and replace them by its JSON text."""
     return responses.filter(has_member(F.col("body"), member)).withColumn(
@@ -87,34 +98,36 @@ def unwrap_envelope(responses: DataFrame, member: str) -> DataFrame:
     )
 
 
-def payload_problem(raw: Column, data_type: Column, known_valid: bool = False) -> Column:
-    """Why a stored payload has the wrong shape for its data type; NULL if it is fine.
-
-    An empty payload (``[]``, ``null``) is fine: it is stored, and hides older ones.
-    ``known_valid`` leaves out the check that it is JSON at all.
-
-    ``from_json`` alone does not tell: with an array type it turns an error object
-    into an array of one empty record.
-    """
+def _shape_problem(raw: Column, data_type: Column, member: Column) -> Column:
+    """Why valid JSON has the wrong shape; ``member`` is the text of a map of maps."""
     kind = payload_kind(raw)
     lists = data_types_where(lambda s: s.shape in (RECORDS, ENVELOPE))
     objects = data_types_where(lambda s: s.shape in (NESTED_OBJECT, NESTED_MAP))
     records = decode_payload(raw, "ARRAY<STRUCT<__probe: STRING>>")
-    malformed = F.lit(False) if known_valid else ~is_valid_json(raw)
     problem = (
-        F.when(malformed, "malformed")
-        .when(is_falsy(raw), F.lit(None).cast("string"))
+        F.when(is_falsy(raw), F.lit(None).cast("string"))
         .when(data_type.isin(lists) & (kind != "array"), "not_an_array")
         .when(data_type.isin(lists) & records.isNull(), "not_records")
         .when(data_type.isin(objects) & (kind != "object"), "not_an_object")
     )
-    for member in sorted({s.member for s in CATALOG if s.shape == NESTED_MAP}):
-        types = data_types_where(lambda s: s.shape == NESTED_MAP and s.member == member)
-        inner = payload_kind(F.coalesce(member_text(raw, member), F.lit("null")))
-        problem = problem.when(data_type.isin(types) & (inner != "object"), f"{member}_not_an_object")
+    for name in sorted({s.member for s in CATALOG if s.shape == NESTED_MAP}):
+        types = data_types_where(lambda s: s.shape == NESTED_MAP and s.member == name)
+        inner = payload_kind(F.coalesce(member, F.lit("null")))
+        problem = problem.when(data_type.isin(types) & (inner != "object"), f"{name}_not_an_object")
     return problem
 
 
+def payload_problem(raw: Column, data_type: Column) -> Column:
+    """Why a stored payload has the wrong shape for its data type; NULL if it is fine.
+
+    An empty payload (``[]``, ``null``) is fine: it is stored, and hides older ones.
+    ``from_json`` alone does not tell: with an array type it turns an error object
+    into an array of one empty record.
+    """
+    shape = _shape_problem(raw, data_type, required_member(raw, data_type))
+    return F.when(~is_valid_json(raw), "malformed").otherwise(shape)
+
+
 def quarantine_bad_payloads(snapshots: DataFrame) -> DataFrame:
     """Add ``problem``: NULL for well-shaped payloads, else the reason for rejecting them."""
     return snapshots.withColumn(
@@ -135,16 +148,26 @@ def process_responses(landed: DataFrame) -> DataFrame:
         seq = F.col("seq")
     else:
         seq = F.xxhash64("endpoint", "data_type", "symbol", "ts", "status", "body")
+    body, data_type = F.col("body"), F.col("data_type")
     rows = normalize_keys(landed.withColumn("_seq", seq))
-    rows = classify_response(rows)
-    accepted = F.col("outcome") == ACCEPTED
+    # Each of these columns is used more than once by the next, so Spark computes it once.
+    rows = rows.withColumn("_valid", (F.col("status") == 200) & is_valid_json(body))
     rows = rows.withColumn(
-        "raw_data",
-        F.when(accepted, stored_payload(F.col("body"), F.col("data_type"))).otherwise(F.col("body")),
+        "_member", F.when(F.col("_valid"), required_member(body, data_type))
+    )
+    rows = rows.withColumn(
+        "outcome",
+        _outcome(F.col("status"), body, data_type, F.col("_valid"), F.col("_member")),
     )
+    accepted = F.col("outcome") == ACCEPTED
+    envelopes = data_types_where(lambda s: s.shape == ENVELOPE)
+    kept = F.when(
+        accepted & data_type.isin(envelopes), F.coalesce("_member", F.lit("null"))
+    ).otherwise(body)
+    rows = rows.withColumn("raw_data", kept)
     rows = rows.withColumn(
         "problem",
-        F.when(accepted, payload_problem(F.col("raw_data"), F.col("data_type"), known_valid=True)),
+        F.when(accepted, _shape_problem(F.col("raw_data"), data_type, F.col("_member"))),
     )
     outcome = (
         F.when(F.col("symbol").isNull(), NO_KEY)

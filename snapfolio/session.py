@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes the shuffle partitions: many small ones are asked for and
-# merged at run time, oversized ones are split.
+# merged at run time, oversized ones are split. Tables of newest keys take about 20 bytes
+# per key on disk and five times that in memory: up to 64 MB (three million keys) they
+# are worth sending to every executor, since payloads then stay where they are.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -120,13 +120,18 @@ def write_export(
 ) -> None:
     """Write records as CSV (with header) or Parquet.
 
-    ``layout="symbol"`` makes a folder per symbol. ``layout="flat"`` keeps ``symbol`` as
-    a column and is the one to use for very many symbols. In both, the rows of a
-    symbol arrive from ``export_records`` in one task and are written in payload order.
+    ``layout="symbol"`` makes a folder and file per symbol; its cost is the number of
+    files, so the symbols are spread over all shuffle partitions, which AQE would
+    merge by their few bytes. ``layout="flat"`` keeps ``symbol`` as a column, shuffles
+    nothing and is the one to use for very many symbols. The rows of a symbol come
+    from one payload, hence one task, and are written in payload order.
     """
     if layout not in ("flat", "symbol"):
         raise ValueError(f"unknown layout {layout!r}")
     rows = _flat_columns(records) if fmt == "csv" else records
+    if layout == "symbol":
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(partitions, "symbol")
     if "pos" in rows.columns:
         order = [F.asc("symbol"), F.asc("pos")]
     else:

@@ -114,22 +114,24 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def exact_sum(column: str, name: str):
-        # Decimal sums do not depend on the order of the rows.
-        return F.sum(F.col(column).cast("decimal(18,2)")).cast("double").alias(name)
+def _exact_sum(column: str):
+    """A sum of amounts in cents, which does not depend on the order of the rows."""
+    cents = F.floor(F.col(column) * 100 + F.lit(0.5))
+    return (F.sum(cents).cast("double") / 100).alias(column)
+
 
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(
+        .groupBy("l_suppkey", F.trunc("l_shipdate", "MM").alias("first_day"))
+        .agg(*map(_exact_sum, ("l_extendedprice", "l_quantity", "l_discount", "l_tax")))
+        .select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-            F.date_format("l_shipdate", "yyyy-MM-01").alias("month"),
-        )
-        .agg(
-            exact_sum("l_extendedprice", "price"),
-            exact_sum("l_quantity", "quantity"),
-            exact_sum("l_discount", "discount"),
-            exact_sum("l_tax", "tax"),
+            F.date_format("first_day", "yyyy-MM-dd").alias("month"),
+            F.col("l_extendedprice").alias("price"),
+            F.col("l_quantity").alias("quantity"),
+            F.col("l_discount").alias("discount"),
+            F.col("l_tax").alias("tax"),
         )
     )
 
@@ -249,14 +251,15 @@ def _outlook_payloads(spark: SparkSession, sf_dir: str, spec: DatasetSpec) -> Da
 def breakdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), "l_returnflag")
+        .agg(_exact_sum("l_extendedprice"))
+        .select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-            F.date_format("l_shipdate", "yyyy").alias("period"),
+            F.col("year").cast("string").alias("period"),
             F.col("l_returnflag").alias("segment"),
+            # Some values are null: they are shown all the same.
+            F.when(F.col("year") != 1999, F.col("l_extendedprice")).alias("value"),
         )
-        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
-        # Some values are null: they are shown all the same.
-        .withColumn("value", F.when(F.col("period") != "1999", F.col("value")))
     )
 
 

@@ -32,10 +32,10 @@ BASE = {
     "months": """
         SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol,
                strftime(l_shipdate, '%Y-%m-01') AS "month",
-               CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price,
-               CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
-               CAST(SUM(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS discount,
-               CAST(SUM(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS tax
+               CAST(SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS price,
+               CAST(SUM(CAST(floor(l_quantity * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS quantity,
+               CAST(SUM(CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS discount,
+               CAST(SUM(CAST(floor(l_tax * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS tax
         FROM lineitem GROUP BY 1, 2""",
     "documents": f"""
         SELECT upper(source) || '-' || CAST(doc_id // {TEXT_BLOCK} AS VARCHAR) AS symbol,
@@ -53,7 +53,8 @@ BREAKDOWN = """
     SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, strftime(l_shipdate, '%Y') AS period,
            l_returnflag AS segment,
            CASE WHEN strftime(l_shipdate, '%Y') <> '1999'
-                THEN CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) END AS value
+                THEN CAST(SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
+           END AS value
     FROM lineitem GROUP BY 1, 2, 3"""
 
 
