@@ -37,36 +37,9 @@ def of_type(store: DataFrame, data_type: str) -> DataFrame:
     return store.filter(F.col("data_type") == data_type)
 
 
-def newest_versions(store: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Time, id and, where known, usability of the newest snapshot per key.
-
-    Payloads are not read. Every task sends one narrow row per key, so even a key that
-    is in every file costs its reducer next to nothing.
-    """
-    version = ["last_updated", "id", *(["usable"] if "usable" in store.columns else [])]
-    newest = store.groupBy(*keys).agg(F.max(F.struct(*version)).alias("_v"))
-    return newest.select(*keys, "_v.*")
-
-
-def _latest(
-    store: DataFrame, data_type: str | None, how: str, salts: int, only_usable: bool
-) -> DataFrame:
-    if data_type is None:
-        keys = list(KEY)
-    else:
-        store, keys = of_type(store, data_type), ["symbol"]
-    if how == "lookup":
-        newest = newest_versions(store, keys)
-        if only_usable and "usable" in newest.columns:
-            newest = newest.filter("usable")
-        on = [*keys, "last_updated", "id"]
-        latest = store.join(written(newest.select(on), "newest"), on, "left_semi")
-        latest = latest.select(store.columns)
-    elif how == "rank":
-        latest = top_per_key(store, keys, newest_first(), 1, rank=None, salts=salts)
-    else:
-        raise ValueError(f"unknown way to find the latest: {how!r}")
-    return latest.filter(usable_flag(latest)) if only_usable else latest
+def newest_times(store: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """The newest time per key, found without reading payloads."""
+    return store.groupBy(*keys).agg(F.max("last_updated").alias("last_updated"))
 
 
 def latest_snapshot(
@@ -79,16 +52,26 @@ def latest_snapshot(
 
     ``how="lookup"`` is for stored tables. Batches usually hold a key once each, so
     dropping old payloads before a shuffle would drop nothing, and ranking would
-    shuffle the whole store. Instead the newest (time, id) per key is found without
-    payloads and written to the scratch folder. Its size is then known, and Spark
-    joins it by broadcast if it is below ``spark.sql.autoBroadcastJoinThreshold``, so that
-    payloads are never shuffled; beyond that it joins by (key, time, id), in which no
-    key is hot. Ids have to be unique within a key and time.
+    shuffle the whole store. Instead the newest time per key is found without payloads
+    and written to the scratch folder. Its size is then known, and Spark joins it by
+    broadcast if it is below ``spark.sql.autoBroadcastJoinThreshold``; all payloads but
+    those of the newest time are dropped where they are read, and the few left are
+    ranked. Beyond the threshold Spark joins by key and time, splitting skewed ones.
 
-    ``how="rank"`` ranks whole rows. It reads its input once and starts no job, which
+    ``how="rank"`` ranks all rows. It reads its input once and starts no job, which
     suits computed and small DataFrames. ``salts=1`` suits keys with few snapshots.
     """
-    return _latest(store, data_type, how, salts, only_usable=False)
+    if data_type is None:
+        keys = list(KEY)
+    else:
+        store, keys = of_type(store, data_type), ["symbol"]
+    if how == "lookup":
+        newest = written(newest_times(store, keys), "newest")
+        candidates = store.join(newest, [*keys, "last_updated"], "left_semi")
+        store = candidates.select(store.columns)
+    elif how != "rank":
+        raise ValueError(f"unknown way to find the latest: {how!r}")
+    return top_per_key(store, keys, newest_first(), 1, rank=None, salts=salts)
 
 
 def nonempty_latest(
@@ -98,13 +81,19 @@ def nonempty_latest(
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Keys whose newest snapshot is not empty. An older snapshot never stands in for it."""
-    return _latest(store, data_type, how, salts, only_usable=True)
+    latest = latest_snapshot(store, data_type, how, salts)
+    return latest.filter(usable_flag(latest))
 
 
 def usable_keys(store: DataFrame) -> DataFrame:
-    """The keys of ``nonempty_latest`` without their payloads."""
-    narrow = store.select(*KEY, "last_updated", "id", usable_flag(store).alias("usable"))
-    return newest_versions(narrow).filter("usable").select(*KEY)
+    """The keys of ``nonempty_latest`` without their payloads.
+
+    Every task sends one narrow row per key, so even a key that is in every file costs
+    its reducer next to nothing.
+    """
+    version = F.struct("last_updated", "id", usable_flag(store).alias("usable"))
+    newest = store.groupBy(*KEY).agg(F.max(version).alias("_v"))
+    return newest.filter("_v.usable").select(*KEY)
 
 
 def cache_summary(store: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def test_no_python_and_no_cross_join(spark, name):
 def test_summaries_and_planning_do_not_read_payloads(table):
     for df in (
         store.cache_summary(table), store.type_summary(table, "price"),
-        store.cached_keys(table, "price"), store.usable_keys(table), store.newest_versions(table),
+        store.cached_keys(table, "price"), store.usable_keys(table), store.newest_times(table),
     ):
         assert "raw_data" not in plan_of(df)
 
@@ -48,33 +48,31 @@ def test_types_are_partitions(table):
     assert "PartitionFilters: [isnotnull(data_type" in plan
 
 
-def test_stored_payloads_are_not_shuffled(table):
-    """Newest keys are joined by broadcast while they are below Spark's threshold, and no
-    exchange carries payloads."""
-    for how_many in (store.latest_snapshot(table), store.latest_snapshot(table, "price")):
-        plan = plan_of(how_many)
-        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+def test_only_newest_payloads_are_shuffled(table):
+    """Newest times are joined by broadcast while below Spark's threshold; every exchange
+    comes after that join."""
+    for latest in (store.latest_snapshot(table), store.latest_snapshot(table, "price")):
+        plan = plan_of(latest)
+        assert 0 < plan.rindex("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
 
 
-def test_many_newest_keys_are_not_broadcast(spark, table):
+def test_many_newest_times_are_not_broadcast(spark, table):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = plan_of(store.latest_snapshot(table))
-        assert "BroadcastHashJoin" not in plan
-        # The time and id take part in the partitioning, so a hot symbol is spread.
-        exchange = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
-        assert "last_updated" in exchange and "id#" in exchange
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 @pytest.mark.parametrize("spec", CATALOG, ids=lambda s: s.data_type)
-def test_views_decode_once(table, spec):
+def test_views_decode_once_and_add_no_shuffle(table, spec):
     plan = plan_of(dataset_view(table, spec))
     # The second one looks up keys, and runs only where all values are NULL.
     assert plan.count("from_json(") == (1 if spec.data_type == "revenue" else 2)
-    # All work happens within the row of a payload, but for ranking the rows of maps.
-    assert plan.count("Exchange hashpartitioning") == (1 if spec.data_type == "revenue" else 0)
+    latest = plan_of(store.latest_snapshot(table, spec.data_type))
+    assert plan.count("Exchange hashpartitioning") == latest.count("Exchange hashpartitioning")
 
 
 def test_ranking_limits_before_the_shuffle(table):

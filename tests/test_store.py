@@ -33,6 +33,12 @@ def test_latest_is_newest_then_last_inserted(store_of, rows, how, salts):
     assert rows(one.select("raw_data")) == [("new id",)]
 
 
+@pytest.mark.parametrize("how, salts", WAYS)
+def test_a_row_that_landed_twice_is_one_latest(store_of, how, salts):
+    row = (1, "price", "A", "2024-01-02", "[1]")
+    assert store.latest_snapshot(store_of(row, row), how=how, salts=salts).count() == 1
+
+
 @pytest.mark.parametrize("how, salts", WAYS)
 @pytest.mark.parametrize("flagged", [False, True])
 def test_empty_latest_hides_older_ones(store_of, rows, how, salts, flagged):
