@@ -64,7 +64,7 @@ _json = st.recursive(
 )
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(_json, min_size=20, max_size=40), data=st.data())
 def test_generated_bodies(spark, values, data):
     texts = [json.dumps(v, ensure_ascii=data.draw(st.booleans())) for v in values]
