@@ -131,7 +131,9 @@ def write_export(
     rows = _flat_columns(records) if fmt == "csv" else records
     if layout == "symbol":
         partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(partitions, "symbol")
+        # By a hash of the symbol: Spark would drop a repartitioning it finds already done,
+        # and then merge partitions.
+        rows = rows.repartition(partitions, F.xxhash64("symbol"))
     if "pos" in rows.columns:
         order = [F.asc("symbol"), F.asc("pos")]
     else:
@@ -162,8 +164,10 @@ def export_all_keys(
     layout: str = "symbol",
     record_ddl: str | None = None,
     how: str = "lookup",
+    salts: int = DEFAULT_SALTS,
 ) -> str:
     """Export the chosen symbols of a data type in one job; returns the folder written."""
     path = export_path(directory, spec.data_type, run)
-    write_export(export_records(store, spec, keys, record_ddl, how), path, fmt=fmt, layout=layout)
+    records = export_records(store, spec, keys, record_ddl, how, salts)
+    write_export(records, path, fmt=fmt, layout=layout)
     return path

@@ -295,7 +295,7 @@ def export_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = spec_for("cashflow")
     path = export.export_all_keys(
         fixtures.snapshots(spark, sf_dir, "cashflow"), spec, new_folder(spark, "exports"),
-        run="20240601_120000", how="rank",
+        run="20240601_120000", **ONCE,
     )
     schema = _record_schema(spec, "pos BIGINT") + ", symbol STRING"
     return spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
