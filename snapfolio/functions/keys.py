@@ -6,13 +6,13 @@ from pyspark.sql import Column, functions as F
 
 from snapfolio.catalog import data_types_where
 
-# Unicode white space plus the four separators U+001C to U+001F.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as white space for ``str.strip``.
+_SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def strip_key(key: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(key, _EDGE_SPACE, "")
+    return F.trim(key, F.lit(_SPACES))
 
 
 def normalize_key(key: Column, data_type: Column) -> Column:

@@ -88,11 +88,13 @@ def nonempty_latest(
 def usable_keys(store: DataFrame) -> DataFrame:
     """The keys of ``nonempty_latest`` without their payloads.
 
-    Every task sends one narrow row per key, so even a key that is in every file costs
-    its reducer next to nothing.
+    Where the store says what is ``usable``, every task sends one narrow row per key, so
+    even a key that is in every file costs its reducer next to nothing. Where it does
+    not, only the newest payloads are looked into.
     """
-    version = F.struct("last_updated", "id", usable_flag(store).alias("usable"))
-    newest = store.groupBy(*KEY).agg(F.max(version).alias("_v"))
+    if "usable" not in store.columns:
+        return nonempty_latest(store).select(*KEY)
+    newest = store.groupBy(*KEY).agg(F.max(F.struct("last_updated", "id", "usable")).alias("_v"))
     return newest.filter("_v.usable").select(*KEY)
 
 

@@ -333,7 +333,7 @@ def orders_as_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as requests for event snapshots of users; a year counts as one day."""
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS request_id",
-        "date_trunc('YEAR', o_orderdate) AS ts",
+        "CAST(date_trunc('YEAR', o_orderdate) AS TIMESTAMP_NTZ) AS ts",
         "CASE o_orderstatus WHEN 'O' THEN 'view' WHEN 'P' THEN 'click' ELSE 'purchase' END"
         " AS data_type",
         "' ' || CAST(o_custkey AS STRING) AS symbol",
