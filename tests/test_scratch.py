@@ -1,0 +1,28 @@
+"""Where intermediate tables go."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from snapfolio.sources.scratch import new_folder, scratch_root
+
+
+def _session(**conf):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)))
+
+
+def test_named_folder_is_used():
+    spark = _session(**{"spark.checkpoint.dir": "s3a://bucket/scratch/", "spark.master": "yarn"})
+    assert scratch_root(spark) == "s3a://bucket/scratch"
+    first, second = new_folder(spark, "x"), new_folder(spark, "x")
+    assert first != second and first.startswith("s3a://bucket/scratch/snapfolio/x-")
+
+
+def test_no_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(_session(**{"spark.master": "yarn"}))
+
+
+def test_local_folder_only_in_local_mode():
+    spark = _session(**{"spark.master": "local[8]", "spark.app.id": "test"})
+    assert scratch_root(spark) == scratch_root(spark)
