@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from snapfolio.catalog import ENVELOPE, NESTED_MAP, NESTED_OBJECT, RECORDS, DatasetSpec
+from snapfolio.catalog import ENVELOPE, NESTED_MAP, RECORDS, DatasetSpec
 from snapfolio.functions import decode_payload, payload_kind
 from snapfolio.operators.ranking import DEFAULT_SALTS, top_per_key
 
