@@ -1,0 +1,54 @@
+"""What SQL can say of the operators' results. The others are tested against brute force."""
+
+from __future__ import annotations
+
+_QUALITY_RULES = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+                x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+),
+g AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1)
+  GROUP BY doc_id
+),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words
+    OR word_chars > 25 * n_words OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+FROM m
+"""
+
+_WARC = """
+SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+  sha1(coalesce(html, '')) AS payload_digest,
+  CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < newest THEN newest END AS refers_to,
+  true AS intact
+FROM (
+  SELECT page_id, html,
+    CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000
+      THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS newest
+  FROM pages
+)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op5_warc": _WARC, "op6_quality_rules": _QUALITY_RULES}
