@@ -18,7 +18,7 @@ from tests.compare import connect, differences  # noqa: E402
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(queries())
+    names = sys.argv[2:] or list(oracle_sql())
     spark = build_session(
         "check", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8",
                     "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
