@@ -35,22 +35,22 @@ from snapfolio.llm.words import slices, split_words
 from snapfolio.sources.scratch import written
 
 ADDED = 0.1
-LEAST_SHARE = 1e-4
+LEAST_SHARE = 5e-4
 LEAST_DIVERGENCE = 0.02
 #: Bytes of text in a block, or one text.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: The end token. No word hashes to it but by a chance of 2^-64.
 END = 0x5EED0E4D
 
 BLOCKS = (
-    "block BIGINT, doc_id ARRAY<BIGINT>, held_out ARRAY<BOOLEAN>, n ARRAY<INT>, codes ARRAY<INT>, "
+    "block BIGINT, doc_id ARRAY<BIGINT>, held_out ARRAY<BOOLEAN>, n ARRAY<INT>, codes BINARY, "
     "symbols ARRAY<BIGINT>, n_train ARRAY<INT>"
 )
 
 
 def encoded(docs: DataFrame) -> DataFrame:
     """``BLOCKS`` of rows ``doc_id, held_out, text``: ``n`` tokens per text, the number of each token's
-    word in the block, the hash of each distinct word and its training tokens."""
+    word in the block (packed), the hash of each distinct word and its training tokens."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -68,18 +68,31 @@ def encoded(docs: DataFrame) -> DataFrame:
                     "doc_id": [batch.column("doc_id")],
                     "held_out": [pa.array(held)],
                     "n": [n.astype(np.int32)],
-                    "codes": [codes.astype(np.int32)],
+                    "codes": [_packed(codes)],
                     "symbols": [symbols],
                     "n_train": [n_train.astype(np.int32)],
                 }
                 yield pa.RecordBatch.from_arrays(
-                    [_one_list(row[f][0]) if f != "block" else pa.array(row[f]) for f in row], names=list(row)
+                    [pa.array(v) if f in ("block", "codes") else _one_list(v[0]) for f, v in row.items()],
+                    names=list(row),
                 )
                 block += 1
 
     return docs.mapInArrow(encode, BLOCKS)
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """The numbers by their first, second, third and fourth bytes, compressed: about two bytes each."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(packed, decompressed_size=4 * n, asbytes=True)
+    numbers = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, n).T)
+    return numbers.view("<u4").ravel().astype(np.int64)
+
+
 def _one_list(values) -> pa.Array:
     values = values if isinstance(values, pa.Array) else pa.array(values)
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -132,7 +145,9 @@ def _distinct(context: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.nda
 
 
 def _lists(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
-    return [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in names]
+    """Columns of one block, the tokens' numbers first."""
+    out = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in names]
+    return [_unpacked(batch.column("codes")[i].as_py(), int(out[0].sum())), *out]
 
 
 def followers(blocks: DataFrame, contexts: Contexts, length: int) -> DataFrame:
@@ -142,7 +157,7 @@ def followers(blocks: DataFrame, contexts: Contexts, length: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, n, symbols, held = _lists(batch, i, "codes", "n", "symbols", "held_out")
+                codes, n, symbols, held = _lists(batch, i, "n", "symbols", "held_out")
                 train = np.repeat(~held, n)
                 ctx = shared.value.of(codes, n, symbols)[length - 1]
                 use = train & (ctx >= 0)
@@ -159,10 +174,16 @@ def followers(blocks: DataFrame, contexts: Contexts, length: int) -> DataFrame:
     return found.groupBy("ctx", "sym").agg(F.sum("c").alias("c"))
 
 
-def _tested(entries: DataFrame, least_divergence: float) -> tuple[dict[int, tuple[int, int]], set[int]]:
+def _totals(entries: DataFrame) -> DataFrame:
+    """A row per candidate context."""
+    return entries.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+
+
+def _tested(
+    entries: DataFrame, totals: DataFrame, least_divergence: float
+) -> tuple[dict[int, tuple[int, int]], set[int]]:
     """Of rows ``ctx, sym, c, p`` (p: the suffix's probability) the total and kinds of every context,
-    and the contexts that diverge. There is a row per candidate context."""
-    totals = entries.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    and the contexts that diverge."""
     joined = entries.join(F.broadcast(totals), "ctx")
     kinds = F.col("kinds") - F.when(F.col("c") == 1, 1).otherwise(0)
     left_out = (F.col("c") - 1 + kinds * F.col("p")) / (F.col("total") - 1 + kinds)
@@ -173,6 +194,10 @@ def _tested(entries: DataFrame, least_divergence: float) -> tuple[dict[int, tupl
     return stats, {r["ctx"] for r in rows if r["gain"] >= least_divergence * r["total"]}
 
 
+def _longs(spark, values: np.ndarray, name: str) -> DataFrame:
+    return spark.createDataFrame([(int(v),) for v in values], f"{name} BIGINT")
+
+
 class Tree:
     """The states: of each its total and kinds, and which contexts are states."""
 
@@ -249,28 +274,33 @@ def scored(
 
     root = (F.col("n") + ADDED) / F.lit(base)
     counts = words.select("sym", F.col("c").alias("n"))
-    one_p = one.join(counts, "sym").select("ctx", "sym", "c", root.alias("p"))
-    one_p = written(one_p, "followers")
-    stats, states = _tested(one_p, least_divergence)
-    totals = F.broadcast(
-        one.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-    )
-    suffix = one_p.join(totals, "ctx").select(
-        F.col("ctx").alias("suffix"), "sym",
-        ((F.col("c") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))).alias("p"),
+    one_p = written(one.join(counts, "sym").select("ctx", "sym", "c", root.alias("p")), "followers")
+    totals = written(_totals(one), "totals")
+    stats, states = _tested(one_p, totals, least_divergence)
+    ends_pair = _longs(spark, np.unique(later[later >= 0]), "ctx")
+    suffix = (
+        one_p.join(F.broadcast(ends_pair), "ctx")
+        .join(F.broadcast(totals), "ctx")
+        .select(
+            F.col("ctx").alias("suffix"), "sym",
+            ((F.col("c") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))).alias("p"),
+        )
     )
     two_p = two.withColumn("suffix", F.pmod(F.col("ctx") - size, F.lit(max(size, 1)))).join(
         suffix, ["suffix", "sym"]
     )
-    stats_two, states_two = _tested(two_p.select("ctx", "sym", "c", "p"), least_divergence)
+    stats_two, states_two = _tested(
+        two_p.select("ctx", "sym", "c", "p"), written(_totals(two), "totals"), least_divergence
+    )
     states |= states_two | {(s - size) % size for s in states_two}
     tree = Tree(singles, stats | stats_two, states)
     shared = spark.sparkContext.broadcast(tree)
+    in_states = one.union(two).join(F.broadcast(_longs(spark, tree.ids, "ctx")), "ctx")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, n, symbols = _lists(batch, i, "codes", "n", "symbols")
+                codes, n, symbols = _lists(batch, i, "n", "symbols")
                 block, j = batch.column("block")[i].as_py(), 0
                 for _, ctx, code, _ in _asked(shared.value, codes, n, symbols):
                     for at in range(0, len(ctx), 1 << 18):
@@ -287,7 +317,7 @@ def scored(
         ask, "block BIGINT, j BIGINT, ctx BIGINT, sym BIGINT"
     )
     answers = asked_words.join(words, "sym").select("block", (-1 - F.col("j")).cast("long").alias("j"), "c").union(
-        asked.join(one.union(two), ["ctx", "sym"]).select("block", "j", "c")
+        asked.join(in_states, ["ctx", "sym"]).select("block", "j", "c")
     )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -297,7 +327,7 @@ def scored(
         out = []
         for batch in left.combine_chunks().to_batches():
             for i in range(batch.num_rows):
-                codes, n, symbols = _lists(batch, i, "codes", "n", "symbols")
+                codes, n, symbols = _lists(batch, i, "n", "symbols")
                 known = np.zeros(len(symbols))
                 known[-1 - j[j < 0]] = c[j < 0]
                 asked = _asked(tree, codes, n, symbols)
