@@ -35,13 +35,17 @@ from snapfolio.llm.words import slices, split_words
 from snapfolio.sources.scratch import written
 
 ADDED = 0.1
-LEAST_SHARE = 5e-4
+LEAST_SHARE = 7e-4
 LEAST_DIVERGENCE = 0.02
 #: Bytes of text in a block, or one text.
 BLOCK_BYTES = 16 << 20
 #: The end token. No word hashes to it but by a chance of 2^-64.
 END = 0x5EED0E4D
 
+#: Answers are numbered from here on if they say where a word is among the states' words, from -1
+#: downwards if they have a word's count, else they have the count of a word in a state.
+PLACES = 1 << 40
+
 BLOCKS = (
     "block BIGINT, doc_id ARRAY<BIGINT>, held_out ARRAY<BOOLEAN>, n ARRAY<INT>, codes BINARY, "
     "symbols ARRAY<BIGINT>, n_train ARRAY<INT>"
@@ -113,9 +117,9 @@ class Contexts:
         k[k == len(self.words)] = 0
         return np.where(self.words[k] == symbols, k, -1)
 
-    def of(self, codes: np.ndarray, n: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, codes: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The context of one and of two words before every token, -1 where it is none of these."""
-        known = self.numbers(symbols)[codes]
+        known = numbers[codes]
         first = np.zeros(len(codes), dtype=bool)
         first[np.cumsum(n) - n] = True
         one = np.full(len(codes), -1, dtype=np.int64)
@@ -159,7 +163,8 @@ def followers(blocks: DataFrame, contexts: Contexts, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 codes, n, symbols, held = _lists(batch, i, "n", "symbols", "held_out")
                 train = np.repeat(~held, n)
-                ctx = shared.value.of(codes, n, symbols)[length - 1]
+                contexts = shared.value
+                ctx = contexts.of(codes, n, contexts.numbers(symbols))[length - 1]
                 use = train & (ctx >= 0)
                 c, code, _, counts = _distinct(ctx[use], codes[use], len(symbols))
                 for at in range(0, len(c), 1 << 18):
@@ -194,8 +199,10 @@ def _tested(
     return stats, {r["ctx"] for r in rows if r["gain"] >= least_divergence * r["total"]}
 
 
-def _longs(spark, values: np.ndarray, name: str) -> DataFrame:
-    return spark.createDataFrame([(int(v),) for v in values], f"{name} BIGINT")
+def _longs(spark, values: np.ndarray, name: str, place: str = "at") -> DataFrame:
+    """A small table of numbers and their places."""
+    rows = [(int(v), i) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"{name} BIGINT, {place} BIGINT")
 
 
 class Tree:
@@ -214,8 +221,8 @@ class Tree:
         self.total = np.array([stats[i][0] for i in ids.tolist()], dtype=np.float64)
         self.kinds = np.array([stats[i][1] for i in ids.tolist()], dtype=np.float64)
 
-    def of(self, codes, n, symbols) -> tuple[np.ndarray, np.ndarray]:
-        one, two = self.contexts.of(codes, n, symbols)
+    def of(self, codes, n, numbers) -> tuple[np.ndarray, np.ndarray]:
+        one, two = self.contexts.of(codes, n, numbers)
         return np.where(self.single[one], one, -1), two
 
     def smoothed(self, p: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -223,12 +230,12 @@ class Tree:
         return (c + self.kinds[k] * p) / (self.total[k] + self.kinds[k])
 
 
-def _asked(tree: Tree, codes: np.ndarray, n: np.ndarray, symbols: np.ndarray):
+def _asked(tree: Tree, codes: np.ndarray, n: np.ndarray, numbers: np.ndarray):
     """The distinct (state, token) of a block, in an order that is the same each time; per length."""
     out = []
-    for ctx in tree.of(codes, n, symbols):
+    for ctx in tree.of(codes, n, numbers):
         use = np.flatnonzero(ctx >= 0)
-        c, code, which, _ = _distinct(ctx[use], codes[use], len(symbols))
+        c, code, which, _ = _distinct(ctx[use], codes[use], len(numbers))
         out.append((use, c, code, which))
     return out
 
@@ -277,7 +284,7 @@ def scored(
     one_p = written(one.join(counts, "sym").select("ctx", "sym", "c", root.alias("p")), "followers")
     totals = written(_totals(one), "totals")
     stats, states = _tested(one_p, totals, least_divergence)
-    ends_pair = _longs(spark, np.unique(later[later >= 0]), "ctx")
+    ends_pair = _longs(spark, np.unique(later[later >= 0]), "ctx").select("ctx")
     suffix = (
         one_p.join(F.broadcast(ends_pair), "ctx")
         .join(F.broadcast(totals), "ctx")
@@ -295,14 +302,15 @@ def scored(
     states |= states_two | {(s - size) % size for s in states_two}
     tree = Tree(singles, stats | stats_two, states)
     shared = spark.sparkContext.broadcast(tree)
-    in_states = one.union(two).join(F.broadcast(_longs(spark, tree.ids, "ctx")), "ctx")
+    in_states = one.union(two).join(F.broadcast(_longs(spark, tree.ids, "ctx").select("ctx")), "ctx")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 codes, n, symbols = _lists(batch, i, "n", "symbols")
                 block, j = batch.column("block")[i].as_py(), 0
-                for _, ctx, code, _ in _asked(shared.value, codes, n, symbols):
+                numbers = shared.value.contexts.numbers(symbols)
+                for _, ctx, code, _ in _asked(shared.value, codes, n, numbers):
                     for at in range(0, len(ctx), 1 << 18):
                         part = slice(at, at + (1 << 18))
                         many = len(ctx[part])
@@ -316,9 +324,18 @@ def scored(
     asked = blocks.select("block", "codes", "n", "symbols").mapInArrow(
         ask, "block BIGINT, j BIGINT, ctx BIGINT, sym BIGINT"
     )
-    answers = asked_words.join(words, "sym").select("block", (-1 - F.col("j")).cast("long").alias("j"), "c").union(
-        asked.join(in_states, ["ctx", "sym"]).select("block", "j", "c")
+    # Of words only what the block does not know: that others have them too, and the places of
+    # the states' words.
+    places = _longs(spark, tree.contexts.words, "sym", "place")
+    elsewhere = (
+        asked_words.join(words, "sym")
+        .filter("c <> n")
+        .select("block", (-1 - F.col("j")).cast("long").alias("j"), "c")
+    )
+    numbered = asked_words.join(F.broadcast(places), "sym").select(
+        "block", (F.col("j") + PLACES).alias("j"), F.col("place").alias("c")
     )
+    answers = elsewhere.union(numbered).union(asked.join(in_states, ["ctx", "sym"]).select("block", "j", "c"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tree = shared.value
@@ -327,13 +344,16 @@ def scored(
         out = []
         for batch in left.combine_chunks().to_batches():
             for i in range(batch.num_rows):
-                codes, n, symbols = _lists(batch, i, "n", "symbols")
-                known = np.zeros(len(symbols))
+                codes, n, n_train = _lists(batch, i, "n", "n_train")
+                known = n_train.astype(np.float64)
                 known[-1 - j[j < 0]] = c[j < 0]
-                asked = _asked(tree, codes, n, symbols)
+                numbers = np.full(len(known), -1, dtype=np.int64)
+                numbers[j[j >= PLACES] - PLACES] = c[j >= PLACES]
+                asked = _asked(tree, codes, n, numbers)
                 sizes = [len(ctx) for _, ctx, _, _ in asked]
                 found = np.zeros(sum(sizes))
-                found[j[j >= 0]] = c[j >= 0]
+                pair = (j >= 0) & (j < PLACES)
+                found[j[pair]] = c[pair]
                 p_root = ((known + ADDED) / base)[codes]
                 p, at = p_root.copy(), 0
                 for (use, ctx, _, which), many in zip(asked, sizes, strict=True):
@@ -361,7 +381,7 @@ def scored(
         return pa.concat_tables(out)
 
     return (
-        blocks.select("block", "doc_id", "held_out", "n", "codes", "symbols")
+        blocks.select("block", "doc_id", "held_out", "n", "codes", "n_train")
         .groupBy("block")
         .cogroup(answers.select(F.col("block").alias("of"), "j", "c").groupBy("of"))
         .applyInArrow(
