@@ -37,7 +37,7 @@ LEAST_PERCENT = 85
 ROWS, SIDE = 3, 10
 #: Longs in a bitmap; the first comparison folds them to ``FOLDED``.
 BITMAP, FOLDED = 32, 8
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 
 SKETCH = (
     "doc_id BIGINT, node BIGINT, n_shingles BIGINT, lefts ARRAY<BIGINT>, rights ARRAY<BIGINT>, "
