@@ -33,9 +33,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/snapfolio/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the scratch folder: computed once, of known size, and safe
     from the loss of executors."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
