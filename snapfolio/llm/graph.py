@@ -52,14 +52,16 @@ def components(links: DataFrame) -> DataFrame:
 def bucket_components(
     rows: DataFrame,
     marks: DataFrame,
+    table: Column,
     near: Callable[[str, str], Column],
     first_table: Callable[[str, str], Column],
     confirm: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``node, component`` over all links between nodes that share a bucket.
 
-    rows         ``bucket, table, node`` (BIGINT), once per table and node
+    rows         ``bucket, node`` (BIGINT), once per table and node
     marks        ``node`` and a few narrow columns
+    table        the table that a bucket is in
     near         from the prefixes of two nodes' marks: a condition that holds for all links
     first_table  from the same: the first table in which the two share a bucket
     confirm      keeps of pairs ``a, b`` (a < b) those that are links
@@ -90,7 +92,7 @@ def bucket_components(
     links = written(confirm(written(first, "pairs")), "links")
     groups = components(links)
     placed = crowded.join(groups, "node", "left").select(
-        "bucket", "table", "node", F.coalesce("component", "node").alias("component")
+        "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     placed = written(placed, "placed")
     split = (
@@ -100,6 +102,7 @@ def bucket_components(
         .select("bucket")
     )
     rest = written(placed.join(split, "bucket", "left_semi").join(marks, "node"), "rest")
+    rest = rest.withColumn("table", table)
     every = ["bucket", "table", "node", "component", *columns]
     x = rest.select(*[F.col(c).alias(f"x_{c}") for c in every])
     y = rest.select(*[F.col(c).alias(f"y_{c}") for c in every])

@@ -179,14 +179,14 @@ def near_duplicates(
             F.sequence(F.lit(0), F.lit(SIDE - 1)),
             lambda i: F.transform(
                 F.sequence(F.lit(0), F.lit(SIDE - 1)),
-                lambda j: F.struct(
-                    (i * SIDE + j).alias("table"),
-                    F.xxhash64(i, j, F.get(F.col("lefts"), i), F.get(F.col("rights"), j)).alias("bucket"),
-                ),
+                # Two digits of the bucket tell the table.
+                lambda j: F.shiftright(
+                    F.xxhash64(F.get(F.col("lefts"), i), F.get(F.col("rights"), j)), 7
+                ) * (SIDE * SIDE) + i * SIDE + j,
             ),
         )
     )
-    rows = kept.select("node", F.explode(tables).alias("t")).select("t.bucket", "t.table", "node")
+    rows = kept.select("node", F.explode(tables).alias("bucket"))
     folds = [
         reduce(
             lambda a, b: a.bitwiseXOR(b),
@@ -246,7 +246,8 @@ def near_duplicates(
             100 * common >= least_percent * (F.col("n_a") + F.col("n_b") - common)
         ).select("a", "b")
 
-    groups = bucket_components(rows, marks, near, first_table, confirm)
+    table = F.pmod(F.col("bucket"), F.lit(SIDE * SIDE))
+    groups = bucket_components(rows, marks, table, near, first_table, confirm)
     ids = written(
         nodes.select("node", "least").join(groups, "node", "left").select(
             "node", "least", F.coalesce("component", "node").alias("component")
