@@ -35,10 +35,10 @@ from snapfolio.llm.words import slices, split_words
 from snapfolio.sources.scratch import written
 
 ADDED = 0.1
-LEAST_SHARE = 7e-4
+LEAST_SHARE = 1e-3
 LEAST_DIVERGENCE = 0.02
 #: Bytes of text in a block, or one text.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: The end token. No word hashes to it but by a chance of 2^-64.
 END = 0x5EED0E4D
 
@@ -94,7 +94,7 @@ def _packed(codes: np.ndarray) -> bytes:
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
     planes = pa.Codec("zstd").decompress(packed, decompressed_size=4 * n, asbytes=True)
     numbers = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, n).T)
-    return numbers.view("<u4").ravel().astype(np.int64)
+    return numbers.view("<i4").ravel()
 
 
 def _one_list(values) -> pa.Array:
@@ -112,38 +112,32 @@ class Contexts:
     def numbers(self, symbols: np.ndarray) -> np.ndarray:
         """The place of each symbol's word, or -1."""
         if not len(self.words):
-            return np.full(len(symbols), -1)
+            return np.full(len(symbols), -1, dtype=np.int32)
         k = np.searchsorted(self.words, symbols)
         k[k == len(self.words)] = 0
-        return np.where(self.words[k] == symbols, k, -1)
+        return np.where(self.words[k] == symbols, k, -1).astype(np.int32)
 
     def of(self, codes: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The context of one and of two words before every token, -1 where it is none of these."""
-        known = numbers[codes]
-        first = np.zeros(len(codes), dtype=bool)
-        first[np.cumsum(n) - n] = True
-        one = np.full(len(codes), -1, dtype=np.int64)
-        one[1:] = known[:-1]
-        one[first] = -1
+        one = np.full(len(codes), -1, dtype=np.int32)
+        one[1:] = numbers[codes[:-1]]
+        one[np.cumsum(n, dtype=np.int64) - n] = -1
         two = np.full(len(codes), -1, dtype=np.int64)
-        earlier = np.full(len(codes), -1, dtype=np.int64)
-        earlier[1:] = one[:-1]
-        both = (one >= 0) & (earlier >= 0) & ~first
-        size = len(self.words)
-        two[both] = size + earlier[both] * size + one[both]
-        if not len(self.pairs):
-            two[:] = -1
-        else:
-            k = np.searchsorted(self.pairs, two)
+        # A text's first token has no context, so a context before it is not one of this text.
+        both = np.flatnonzero((one[1:] >= 0) & (one[:-1] >= 0)) + 1
+        if len(both) and len(self.pairs):
+            size = len(self.words)
+            pair = size + one[both - 1].astype(np.int64) * size + one[both]
+            k = np.searchsorted(self.pairs, pair)
             k[k == len(self.pairs)] = 0
-            two[self.pairs[k] != two] = -1
+            two[both] = np.where(self.pairs[k] == pair, pair, -1)
         return one, two
 
 
 def _distinct(context: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (context, token) where there is a context: both, which is where, and how often."""
     keys, which, counts = np.unique(
-        context * np.int64(size) + codes, return_inverse=True, return_counts=True
+        context.astype(np.int64) * size + codes, return_inverse=True, return_counts=True
     )
     return keys // size, keys % size, which, counts
 
@@ -347,7 +341,7 @@ def scored(
                 codes, n, n_train = _lists(batch, i, "n", "n_train")
                 known = n_train.astype(np.float64)
                 known[-1 - j[j < 0]] = c[j < 0]
-                numbers = np.full(len(known), -1, dtype=np.int64)
+                numbers = np.full(len(known), -1, dtype=np.int32)
                 numbers[j[j >= PLACES] - PLACES] = c[j >= PLACES]
                 asked = _asked(tree, codes, n, numbers)
                 sizes = [len(ctx) for _, ctx, _, _ in asked]
@@ -360,8 +354,8 @@ def scored(
                     if len(use):
                         p[use] = tree.smoothed(p[use], ctx[which], found[at : at + many][which])
                     at += many
-                starts = np.cumsum(n) - n
-                inside = np.zeros(len(codes))
+                starts = np.cumsum(n, dtype=np.int64) - n
+                inside = np.zeros(len(codes), dtype=np.int8)
                 inside[asked[0][0]] = 1
                 inside[asked[1][0]] = 1
                 out.append(
@@ -374,7 +368,7 @@ def scored(
                             "train_tokens": np.full(len(n), n_all, dtype=np.int64),
                             "base_score": np.add.reduceat(np.log10(p_root), starts),
                             "score": np.add.reduceat(np.log10(p), starts),
-                            "n_in_states": np.add.reduceat(inside, starts).astype(np.int64),
+                            "n_in_states": np.add.reduceat(inside, starts, dtype=np.int64),
                         }
                     )
                 )
