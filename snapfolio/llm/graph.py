@@ -77,9 +77,7 @@ def bucket_components(
         return marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in ["node", *columns]])
 
     pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
-    crowded = written(
-        rows.join(pivots.filter("n > 1").drop("n"), "bucket"), "crowded"
-    )
+    crowded = written(rows.join(pivots.filter("n > 1"), "bucket"), "crowded")
     first = crowded.filter("node > pivot").select(
         F.col("pivot").alias("x_node"), F.col("node").alias("y_node")
     ).distinct()
@@ -91,7 +89,8 @@ def bucket_components(
     )
     links = written(confirm(written(first, "pairs")), "links")
     groups = components(links)
-    placed = crowded.join(groups, "node", "left").select(
+    # In a bucket of two the only pair has been compared.
+    placed = crowded.filter("n > 2").join(groups, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     placed = written(placed, "placed")
