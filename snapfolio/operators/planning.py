@@ -16,17 +16,18 @@ UNAVAILABLE = "unavailable"
 
 
 def unique_requests(requests: DataFrame) -> DataFrame:
-    """One request per key: earliest time, lowest id, refresh if any asked for it."""
+    """One request per key and day: the earliest (lowest id among equals), a refresh if any
+    of the day asked for it."""
     key = normalize_key(F.col("symbol"), F.col("data_type"))
     return (
         requests.withColumn("symbol", key)
         .filter(F.col("symbol").isNotNull())
-        .groupBy("data_type", "symbol")
+        .groupBy("data_type", "symbol", F.to_date("ts").alias("_day"))
         .agg(
-            F.min("request_id").alias("request_id"),
-            F.min("ts").alias("ts"),
+            F.min(F.struct("ts", "request_id")).alias("_first"),
             F.max("refresh").alias("refresh"),
         )
+        .select("data_type", "symbol", "_first.request_id", "_first.ts", "refresh")
     )
 
 
@@ -36,13 +37,14 @@ def plan_requests(
     used: DataFrame | None = None,
     daily_limit: int = DAILY_LIMIT,
 ) -> DataFrame:
-    """Add a ``decision`` to every distinct key of a batch of requests.
+    """Add a ``decision`` to every distinct key and day of a batch of requests.
 
     ``requests`` has ``request_id, ts, data_type, symbol, refresh``. A usable snapshot
     is served unless a refresh was asked for. Everything else is fetched while the
     day's budget lasts; beyond it a usable snapshot is the fallback.
 
-    Both sides of the join have one row per key, so no key is hot in it.
+    Every day is decided against the same store, the one that is given: what the batch
+    itself fetches is not in it. A key has one row per day, so none is hot in the join.
     """
     cached = usable_keys(store).withColumn("cached", F.lit(True))
     known = (

@@ -36,6 +36,8 @@ EMPTY = "empty"
 HTTP_ERROR = "http_error"
 PARSE_ERROR = "parse_error"
 NO_KEY = "no_key"
+UNKNOWN_TYPE = "unknown_type"
+NO_TIME = "no_time"
 
 
 def _members() -> dict[str, list[str]]:
@@ -141,15 +143,16 @@ def process_responses(landed: DataFrame) -> DataFrame:
     ``outcome`` says what became of it. ``accepted`` rows are the snapshot store,
     ``accepted`` and ``quarantined`` rows together are the request ledger, so the two
     come from one write and cannot disagree. Rows that are not accepted keep their
-    body as ``raw_data``. Works on batch and streaming DataFrames: no shuffle, no state.
+    body as ``raw_data``. Types that are not in the catalogue and rows without a time cannot be
+    placed, so they are neither snapshots nor requests. Works on batch and streaming DataFrames: no shuffle, no state.
     """
-    # A column without ``seq`` gets an id that is the same whenever the row is read again.
+    # A row without ``seq`` gets an id that is the same whenever the row is read again.
+    seq = F.xxhash64("endpoint", "data_type", "symbol", "ts", "status", "body")
     if "seq" in landed.columns:
-        seq = F.col("seq")
-    else:
-        seq = F.xxhash64("endpoint", "data_type", "symbol", "ts", "status", "body")
+        seq = F.coalesce(F.col("seq"), seq)
     body, data_type = F.col("body"), F.col("data_type")
-    rows = normalize_keys(landed.withColumn("_seq", seq))
+    rows = landed.withColumn("_seq", seq).withColumn("data_type", F.lower(F.trim("data_type")))
+    rows = normalize_keys(rows)
     # Each of these columns is used more than once by the next, so Spark computes it once.
     rows = rows.withColumn("_valid", (F.col("status") == 200) & is_valid_json(body))
     rows = rows.withColumn(
@@ -171,6 +174,8 @@ def process_responses(landed: DataFrame) -> DataFrame:
     )
     outcome = (
         F.when(F.col("symbol").isNull(), NO_KEY)
+        .when(~F.coalesce(data_type.isin(data_types_where(lambda s: True)), F.lit(False)), UNKNOWN_TYPE)
+        .when(F.col("ts").isNull(), NO_TIME)
         .when(F.col("problem").isNotNull(), QUARANTINED)
         .otherwise(F.col("outcome"))
     )

@@ -45,8 +45,12 @@ def decoded_records(
     """
     if spec.shape == NESTED_MAP:
         raise ValueError(f"{spec.data_type}: a map of maps has no record array")
-    record_ddl = record_ddl or spec.record_ddl
     raw, decoded = F.col("raw_data"), F.col("_decoded")
+    # Numbers may arrive as text, so declared fields are read as text and cast.
+    texts = record_ddl is None and any(f.sql_type != "STRING" for f in spec.fields)
+    if texts:
+        record_ddl = "STRUCT<" + ", ".join(f"`{f.key}`: STRING" for f in spec.fields) + ">"
+    record_ddl = record_ddl or spec.record_ddl
     if spec.shape in (RECORDS, ENVELOPE):
         kind, value, records = "array", decode_payload(raw, f"ARRAY<{record_ddl}>"), decoded
         maps = decode_payload(raw, "ARRAY<MAP<STRING, STRING>>")
@@ -56,6 +60,14 @@ def decoded_records(
         records = F.array(decoded[spec.member])
         nested_map = f"STRUCT<`{spec.member}`: MAP<STRING, STRING>>"
         maps = F.array(decode_payload(raw, nested_map)[spec.member])
+    if texts:
+        records = F.transform(
+            records,
+            lambda r: F.when(
+                r.isNotNull(),
+                F.struct(*[r[f.key].try_cast(f.sql_type).alias(f.key) for f in spec.fields]),
+            ),
+        )
     shown = F.exists(records, lambda r: _any_value(r, spec.keys)) | _any_key(maps, spec.keys)
     rows = snapshots.select(
         "symbol", "raw_data", F.when(payload_kind(raw) == kind, value).alias("_decoded")
@@ -128,12 +140,14 @@ def flatten_nested_map(snapshots: DataFrame, member: str) -> DataFrame:
 
     A map promises no order, so the rows have no position.
     """
-    value = decode_payload(
-        F.col("raw_data"), f"STRUCT<`{member}`: MAP<STRING, MAP<STRING, DOUBLE>>>"
-    )[member]
+    periods = decode_payload(F.col("raw_data"), f"STRUCT<`{member}`: MAP<STRING, STRING>>")[member]
+    # Each period and each number by itself: one that is odd takes no other with it.
+    segments = decode_payload(F.col("_period"), "MAP<STRING, STRING>")
     return (
-        snapshots.select("symbol", F.explode(value).alias("period", "_segments"))
-        .select("symbol", "period", F.explode("_segments").alias("segment", "value"))
+        snapshots.select("symbol", F.explode(periods).alias("period", "_period"))
+        .filter(payload_kind(F.col("_period")) == "object")
+        .select("symbol", "period", F.explode(segments).alias("segment", "_value"))
+        .select("symbol", "period", "segment", F.col("_value").try_cast("double").alias("value"))
     )
 
 

@@ -67,7 +67,9 @@ def latest_snapshot(
         store, keys = of_type(store, data_type), ["symbol"]
     if how == "lookup":
         newest = written(newest_times(store, keys), "newest")
-        candidates = store.join(newest, [*keys, "last_updated"], "left_semi")
+        # Keys whose times are all NULL have a NULL newest time, which is one to be found.
+        same = [store[c].eqNullSafe(newest[c]) for c in [*keys, "last_updated"]]
+        candidates = store.join(newest, same, "left_semi")
         store = candidates.select(store.columns)
     elif how != "rank":
         raise ValueError(f"unknown way to find the latest: {how!r}")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from snapfolio.catalog import NESTED_MAP, NESTED_OBJECT, DatasetSpec
 from snapfolio.functions import decode_payload, encode_payload, payload_kind
@@ -13,7 +15,14 @@ from snapfolio.operators.shaping import explode_records, flatten_nested_map
 from snapfolio.operators.store import latest_snapshot, nonempty_latest
 
 # Quotes are doubled, so that text with commas, quotes and line ends survives.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+# Blanks at either end of a text are part of it.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+#: Characters that Spark writes as %XX in the folder of a partition. Fixed values.
+ESCAPED = [chr(c) for c in range(1, 32)] + list("\"#%'*/:=?\\\x7f{[]^")
 
 
 def select_export_keys(df: DataFrame, keys: Sequence[str] | DataFrame | None = None) -> DataFrame:
@@ -49,7 +58,9 @@ def infer_record_type(store: DataFrame, spec: DatasetSpec, how: str = "lookup")
     declared = {f.key: f"`{f.key}`: {f.sql_type}" for f in spec.fields}
     extras: list[str] = []
     if found and found.startswith("OBJECT<"):
-        ddl = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+        # Only what stands where a type does, not keys that contain these words.
+        ddl = re.sub(r"(^|: |ARRAY<)OBJECT<", r"\1STRUCT<", found)
+        ddl = re.sub(r"(: |ARRAY<)(VOID|VARIANT)(?=[,>])", r"\1STRING", ddl)
         struct = T.DataType.fromDDL(ddl)
         extras = [
             f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}"
@@ -88,13 +99,19 @@ def export_path(directory: str, data_type: str, run: str) -> str:
     return f"{directory.rstrip('/')}/{data_type}/run={run}"
 
 
+def folder_name(symbol: Column) -> Column:
+    """A symbol as it stands in the name of its folder, ``%`` first."""
+    order = sorted(ESCAPED, key=lambda c: c != "%")
+    return reduce(lambda s, c: F.replace(s, F.lit(c), F.lit(f"%{ord(c):02X}")), order, symbol)
+
+
 def export_targets(symbols: DataFrame, spec: DatasetSpec, directory: str, run: str) -> DataFrame:
     """The name of the folder of every symbol within an export by symbol."""
     base = export_path(directory, spec.data_type, run)
     return symbols.select(
         "symbol",
         F.concat("symbol", F.lit(f"_{spec.export_suffix}_{run}")).alias("file_base"),
-        F.concat(F.lit(f"{base}/symbol="), "symbol").alias("target"),
+        F.concat(F.lit(f"{base}/symbol="), folder_name(F.col("symbol"))).alias("target"),
     )
 
 

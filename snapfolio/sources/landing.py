@@ -18,10 +18,10 @@ def stream_landed(spark: SparkSession, path: str, fmt: str = "json", **options:
     return spark.readStream.schema(LANDING_DDL).format(fmt).options(**options).load(path)
 
 
-def ingest_landed_payloads(landed: DataFrame, log_path: str) -> None:
+def ingest_landed_payloads(landed: DataFrame, log_path: str, run: str | None = None) -> None:
     """Classify landed responses and append them to the response log.
 
-    One write holds both the snapshots and the requests they cost, so a failed job
-    leaves neither, and the two can never disagree.
+    One write holds both the snapshots and the requests they cost, so the two can never
+    disagree. Name the ``run`` to be able to repeat it: it replaces its own folder.
     """
-    append_log(process_responses(landed), log_path)
+    append_log(process_responses(landed), log_path, run)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapfolio.functions import has_content
@@ -40,15 +42,21 @@ def scan_snapshots(spark: SparkSession, path: str, data_type: str | None = None)
     return store if data_type is None else store.filter(F.col("data_type") == data_type)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Append processed responses in a single write, by outcome and data type."""
-    _clustered(log, "outcome", "data_type").write.mode("append").partitionBy(
+def append_log(log: DataFrame, path: str, run: str | None = None) -> None:
+    """Append processed responses in a single write, by outcome and data type.
+
+    Every run has a folder of its own. A run that is repeated under its name replaces what
+    it wrote before, so a failed or repeated job counts nothing twice.
+    """
+    target = f"{path.rstrip('/')}/run={run or uuid.uuid4().hex}"
+    _clustered(log, "outcome", "data_type").write.mode("overwrite").partitionBy(
         "outcome", "data_type"
-    ).parquet(path)
+    ).parquet(target)
 
 
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_DDL).parquet(path)
+    names = [c.split()[0] for c in LOG_DDL.split(", ")]
+    return spark.read.schema(f"{LOG_DDL}, run STRING").parquet(path).select(names)
 
 
 def store_of_log(spark: SparkSession, path: str) -> DataFrame:

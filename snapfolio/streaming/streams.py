@@ -5,11 +5,15 @@ All queries take ``available_now=True`` to work off what is there and stop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from snapfolio.operators.ledger import request_counts
 from snapfolio.operators.responses import process_responses
 from snapfolio.operators.store import KEY, STORE_DDL, latest_snapshot
+from snapfolio.sources.store_table import append_log
 
 
 def _start(writer, available_now: bool) -> StreamingQuery:
@@ -23,71 +27,42 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Landed responses into the response log, each exactly once.
 
-    Stateless: classification and reshaping run where the files are read.
+    Stateless: classification and reshaping run where the files are read. A micro-batch is
+    a run of the log like any batch job's, so both can share a log; a repeated one replaces
+    its own folder.
     """
-    writer = (
-        process_responses(landed)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("outcome", "data_type")
-        .option("checkpointLocation", checkpoint)
-        .option("path", log_path)
-    )
-    return _start(writer, available_now)
-
+    name = f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
 
-def _event_time(ts: Column, zone: str) -> Column:
-    """A wall-clock time as the instant that reads the same in UTC.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_log(process_responses(batch), log_path, f"stream-{name}-{batch_id}")
 
-    Watermarks need instants, and day windows start at midnight UTC.
-    """
-    return F.from_utc_timestamp(ts.cast("timestamp"), zone)
+    writer = landed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return _start(writer, available_now)
 
 
 COUNTS_DDL = "endpoint STRING, date DATE, count BIGINT, batch_id BIGINT"
 
 
 def stream_request_counts(
-    log: DataFrame,
-    path: str,
-    checkpoint: str,
-    late: str = "1 day",
-    available_now: bool = False,
+    log: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Running counts per endpoint and day, written per batch for the days that changed.
+    """Counts per endpoint and day of every micro-batch, however late its requests are.
 
-    State holds one number per endpoint and day, and days older than ``late`` behind
-    the newest request are closed. A batch that is repeated after a failure overwrites
-    its own output. Read the result with ``read_request_counts``.
+    No state is kept, so no day is ever closed. A batch that is repeated after a failure
+    overwrites its own output. Read the sums with ``read_request_counts``.
     """
-    zone = log.sparkSession.conf.get("spark.sql.session.timeZone")
-    counts = (
-        log.withColumn("_at", _event_time(F.col("ts"), zone))
-        .withWatermark("_at", late)
-        .groupBy(F.window("_at", "1 day").alias("_day"), "endpoint")
-        .count()
-        .select(
-            "endpoint",
-            F.to_date(F.to_utc_timestamp(F.col("_day.start"), zone)).alias("date"),
-            "count",
-        )
-    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        request_counts(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-    )
+    writer = log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return _start(writer, available_now)
 
 
 def read_request_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The counts as of the last batch. A running count only grows, so the largest is it."""
-    updates = spark.read.schema(COUNTS_DDL).parquet(path)
-    return updates.groupBy("endpoint", "date").agg(F.max("count").alias("count"))
+    """The counts over all batches."""
+    batches = spark.read.schema(COUNTS_DDL).parquet(path)
+    return batches.groupBy("endpoint", "date").agg(F.sum("count").alias("count"))
 
 
 def stream_latest_snapshot(

@@ -143,7 +143,7 @@ def test_streamed_counts_and_latest_equal_batch(spark):
         streams.stream_latest_snapshot(read, latest, f"{latest}-ckpt", available_now=True).awaitTermination()
         log = read.select(F.col("data_type").alias("endpoint"), F.col("last_updated").alias("ts"))
         streams.stream_request_counts(
-            log, counts, f"{counts}-ckpt", late="3 days", available_now=True
+            log, counts, f"{counts}-ckpt", available_now=True
         ).awaitTermination()
 
     latest, counts = new_folder(spark, "test-latest"), new_folder(spark, "test-counts")

@@ -78,23 +78,24 @@ def test_a_day_with_many_requests(spark):
 
 
 def _plan_by_hand(requests, cached, used, limit):
-    """One request after the other, each key once."""
+    """One request after the other, each key once a day."""
     keys = {}
     for rid, ts, data_type, symbol, refresh in requests:
-        key = (data_type, symbol.strip().upper())
+        key = (data_type, symbol.strip().upper(), ts.date())
         if not key[1]:
             continue
         old = keys.get(key, (rid, ts, False))
-        keys[key] = (min(old[0], rid), min(old[1], ts), old[2] or refresh)
+        first = min((old[1], old[0]), (ts, rid))
+        keys[key] = (first[1], first[0], old[2] or refresh)
     plan, spent = {}, dict(used)
     for key, (_, ts, refresh) in sorted(keys.items(), key=lambda k: (k[1][1], k[1][0])):
-        if key in cached and not refresh:
+        if key[:2] in cached and not refresh:
             plan[key] = "serve_cache"
         elif spent.get(ts.date(), 0) < limit:
             spent[ts.date()] = spent.get(ts.date(), 0) + 1
             plan[key] = "fetch"
         else:
-            plan[key] = "fallback_cache" if key in cached else "unavailable"
+            plan[key] = "fallback_cache" if key[:2] in cached else "unavailable"
     return plan
 
 
@@ -116,7 +117,7 @@ def test_plan_matches_deciding_one_by_one(spark, store_of):
         df, store_of(*snapshots), spark.createDataFrame(list(used.items()), "date DATE, total BIGINT"),
         daily_limit=9,
     )
-    got = {(r["data_type"], r["symbol"]): r["decision"] for r in plan.collect()}
+    got = {(r["data_type"], r["symbol"], r["ts"].date()): r["decision"] for r in plan.collect()}
     expected = _plan_by_hand(requests, cached, used, 9)
     assert got == expected
     assert set(expected.values()) == {"serve_cache", "fetch", "fallback_cache", "unavailable"}

@@ -165,9 +165,9 @@ REQUESTS = """
     SELECT CASE o_orderstatus WHEN 'O' THEN 'view' WHEN 'P' THEN 'click' ELSE 'purchase' END
                AS data_type,
            CAST(o_custkey AS VARCHAR) AS symbol, MIN(o_orderkey) AS request_id,
-           MIN(CAST(date_trunc('year', o_orderdate) AS TIMESTAMP)) AS ts,
+           CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS ts,
            bool_or(o_orderpriority = '1-URGENT') AS refresh
-    FROM orders GROUP BY 1, 2"""
+    FROM orders GROUP BY 1, 2, 4"""
 
 PLAN = f"""
     WITH known AS (
