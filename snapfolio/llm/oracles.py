@@ -6,8 +6,8 @@ _QUALITY_RULES = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)),
-                x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    [x FOR x IN string_split(coalesce(text, ''), chr(10))
+     IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
   FROM documents
 ),
 g AS (
