@@ -132,6 +132,8 @@ def _decided(rows: DataFrame) -> DataFrame:
         .filter("n > 1 and newest is not null")
         .drop("n")
     )
+    # Written, its size is known: if it is small, Spark need not shuffle the payloads to join it.
+    same = written(same, "same")
     joined = rows.join(same, "digest", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     return joined.select(
