@@ -31,7 +31,7 @@ SEGMENT = 64
 SHORTEST = 24
 BLOCK_CHARS = 4 << 20
 #: Characters of documents that are looked at together.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 #: Bits of a q-gram's hash that are looked up first.
 TABLE_BITS = 22
 #: Regions that are aligned together.

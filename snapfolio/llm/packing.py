@@ -32,9 +32,9 @@ from snapfolio.sources.scratch import written
 CAPACITY = 4096
 END_ID = 1
 #: Texts of one batch that are split at once, in bytes.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 PIECES = (
     "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT, "
