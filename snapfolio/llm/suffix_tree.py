@@ -2,18 +2,19 @@
 
 Tokens are words, A-Z in lower case, and an end per text. The root's distribution is that of single
 tokens, each count raised by 0.1 and one more token allowed for. A context of one or two words is
-a candidate if it makes up ``LEAST_SHARE`` of the training tokens, so there are at most 1 / share of
-each length, however large the corpus. A candidate becomes a state if its next-token distribution
+a candidate if training texts have it ``LEAST_COUNT`` times. That number does not depend on the
+corpus, so what is learnt grows with it. A candidate becomes a state if its next-token distribution
 diverges from that of its suffix: by ``LEAST_DIVERGENCE`` nats per occurrence at least, each occurrence left out
 of the counts that it is judged by, so that chance does not pass for structure. The suffix of a
 state is a state. Distributions are smoothed towards the suffix's (Witten-Bell):
 (count + kinds * p(suffix)) / (total + kinds). A token's probability is that in the longest state that
 its preceding words end with.
 
-Texts are encoded once, in blocks: the numbers of their words, and the distinct words' hashes. All
-counts and all look-ups concern the distinct words or contexts of a block and are joins on
-hashes, so a word that is in every text is a row per block. The distributions are never
-gathered anywhere; only the states themselves, whose number is bounded as said, come to the driver.
+Texts are encoded once, in blocks: the numbers of their words, and the distinct words' hashes. A block
+sends each distinct (context, token) once, and they are counted over all blocks, first for single words,
+then for the pairs found to be frequent. Each block is told the counts it asked for and which of its
+contexts are states. Contexts, states and distributions are tables only; none of them comes
+to the driver or is held whole by a task.
 
 A null text counts as an empty one: one end token. The remainder of a null id is that of an empty
 text. Repeated rows are learnt from and scored like any other. Columns other than the id and the text
@@ -27,29 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from snapfolio.llm.langid import held_out
-from snapfolio.llm.words import slices, split_words
+from snapfolio.llm.words import mix, slices, split_words
 from snapfolio.sources.scratch import written
 
 ADDED = 0.1
-LEAST_SHARE = 1e-3
+#: Occurrences of a context in training texts, whatever their size.
+LEAST_COUNT = 50
 LEAST_DIVERGENCE = 0.02
 #: Bytes of text in a block, or one text.
 BLOCK_BYTES = 12 << 20
 #: The end token. No word hashes to it but by a chance of 2^-64.
 END = 0x5EED0E4D
 
-#: Answers are numbered from here on if they say where a word is among the states' words, from -1
-#: downwards if they have a word's count, else they have the count of a word in a state.
-PLACES = 1 << 40
-
 BLOCKS = (
     "block BIGINT, doc_id ARRAY<BIGINT>, held_out ARRAY<BOOLEAN>, n ARRAY<INT>, codes BINARY, "
     "symbols ARRAY<BIGINT>, n_train ARRAY<INT>"
 )
+COUNTED = BLOCKS.replace("n_train ARRAY<INT>", "counts ARRAY<BIGINT>")
+TOLD = COUNTED + ", in_all ARRAY<BIGINT>, kinds ARRAY<BIGINT>, state ARRAY<BOOLEAN>"
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -102,136 +102,172 @@ def _one_list(values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-class Contexts:
-    """Contexts by number. One word has its place in ``words``; two words, the earlier a, the
-    later b, have K + a K + b with K words; ``pairs`` has those of interest."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs = np.sort(words), np.sort(pairs)
-
-    def numbers(self, symbols: np.ndarray) -> np.ndarray:
-        """The place of each symbol's word, or -1."""
-        if not len(self.words):
-            return np.full(len(symbols), -1, dtype=np.int32)
-        k = np.searchsorted(self.words, symbols)
-        k[k == len(self.words)] = 0
-        return np.where(self.words[k] == symbols, k, -1).astype(np.int32)
-
-    def of(self, codes: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The context of one and of two words before every token, -1 where it is none of these."""
-        one = np.full(len(codes), -1, dtype=np.int32)
-        one[1:] = numbers[codes[:-1]]
-        one[np.cumsum(n, dtype=np.int64) - n] = -1
-        two = np.full(len(codes), -1, dtype=np.int64)
-        # A text's first token has no context, so a context before it is not one of this text.
-        both = np.flatnonzero((one[1:] >= 0) & (one[:-1] >= 0)) + 1
-        if len(both) and len(self.pairs):
-            size = len(self.words)
-            pair = size + one[both - 1].astype(np.int64) * size + one[both]
-            k = np.searchsorted(self.pairs, pair)
-            k[k == len(self.pairs)] = 0
-            two[both] = np.where(self.pairs[k] == pair, pair, -1)
-        return one, two
-
-
-def _distinct(context: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (context, token) where there is a context: both, which is where, and how often."""
-    keys, which, counts = np.unique(
-        context.astype(np.int64) * size + codes, return_inverse=True, return_counts=True
-    )
-    return keys // size, keys % size, which, counts
+def _distinct(context: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (context, token), always in the same order, and which one each pair given is."""
+    keys, which = np.unique(context * size + codes, return_inverse=True)
+    return keys // size, keys % size, which
 
 
-def _lists(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
-    """Columns of one block, the tokens' numbers first."""
-    out = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in names]
-    return [_unpacked(batch.column("codes")[i].as_py(), int(out[0].sum())), *out]
+def _before(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The value one token earlier in the same text, or -1."""
+    out = np.full(len(values), -1, dtype=np.int64)
+    out[1:] = values[:-1]
+    out[np.cumsum(n, dtype=np.int64) - n] = -1
+    return out
 
 
-def followers(blocks: DataFrame, contexts: Contexts, length: int) -> DataFrame:
-    """``ctx, sym, c``: how often each token follows each context in training texts."""
-    shared = blocks.sparkSession.sparkContext.broadcast(contexts)
+def _bigrams(codes: np.ndarray, n: np.ndarray, counts: np.ndarray, least: int):
+    """The tokens that follow a frequent word, and the distinct (word, token)."""
+    before = _before(codes, n)
+    use = np.flatnonzero((before >= 0) & (counts[before] >= least))
+    return use, *_distinct(before[use], codes[use], len(counts))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes, n, symbols, held = _lists(batch, i, "n", "symbols", "held_out")
-                train = np.repeat(~held, n)
-                contexts = shared.value
-                ctx = contexts.of(codes, n, contexts.numbers(symbols))[length - 1]
-                use = train & (ctx >= 0)
-                c, code, _, counts = _distinct(ctx[use], codes[use], len(symbols))
-                for at in range(0, len(c), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[part]), pa.array(symbols[code[part]]), pa.array(counts[part])],
-                        names=["ctx", "sym", "c"],
-                    )
-
-    columns = blocks.select("codes", "n", "symbols", "held_out")
-    found = columns.mapInArrow(count, "ctx BIGINT, sym BIGINT, c BIGINT")
-    return found.groupBy("ctx", "sym").agg(F.sum("c").alias("c"))
-
-
-def _totals(entries: DataFrame) -> DataFrame:
-    """A row per candidate context."""
-    return entries.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-
-
-def _tested(
-    entries: DataFrame, totals: DataFrame, least_divergence: float
-) -> tuple[dict[int, tuple[int, int]], set[int]]:
-    """Of rows ``ctx, sym, c, p`` (p: the suffix's probability) the total and kinds of every context,
-    and the contexts that diverge."""
-    joined = entries.join(F.broadcast(totals), "ctx")
+
+def _trigrams(codes, n, use, which, in_all, least: int, size: int):
+    """The tokens that follow a frequent pair, and the distinct (number of the pair, token)."""
+    pair = np.full(len(codes), -1, dtype=np.int64)
+    pair[use] = which
+    before = _before(pair, n)
+    # The count appended is that of no pair.
+    use = np.flatnonzero(np.append(in_all, -1)[before] >= least)
+    return pair, use, *_distinct(before[use], codes[use], size)
+
+
+def _columns(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
+    """Columns of one block, the tokens' numbers and the texts' lengths first."""
+    n, *out = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("n", *names)]
+    return [_unpacked(batch.column("codes")[i].as_py(), int(n.sum())).astype(np.int64), n, *out]
+
+
+def _entries(block: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows numbered from 0, in batches."""
+    many = len(columns["c"])
+    for at in range(0, many, 1 << 18):
+        part = slice(at, min(at + (1 << 18), many))
+        j = np.arange(part.start, part.stop)
+        yield pa.RecordBatch.from_pydict(
+            {"block": np.full(len(j), block), "j": j, **{k: v[part] for k, v in columns.items()}}
+        )
+
+
+def _in_all(entries: DataFrame) -> DataFrame:
+    """Rows ``block, j, ctx, sym, c, …`` with c summed over all blocks; ``nth`` is 1 in one row of each
+    (context, token). A block has each of them once, so a group is as large as there are blocks."""
+    same = Window.partitionBy("ctx", "sym")
+    nth = F.row_number().over(same.orderBy("block")).alias("nth")
+    others = [c for c in entries.columns if c not in ("sym", "c")]
+    return entries.select(*others, F.sum("c").over(same).alias("c"), nth)
+
+
+def _tested(counted: DataFrame, least_divergence: float, *more: Column) -> DataFrame:
+    """``ctx, kinds, state`` per context, and ``more`` aggregates."""
+    grams = counted.filter("nth = 1 AND c > 0")
+    totals = written(grams.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")), "totals")
     kinds = F.col("kinds") - F.when(F.col("c") == 1, 1).otherwise(0)
     left_out = (F.col("c") - 1 + kinds * F.col("p")) / (F.col("total") - 1 + kinds)
     # Nothing is left of a context that occurred once.
     gain = F.when(F.col("total") > 1, F.col("c") * F.log(left_out / F.col("p"))).otherwise(0.0)
-    rows = joined.groupBy("ctx", "total", "kinds").agg(F.sum(gain).alias("gain")).collect()
-    stats = {r["ctx"]: (r["total"], r["kinds"]) for r in rows}
-    return stats, {r["ctx"] for r in rows if r["gain"] >= least_divergence * r["total"]}
-
-
-def _longs(spark, values: np.ndarray, name: str, place: str = "at") -> DataFrame:
-    """A small table of numbers and their places."""
-    rows = [(int(v), i) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, f"{name} BIGINT, {place} BIGINT")
-
-
-class Tree:
-    """The states: of each its total and kinds, and which contexts are states."""
-
-    def __init__(self, words: np.ndarray, stats: dict[int, tuple[int, int]], states: set[int]):
-        size = len(words)
-        self.suffix_size = size
-        singles = np.array(sorted(s for s in states if s < size), dtype=np.int64)
-        pairs = np.array(sorted(s for s in states if s >= size), dtype=np.int64)
-        self.contexts = Contexts(words, pairs)
-        self.single = np.zeros(size + 1, dtype=bool)
-        self.single[singles] = True
-        ids = np.concatenate([singles, pairs])
-        self.ids = ids
-        self.total = np.array([stats[i][0] for i in ids.tolist()], dtype=np.float64)
-        self.kinds = np.array([stats[i][1] for i in ids.tolist()], dtype=np.float64)
-
-    def of(self, codes, n, numbers) -> tuple[np.ndarray, np.ndarray]:
-        one, two = self.contexts.of(codes, n, numbers)
-        return np.where(self.single[one], one, -1), two
-
-    def smoothed(self, p: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.ids, ctx)
-        return (c + self.kinds[k] * p) / (self.total[k] + self.kinds[k])
-
-
-def _asked(tree: Tree, codes: np.ndarray, n: np.ndarray, numbers: np.ndarray):
-    """The distinct (state, token) of a block, in an order that is the same each time; per length."""
-    out = []
-    for ctx in tree.of(codes, n, numbers):
-        use = np.flatnonzero(ctx >= 0)
-        c, code, which, _ = _distinct(ctx[use], codes[use], len(numbers))
-        out.append((use, c, code, which))
-    return out
+    tested = grams.join(totals, "ctx").groupBy("ctx", "total", "kinds").agg(F.sum(gain).alias("gain"), *more)
+    return tested.withColumn("state", F.col("gain") >= least_divergence * F.col("total")).drop("gain", "total")
+
+
+def _answers(counted: DataFrame, tested: DataFrame) -> DataFrame:
+    """What each block is told of its contexts and tokens."""
+    told = counted.join(tested.select("ctx", "kinds", "state"), "ctx")
+    return told.select(F.col("block").alias("of"), "j", "c", "kinds", "state")
+
+
+def _told(blocks: DataFrame, answers: DataFrame, function, schema: str) -> DataFrame:
+    """Every block with the answers to it."""
+    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(function, schema)
+
+
+def _sorted_answers(right: pa.Table) -> tuple[np.ndarray, ...]:
+    """``j, c, kinds, state`` by j."""
+    order = np.argsort(right.column("j").to_numpy(), kind="stable")
+    return tuple(right.column(c).to_numpy()[order] for c in ("j", "c", "kinds", "state"))
+
+
+def with_counts(blocks: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The blocks with ``counts``, the training count of each of their words in all blocks."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch = left.combine_chunks().to_batches()[0]
+        counts = batch.column("n_train")[0].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts[right.column("j").to_numpy()] = right.column("c").to_numpy()
+        return left.drop_columns(["n_train"]).append_column("counts", pa.chunked_array([_one_list(counts)]))
+
+    # A block is not told of words that only it has.
+    elsewhere = asked.join(words, "sym").filter("c <> n").select(F.col("block").alias("of"), "j", "c")
+    return _told(blocks, elsewhere, count, COUNTED)
+
+
+def followers(blocks: DataFrame, least: int, base: float) -> DataFrame:
+    """``ctx, sym`` once per block, with the block's training count c and the root's probability p."""
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, n, symbols, counts, held = _columns(batch, i, "symbols", "counts", "held_out")
+                use, ctx, code, which = _bigrams(codes, n, counts, least)
+                train = np.repeat(~held, n)[use]
+                own = np.bincount(which[train], minlength=len(ctx))
+                p = (counts[code] + ADDED) / base
+                yield from _entries(
+                    batch.column("block")[i].as_py(), {"ctx": symbols[ctx], "sym": symbols[code], "c": own, "p": p}
+                )
+
+    columns = blocks.select("block", "codes", "n", "symbols", "counts", "held_out")
+    return columns.mapInArrow(follow, "block BIGINT, j BIGINT, ctx BIGINT, sym BIGINT, c BIGINT, p DOUBLE")
+
+
+def with_singles(blocks: DataFrame, answers: DataFrame, least: int) -> DataFrame:
+    """The blocks with what they are told of single words: ``in_all`` has the training count of each (word, token),
+    ``kinds`` and ``state`` concern the words."""
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch = left.combine_chunks().to_batches()[0]
+        codes, n, counts = _columns(batch, 0, "counts")
+        _, ctx, _, _ = _bigrams(codes, n, counts, least)
+        _, c, kinds, state = _sorted_answers(right)
+        kinds_of, state_of = np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=bool)
+        kinds_of[ctx], state_of[ctx] = kinds, state
+        for name, values in (("in_all", c), ("kinds", kinds_of), ("state", state_of)):
+            left = left.append_column(name, pa.chunked_array([_one_list(values)]))
+        return left
+
+    return _told(blocks, answers, tell, TOLD)
+
+
+def pair_followers(blocks: DataFrame, least: int, base: float) -> DataFrame:
+    """As ``followers``, for contexts of two words; p is that of the later word, which is ``suffix``."""
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, n, symbols, counts, held, in_all, kinds = _columns(
+                    batch, i, "symbols", "counts", "held_out", "in_all", "kinds"
+                )
+                use, word, later, which = _bigrams(codes, n, counts, least)
+                pair, use, ctx, code, which = _trigrams(codes, n, use, which, in_all, least, len(counts))
+                train = np.repeat(~held, n)[use]
+                own = np.bincount(which[train], minlength=len(ctx))
+                # Any place of each (pair, token) tells which (word, token) it ends with.
+                last = np.zeros(len(ctx), dtype=np.int64)
+                last[which] = pair[use]
+                suffix = later[ctx]
+                root = (counts[code] + ADDED) / base
+                p = (in_all[last] + kinds[suffix] * root) / (counts[suffix] + kinds[suffix])
+                pairs = mix(symbols[word[ctx]].view(np.uint64), symbols[suffix].view(np.uint64)).view(np.int64)
+                yield from _entries(
+                    batch.column("block")[i].as_py(),
+                    {"ctx": pairs, "suffix": symbols[suffix], "sym": symbols[code], "c": own, "p": p},
+                )
+
+    columns = blocks.select("block", "codes", "n", "symbols", "counts", "held_out", "in_all", "kinds")
+    return columns.mapInArrow(
+        follow, "block BIGINT, j BIGINT, ctx BIGINT, suffix BIGINT, sym BIGINT, c BIGINT, p DOUBLE"
+    )
 
 
 def scored(
@@ -240,147 +276,74 @@ def scored(
     text_col: str = "text",
     folds: int = 10,
     fold: int = 0,
-    least_share: float = LEAST_SHARE,
+    least_count: int = LEAST_COUNT,
     least_divergence: float = LEAST_DIVERGENCE,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` and ``n_in_states``, the tokens
     predicted by a state other than the root, of every row."""
-    spark = docs.sparkSession
+    if least_count < 1:
+        raise ValueError("a context must occur once at least")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds, fold).alias("held_out"),
         F.col(text_col).alias("text"),
     )
     blocks = written(encoded(rows), "blocks")
-    asked_words = blocks.select("block", F.posexplode(F.arrays_zip("symbols", "n_train")).alias("j", "s"))
-    asked_words = asked_words.select("block", "j", F.col("s.symbols").alias("sym"), F.col("s.n_train").alias("n"))
-    words = written(
-        asked_words.filter("n > 0").groupBy("sym").agg(F.sum("n").alias("c")), "words"
-    )
+    asked = blocks.select("block", F.posexplode(F.arrays_zip("symbols", "n_train")).alias("j", "s"))
+    asked = asked.select("block", "j", F.col("s.symbols").alias("sym"), F.col("s.n_train").alias("n"))
+    words = written(asked.filter("n > 0").groupBy("sym").agg(F.sum("n").alias("c")), "words")
     first = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = first["n"] or 0, first["v"]
     base = n_all + ADDED * (v_all + 1)
-    least = max(2.0, least_share * n_all)
-
-    # At most 1 / share words, and as many pairs.
-    frequent = words.filter((F.col("c") >= least) & (F.col("sym") != END)).select("sym").collect()
-    singles = np.sort(np.array([r["sym"] for r in frequent], dtype=np.int64))
-    one = written(followers(blocks, Contexts(singles, np.zeros(0, np.int64)), 1), "followers")
-    place = Contexts(singles, np.zeros(0, np.int64))
-    often = one.filter(F.col("c") >= least).select("ctx", "sym").collect()
-    later = place.numbers(np.array([r["sym"] for r in often], dtype=np.int64))
-    earlier = np.array([r["ctx"] for r in often], dtype=np.int64)
-    size = len(singles)
-    pairs = (size + earlier * size + later)[later >= 0] if len(often) else np.zeros(0, np.int64)
-    two = written(followers(blocks, Contexts(singles, pairs), 2), "followers")
-
-    root = (F.col("n") + ADDED) / F.lit(base)
-    counts = words.select("sym", F.col("c").alias("n"))
-    one_p = written(one.join(counts, "sym").select("ctx", "sym", "c", root.alias("p")), "followers")
-    totals = written(_totals(one), "totals")
-    stats, states = _tested(one_p, totals, least_divergence)
-    ends_pair = _longs(spark, np.unique(later[later >= 0]), "ctx").select("ctx")
-    suffix = (
-        one_p.join(F.broadcast(ends_pair), "ctx")
-        .join(F.broadcast(totals), "ctx")
-        .select(
-            F.col("ctx").alias("suffix"), "sym",
-            ((F.col("c") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))).alias("p"),
-        )
-    )
-    two_p = two.withColumn("suffix", F.pmod(F.col("ctx") - size, F.lit(max(size, 1)))).join(
-        suffix, ["suffix", "sym"]
-    )
-    stats_two, states_two = _tested(
-        two_p.select("ctx", "sym", "c", "p"), written(_totals(two), "totals"), least_divergence
-    )
-    states |= states_two | {(s - size) % size for s in states_two}
-    tree = Tree(singles, stats | stats_two, states)
-    shared = spark.sparkContext.broadcast(tree)
-    in_states = one.union(two).join(F.broadcast(_longs(spark, tree.ids, "ctx").select("ctx")), "ctx")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes, n, symbols = _lists(batch, i, "n", "symbols")
-                block, j = batch.column("block")[i].as_py(), 0
-                numbers = shared.value.contexts.numbers(symbols)
-                for _, ctx, code, _ in _asked(shared.value, codes, n, numbers):
-                    for at in range(0, len(ctx), 1 << 18):
-                        part = slice(at, at + (1 << 18))
-                        many = len(ctx[part])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(many, block)), pa.array(np.arange(j, j + many)),
-                             pa.array(ctx[part]), pa.array(symbols[code[part]])],
-                            names=["block", "j", "ctx", "sym"],
-                        )
-                        j += many
-
-    asked = blocks.select("block", "codes", "n", "symbols").mapInArrow(
-        ask, "block BIGINT, j BIGINT, ctx BIGINT, sym BIGINT"
+    blocks = written(with_counts(blocks, asked, words), "blocks")
+    one = written(_in_all(followers(blocks, least_count, base)), "followers", compression="zstd")
+    blocks = written(with_singles(blocks, _answers(one, _tested(one, least_divergence)), least_count), "blocks")
+    two = written(_in_all(pair_followers(blocks, least_count, base)), "followers", compression="zstd")
+    pairs = written(_tested(two, least_divergence, F.first("suffix").alias("suffix")), "pairs")
+    # The suffix of a state is a state; answers about words are numbered from -1 downwards.
+    suffixes = pairs.filter("state").select(F.col("suffix").alias("sym")).distinct()
+    places = blocks.select("block", F.posexplode("symbols").alias("j", "sym"))
+    above = places.join(suffixes, "sym").select(
+        "block", (-1 - F.col("j")).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(True)
     )
-    # Of words only what the block does not know: that others have them too, and the places of
-    # the states' words.
-    places = _longs(spark, tree.contexts.words, "sym", "place")
-    elsewhere = (
-        asked_words.join(words, "sym")
-        .filter("c <> n")
-        .select("block", (-1 - F.col("j")).cast("long").alias("j"), "c")
-    )
-    numbered = asked_words.join(F.broadcast(places), "sym").select(
-        "block", (F.col("j") + PLACES).alias("j"), F.col("place").alias("c")
-    )
-    answers = elsewhere.union(numbered).union(asked.join(in_states, ["ctx", "sym"]).select("block", "j", "c"))
+    answers = _answers(two, pairs).union(above)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = shared.value
-        j = right.column("j").to_numpy()
-        c = right.column("c").to_numpy()
-        out = []
-        for batch in left.combine_chunks().to_batches():
-            for i in range(batch.num_rows):
-                codes, n, n_train = _lists(batch, i, "n", "n_train")
-                known = n_train.astype(np.float64)
-                known[-1 - j[j < 0]] = c[j < 0]
-                numbers = np.full(len(known), -1, dtype=np.int32)
-                numbers[j[j >= PLACES] - PLACES] = c[j >= PLACES]
-                asked = _asked(tree, codes, n, numbers)
-                sizes = [len(ctx) for _, ctx, _, _ in asked]
-                found = np.zeros(sum(sizes))
-                pair = (j >= 0) & (j < PLACES)
-                found[j[pair]] = c[pair]
-                p_root = ((known + ADDED) / base)[codes]
-                p, at = p_root.copy(), 0
-                for (use, ctx, _, which), many in zip(asked, sizes, strict=True):
-                    if len(use):
-                        p[use] = tree.smoothed(p[use], ctx[which], found[at : at + many][which])
-                    at += many
-                starts = np.cumsum(n, dtype=np.int64) - n
-                inside = np.zeros(len(codes), dtype=np.int8)
-                inside[asked[0][0]] = 1
-                inside[asked[1][0]] = 1
-                out.append(
-                    pa.table(
-                        {
-                            "doc_id": batch.column("doc_id")[i].values,
-                            "held_out": batch.column("held_out")[i].values,
-                            "n_tokens": pa.array(n.astype(np.int64)),
-                            "n_known": np.add.reduceat(known[codes] > 0, starts, dtype=np.int64),
-                            "train_tokens": np.full(len(n), n_all, dtype=np.int64),
-                            "base_score": np.add.reduceat(np.log10(p_root), starts),
-                            "score": np.add.reduceat(np.log10(p), starts),
-                            "n_in_states": np.add.reduceat(inside, starts, dtype=np.int64),
-                        }
-                    )
-                )
-        return pa.concat_tables(out)
-
-    return (
-        blocks.select("block", "doc_id", "held_out", "n", "codes", "n_train")
-        .groupBy("block")
-        .cogroup(answers.select(F.col("block").alias("of"), "j", "c").groupBy("of"))
-        .applyInArrow(
-            score,
-            "doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, "
-            "base_score DOUBLE, score DOUBLE, n_in_states BIGINT",
+        batch = left.combine_chunks().to_batches()[0]
+        codes, n, counts, in_all, kinds, state = _columns(batch, 0, "counts", "in_all", "kinds", "state")
+        j, c_two, kinds_two, state_two = _sorted_answers(right)
+        about_words = int(np.searchsorted(j, 0))
+        state = state.copy()
+        state[-1 - j[:about_words]] = True
+        c_two, kinds_two, state_two = (x[about_words:] for x in (c_two, kinds_two, state_two))
+        use, word, _, which = _bigrams(codes, n, counts, least_count)
+        _, use_two, pair, _, which_two = _trigrams(codes, n, use, which, in_all, least_count, len(counts))
+        p_root = ((counts + ADDED) / base)[codes]
+        p_one = p_root.copy()
+        at = word[which]
+        p_one[use] = (in_all[which] + kinds[at] * p_root[use]) / (counts[at] + kinds[at])
+        inside = np.zeros(len(codes), dtype=bool)
+        inside[use] = state[at]
+        p = np.where(inside, p_one, p_root)
+        k = kinds_two[which_two]
+        p_two = (c_two[which_two] + k * p_one[use_two]) / (in_all[pair[which_two]] + k)
+        p[use_two] = np.where(state_two[which_two], p_two, p[use_two])
+        starts = np.cumsum(n, dtype=np.int64) - n
+        return pa.table(
+            {
+                "doc_id": batch.column("doc_id")[0].values,
+                "held_out": batch.column("held_out")[0].values,
+                "n_tokens": pa.array(n.astype(np.int64)),
+                "n_known": np.add.reduceat(counts[codes] > 0, starts, dtype=np.int64),
+                "train_tokens": np.full(len(n), n_all, dtype=np.int64),
+                "base_score": np.add.reduceat(np.log10(p_root), starts),
+                "score": np.add.reduceat(np.log10(p), starts),
+                "n_in_states": np.add.reduceat(inside, starts, dtype=np.int64),
+            }
         )
-    )
+
+    return _told(
+        blocks, answers, score,
+        "doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, "
+        "base_score DOUBLE, score DOUBLE, n_in_states BIGINT",
+    )

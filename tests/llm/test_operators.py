@@ -97,12 +97,11 @@ def test_suffix_tree_by_hand(spark):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:60]
     pattern = ["a b c", "a b c x", "q b d", "q b d y", "z b c"]
     texts = {i: pattern[k % 5] for k, i in enumerate(ids)}
-    share, least = 0.01, 0.02
-    rows = suffix_tree.scored(documents(spark, list(texts.items())), least_share=share, least_divergence=least).collect()
+    often, least = 3, 0.02
+    rows = suffix_tree.scored(documents(spark, list(texts.items())), least_count=often, least_divergence=least).collect()
     tokens = {i: [*t.split(), None] for i, t in texts.items()}
     one = Counter(w for t in tokens.values() for w in t)
     n, v = sum(one.values()), len(one)
-    often = max(2, share * n)
     after = defaultdict(Counter)
     for t in tokens.values():
         for k, w in enumerate(t):
