@@ -70,6 +70,69 @@ def infer_record_type(store: DataFrame, spec: DatasetSpec, how: str = "lookup")
     return "STRUCT<" + ", ".join([*declared.values(), *extras]) + ">"
 
 
+def _whole_records(latest: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """``symbol, _records``: of each record the texts of its keys (``own``) and, for a nested object,
+    those of the other members of the payload (``beside``). Keys differ by case."""
+    raw, texts = F.col("raw_data"), "MAP<STRING, STRING>"
+    none = F.lit(None).cast("map<string,string>")
+    if spec.shape == NESTED_OBJECT:
+        decoded = latest.select(
+            "symbol", F.when(payload_kind(raw) == "object", decode_payload(raw, texts)).alias("_payload")
+        )
+        own = decode_payload(F.try_element_at("_payload", F.lit(spec.member)), texts)
+        beside = F.map_filter("_payload", lambda k, _: k != spec.member)
+        records = F.when(F.size(own) > 0, F.array(F.struct(own.alias("own"), beside.alias("beside"))))
+        return decoded.select("symbol", records.alias("_records"))
+    maps = F.when(payload_kind(raw) == "array", decode_payload(raw, f"ARRAY<{texts}>"))
+    return latest.select(
+        "symbol", F.transform(maps, lambda m: F.struct(m.alias("own"), none.alias("beside"))).alias("_records")
+    )
+
+
+def _found_keys(records: DataFrame, part: str) -> list[str]:
+    """The distinct keys of all records. Only names come to the driver, as many as columns are made."""
+    no_keys = F.array().cast("array<string>")
+    names = F.flatten(F.transform("_records", lambda r: F.coalesce(F.map_keys(r[part]), no_keys)))
+    found = records.select(F.explode(F.array_distinct(names)).alias("key")).distinct()
+    return sorted(r["key"] for r in found.collect())
+
+
+def column_names(keys: Sequence[str]) -> list[str]:
+    """A column name per key. Names are told apart without regard to case, and ``symbol`` and ``pos``
+    are taken: a key whose name is taken gets ``_2``, ``_3`` and so on. An empty key is ``_``."""
+    taken, names = {"symbol", "pos"}, []
+    for key in keys:
+        base = name = key or "_"
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def _exploded_whole(latest: DataFrame, spec: DatasetSpec) -> DataFrame:
+    records = _whole_records(latest, spec)
+    declared = {f.key: f.sql_type for f in spec.fields}
+    columns = [("own", k) for k in declared]
+    columns += [("own", k) for k in _found_keys(records, "own") if k not in declared]
+    if spec.shape == NESTED_OBJECT:
+        columns += [("beside", k) for k in _found_keys(records, "beside")]
+    names = column_names([k for _, k in columns])
+    rows = records.select("symbol", F.posexplode("_records").alias("pos", "_r"))
+    return rows.select(
+        "symbol",
+        F.col("pos").cast("long").alias("pos"),
+        *[
+            F.try_element_at(F.col(f"_r.{part}"), F.lit(key))
+            .try_cast(declared.get(key, "STRING") if part == "own" else "STRING")
+            .alias(name)
+            for (part, key), name in zip(columns, names, strict=True)
+        ],
+    )
+
+
 def export_records(
     store: DataFrame,
     spec: DatasetSpec,
@@ -77,12 +140,17 @@ def export_records(
     record_ddl: str | None = None,
     how: str = "lookup",
     salts: int = DEFAULT_SALTS,
+    only_declared: bool = False,
 ) -> DataFrame:
     """All records of the newest snapshot of the chosen symbols, with the payload's key
     names, in payload order (``pos``). Keys whose newest snapshot is empty have none.
 
-    The declared keys are exported; ``record_ddl`` (see ``infer_record_type``) adds
-    others. Maps of maps become period, segment and value, which have no position.
+    All keys of the payloads are exported: the declared ones first, with their types, then the
+    others by name, as text (JSON text if they are nested), then those of a nested object's other members.
+    Names that clash are made different by ``column_names``. Finding the keys runs a job.
+    ``record_ddl`` (see ``infer_record_type``) sets keys and types instead, ``only_declared``
+    leaves out what the catalogue does not name. Maps of maps become period, segment
+    and value, which have no position.
     """
     if isinstance(keys, DataFrame):
         # After the reduction to one row per key, so that no key is hot in the join.
@@ -91,7 +159,9 @@ def export_records(
         latest = latest_snapshot(select_export_keys(store, keys), spec.data_type, how, salts)
     if spec.shape == NESTED_MAP:
         return flatten_nested_map(latest, spec.member)
-    return explode_records(latest, spec, record_ddl)
+    if only_declared or record_ddl is not None:
+        return explode_records(latest, spec, record_ddl)
+    return _exploded_whole(latest, spec)
 
 
 def export_path(directory: str, data_type: str, run: str) -> str:
@@ -118,11 +188,10 @@ def export_targets(symbols: DataFrame, spec: DatasetSpec, directory: str, run: s
 def _flat_columns(df: DataFrame) -> DataFrame:
     """CSV holds no arrays, maps or structs: write them as JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)
+    named = {f.name: F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema.fields}
     return df.select(
         *[
-            encode_payload(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, nested)
-            else F.col(f"`{f.name}`")
+            encode_payload(named[f.name]).alias(f.name) if isinstance(f.dataType, nested) else named[f.name]
             for f in df.schema.fields
         ]
     )
@@ -182,9 +251,10 @@ def export_all_keys(
     record_ddl: str | None = None,
     how: str = "lookup",
     salts: int = DEFAULT_SALTS,
+    only_declared: bool = False,
 ) -> str:
-    """Export the chosen symbols of a data type in one job; returns the folder written."""
+    """Export the chosen symbols of a data type in one write; returns the folder written."""
     path = export_path(directory, spec.data_type, run)
-    records = export_records(store, spec, keys, record_ddl, how, salts)
+    records = export_records(store, spec, keys, record_ddl, how, salts, only_declared)
     write_export(records, path, fmt=fmt, layout=layout)
     return path

@@ -83,6 +83,44 @@ def test_other_payload_keys(store_of, rows):
     assert records.filter("pos = 0").select(F.to_json("nested")).first()[0] == '{"a":[1]}'
 
 
+def test_whole_payloads_by_default(spark, store_of):
+    """Undeclared keys, also such as clash, numbers as text, nested values and blanks."""
+    spec = spec_for("ratios")
+    first = {
+        "symbol": "own", "pos": "p", "date": "x", "Date": "twin", "currentRatio": "1.5", "VOIDED": 1, "VARIANT_ID": "v",
+        "nested": {"a": [1, {"b": None}]}, "padded": "  lead and trail  ", "": "no name", "a.b`c": True,
+    }
+    df = store_of(
+        (1, "ratios", "A", "2024-01-01", json.dumps([first, {"symbol_2": "z"}])),
+        (2, "ratios", "B", "2024-01-01", '{"Error Message":"ignored"}'),
+        (3, "ratios", "C", "2024-01-01", '[{"currentRatio":2,"voided":null}]'),
+    )
+    records = export.export_records(df, spec)
+    others = ["_", "Date_2", "VARIANT_ID", "VOIDED", "a.b`c", "nested", "padded", "pos_2", "symbol_2", "symbol_2_2", "voided_2"]
+    assert records.columns == ["symbol", "pos", *spec.keys, *others]
+    found = [r.asDict() for r in records.orderBy("symbol", "pos").collect()]
+    assert [(r["symbol"], r["pos"], r["currentRatio"]) for r in found] == [("A", 0, 1.5), ("A", 1, None), ("C", 0, 2.0)]
+    assert [found[0][c] for c in others] == [
+        "no name", "twin", "v", "1", "true", '{"a":[1,{"b":null}]}', "  lead and trail  ", "p", "own", None, None,
+    ]
+    assert found[1]["symbol_2_2"] == "z"
+    path = new_folder(spark, "test-csv")
+    export.export_csv(records, path)
+    again = spark.read.options(**export.CSV_OPTIONS).csv(path).filter("symbol = 'A' AND pos = 0").first()
+    assert (again["padded"], again["VOIDED"]) == ("  lead and trail  ", "1")
+    assert export.export_records(df, spec, only_declared=True).columns == ["symbol", "pos", *spec.keys]
+    none = export.export_records(df.filter("symbol = 'none'"), spec)
+    assert none.columns == ["symbol", "pos", *spec.keys] and none.collect() == []
+
+
+def test_other_members_of_an_outlook(store_of):
+    body = '{"profile":{"companyName":"x","symbol":"A"},"metrics":{"pe":[1]},"ratios":[],"price":3}'
+    records = export.export_records(store_of((1, "outlook", "A", "2024-01-01", body)), spec_for("outlook"))
+    row = records.first().asDict()
+    assert (row["companyName"], row["symbol_2"], row["price"]) == ("x", "A", None)
+    assert (row["metrics"], row["ratios"], row["price_2"]) == ('{"pe":[1]}', "[]", "3")
+
+
 def test_nested_columns_as_json_text(spark, store_of):
     spec, path = spec_for("ratios"), new_folder(spark, "test-csv")
     df = store_of((1, "ratios", "A", "2024-01-01", '[{"date":"x","nested":{"a":[1,2]}}]'))

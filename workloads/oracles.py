@@ -332,6 +332,9 @@ def oracle_sql() -> dict[str, str]:
         "export_records_all_payload_keys": f"""
             SELECT symbol, pos, {_keys('metrics')}, 'USD' AS currency
             FROM ({records_sql('metrics')}) AS r""",
+        "export_whole_records": f"""
+            SELECT symbol, pos, {_keys('metrics')}, 'USD' AS currency
+            FROM ({records_sql('metrics')}) AS r""",
         "export_breakdown": f"SELECT symbol, period, segment, value FROM ({BREAKDOWN}) AS b",
         "select_export_keys": f"""
             SELECT symbol, pos, {_keys('growth')} FROM ({records_sql('growth')}) AS r

@@ -318,6 +318,11 @@ def export_records_all_payload_keys(spark: SparkSession, sf_dir: str) -> DataFra
     return export.export_records(snapshots, spec, record_ddl=record_ddl, **ONCE)
 
 
+def export_whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys of the payloads, as exports have them by default."""
+    return export.export_records(_stored(spark, sf_dir, "metrics"), spec_for("metrics"))
+
+
 def export_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = fixtures.snapshots(spark, sf_dir, "revenue")
     return export.export_records(snapshots, spec_for("revenue"), **ONCE)
@@ -419,6 +424,7 @@ def queries() -> dict[str, Query]:
         "export_path": export_path,
         "export_records": export_records,
         "export_records_all_payload_keys": export_records_all_payload_keys,
+        "export_whole_records": export_whole_records,
         "export_breakdown": export_breakdown,
         "select_export_keys": select_export_keys,
         "view_price_from_store": view_price_from_store,
