@@ -52,7 +52,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, n
     h = words.hashes()[words.codes]
     n = len(h)
     gram = h.copy()
-    for step in range(1, width):
+    for step in range(1, min(width, n)):
         gram[: n - step] = mix(gram[: n - step], h[step:])
     order = np.arange(n, dtype=np.uint64)
     sets, keys = [], np.zeros(len(words.starts) - 1, dtype=np.uint64)
