@@ -285,6 +285,36 @@ def test_lines_against_all_pairs(spark):
     assert out.select(docs.columns).columns == docs.columns and links
 
 
+def test_wide_search_links_by_edit_distance_alone(spark):
+    """Lines with a word replaced, with and without blanks, against the edit distances of all pairs."""
+    texts = [prose(100 + k, 8 + 2 * k) for k in range(14)]
+    lines = []
+    for k, text in enumerate(texts):
+        at = text.split()
+        at[k % len(at)] = at[k % len(at)][::-1]
+        lines += [text, " ".join(at)]
+    letters = ["".join(chr(0x4E00 + (7919 * (k + 1) * (i + 3) ** 2) % 6000) for i in range(60)) for k in range(4)]
+    # Blanks let these lines take part whatever their script.
+    letters = [" ".join(x[i : i + 12] for i in range(0, 60, 12)).replace(" ", "\u3002 ") for x in letters]
+    lines += [*letters, *[x.replace(x[5], "\u4e00").replace(x[30], "\u4e01") for x in letters]]
+    con = duckdb.connect()
+    near = [
+        (a, b)
+        for a, b in combinations(lines, 2)
+        if 10 * con.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0] <= max(len(a), len(b))
+    ]
+    classes = closure(lines, near)
+    assert len(near) >= 12
+    seen, wanted = set(), {}
+    for i, line in enumerate(lines):
+        wanted[i] = "" if classes[line] in seen else line
+        seen.add(classes[line])
+    docs = documents(spark, list(enumerate(lines)))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, wide=True).collect()} == wanted
+    # Fewer lines are within the radius of SimHash.
+    assert sum(r["text"] == "" for r in line_dedup.dedup_lines(docs).collect()) < len(lines) - len(seen)
+
+
 # 5
 
 
