@@ -315,6 +315,17 @@ def test_wide_search_links_by_edit_distance_alone(spark):
     assert sum(r["text"] == "" for r in line_dedup.dedup_lines(docs).collect()) < len(lines) - len(seen)
 
 
+def test_copies_of_short_lines_and_of_lines_without_blanks(spark):
+    passage = "".join(chr(0x3041 + (31 * i * i) % 80) for i in range(70))
+    changed = passage[:40] + "\u4e00" + passage[41:]
+    texts = [
+        (1, f"All rights reserved.\n\npage 12\n{passage}"), (2, f"all  rights reserved. \n\npage 13\n{passage}"),
+        (3, f"{changed}\n\n日本\npage 12"), (4, "日本"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, texts), wide=True).collect()}
+    assert got == {1: texts[0][1], 2: "\npage 13", 3: "\n日本", 4: ""}
+
+
 # 5
 
 
