@@ -12,7 +12,7 @@ which loses no candidate. Between table and full sets stand bitmaps that have, p
 that fall on it: bits that differ cannot outnumber the shingles that differ.
 
 A null text, an empty one or one without words has an empty set and is linked with nothing.
-A component's id is its least document id; it is null if none has one. Repeated rows are
+A component's id is its least document id; it is null if none has one. Rows without id are linked like any other. Repeated rows are
 in one component and have the same outcome. Columns other than the id and the text are not looked at.
 Nodes and shingles are told apart by 64 bits.
 """
@@ -223,6 +223,8 @@ def near_duplicates(
     texts = docs.join(
         wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"
     )
+    # Nodes all of whose rows have no id are found among the rows without id.
+    texts = texts.union(docs.filter("doc_id is null"))
     sets = _sets(texts, width).join(kept.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = written(sets, "sets")
     bitmaps = kept.select("node", "n", "bits")

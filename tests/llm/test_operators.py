@@ -388,6 +388,18 @@ def test_minhash_against_all_pairs(spark):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_minhash_links_rows_without_id(spark):
+    text = prose(7, 200).split()
+    near = [" ".join([*text[:k], "changed", *text[k + 1 :]]) for k in (50, 120, 199)]
+    other = prose(8, 200).split()
+    docs = documents(
+        spark,
+        [(None, near[0]), (None, near[1]), (5, near[2]), (9, " ".join(other)), (None, " ".join(other[:-1]))],
+    )
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == {(None, 5, False): 2, (5, 5, True): 1, (9, 9, True): 1, (None, 9, False): 1}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(159, 161)]
     got = dict(graph.components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect())
