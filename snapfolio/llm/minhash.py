@@ -40,7 +40,7 @@ BITMAP, FOLDED = 32, 8
 BATCH_BYTES = 2 << 20
 
 SKETCH = (
-    "doc_id BIGINT, node BIGINT, n_shingles BIGINT, lefts ARRAY<BIGINT>, rights ARRAY<BIGINT>, "
+    "doc_id BIGINT, text_hash BIGINT, node BIGINT, n_shingles BIGINT, lefts ARRAY<BIGINT>, rights ARRAY<BIGINT>, "
     "bits ARRAY<BIGINT>"
 )
 
@@ -108,14 +108,14 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), pa.array(keys.view(np.int64)), pa.array(sizes),
+                        batch.column("doc_id"), batch.column("text_hash"), pa.array(keys.view(np.int64)), pa.array(sizes),
                         lists(np.ascontiguousarray(hashes[:, :SIDE])),
                         lists(np.ascontiguousarray(hashes[:, SIDE:])), lists(packed),
                     ],
                     names=[c.split()[0] for c in SKETCH.split(", ")],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, SKETCH)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -152,8 +152,9 @@ def near_duplicates(
     text_col: str = "text",
     width: int = SHINGLE,
     least_percent: int = LEAST_PERCENT,
+    with_hash: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, n_shingles, component_id, kept`` of every row, and ``text_hash`` if asked for."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = written(sketches(docs, width), "sketches")
     nodes = drawn.filter("n_shingles > 0").groupBy("node").agg(
@@ -258,9 +259,9 @@ def near_duplicates(
     )
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     named = ids.join(least, "component").select("node", "component_id")
-    out = drawn.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    out = drawn.select("doc_id", "text_hash", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), *["text_hash"] * with_hash,
     )
