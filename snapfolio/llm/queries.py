@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapfolio.llm import (
+    clustering,
     decontaminate,
+    fill_middle,
     langid,
     licenses,
     line_dedup,
@@ -16,6 +18,7 @@ from snapfolio.llm import (
     quality_rank,
     quality_rules,
     suffix_tree,
+    token_counts,
     warc,
 )
 
@@ -84,11 +87,39 @@ def op10_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and places of the cuts, digests of what was written and of what is restored from it."""
+    out = fill_middle.transformed(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 1024
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"))
+    return counts.select(
+        "doc_id", "n_bytes", token_counts.total(F.col("counts")).alias("n_tokens"),
+        token_counts.over_budget(F.col("counts"), TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_suffix_tree, op2_best_fit_packing, op3_decontaminate, op4_line_dedup, op5_warc,
             op6_quality_rules, op7_minhash, op8_licenses, op9_language, op10_quality_rank,
+            op11_clustering, op12_fill_middle, op13_token_counts,
         )
     }
