@@ -77,52 +77,90 @@ def test_a_day_with_many_requests(spark):
     assert {r["request_id"] for r in admitted.collect()} == expected
 
 
-def _plan_by_hand(requests, cached, used, limit):
-    """One request after the other, each key once a day."""
-    keys = {}
-    for rid, ts, data_type, symbol, refresh in requests:
-        key = (data_type, symbol.strip().upper(), ts.date())
+def _plan_by_hand(requests, cached, used, limit, once_a_day):
+    """One request after the other. What is fetched is cached for all that come later."""
+    if once_a_day:
+        keys = {}
+        for rid, ts, data_type, symbol, refresh in requests:
+            key = (data_type, symbol.strip().upper(), ts.date())
+            old = keys.get(key, (rid, ts, False))
+            first = min((old[1], old[0]), (ts, rid))
+            keys[key] = (first[1], first[0], old[2] or refresh)
+        requests = [(rid, ts, key[0], key[1], refresh) for key, (rid, ts, refresh) in keys.items()]
+    plan, spent, cached = {}, dict(used), set(cached)
+    for rid, ts, data_type, symbol, refresh in sorted(requests, key=lambda r: (r[1], r[0])):
+        key = (data_type, symbol.strip().upper())
         if not key[1]:
             continue
-        old = keys.get(key, (rid, ts, False))
-        first = min((old[1], old[0]), (ts, rid))
-        keys[key] = (first[1], first[0], old[2] or refresh)
-    plan, spent = {}, dict(used)
-    for key, (_, ts, refresh) in sorted(keys.items(), key=lambda k: (k[1][1], k[1][0])):
-        if key[:2] in cached and not refresh:
-            plan[key] = "serve_cache"
+        if key in cached and not refresh:
+            plan[rid] = "serve_cache"
         elif spent.get(ts.date(), 0) < limit:
             spent[ts.date()] = spent.get(ts.date(), 0) + 1
-            plan[key] = "fetch"
+            cached.add(key)
+            plan[rid] = "fetch"
         else:
-            plan[key] = "fallback_cache" if key[:2] in cached else "unavailable"
+            plan[rid] = "fallback_cache" if key in cached else "unavailable"
     return plan
 
 
-def test_plan_matches_deciding_one_by_one(spark, store_of):
+REQUEST_DDL = "request_id BIGINT, ts TIMESTAMP_NTZ, data_type STRING, symbol STRING, refresh BOOLEAN"
+
+
+@pytest.mark.parametrize("once_a_day", [True, False])
+@pytest.mark.parametrize("block", [None, 1, 3])
+def test_plan_matches_deciding_one_by_one(spark, store_of, once_a_day, block):
     requests = [
-        (i, datetime(2024, 1, 1 + i % 2) + timedelta(minutes=(i * 37) % 600), ("price", "news")[i % 2],
-         f" s{(i * 7) % 23} " if i % 29 else "  ", i % 5 == 0)
-        for i in range(200)
+        (i, datetime(2024, 1, 1 + i % 7) + timedelta(minutes=(i * 37) % 600), ("price", "news")[i % 2],
+         f" s{(i * 7) % 41} " if i % 29 else "  ", i % 5 == 0)
+        for i in range(400)
     ]
     snapshots = [(i, ("price", "news")[i % 2], f"S{i}", "2024-01-01", "[1]") for i in range(12)]
     # The newest snapshot of one key is empty, so it is not usable.
     snapshots.append((99, "price", "S4", "2024-01-02", "[]"))
     cached = {(t, s) for _, t, s, _, _ in snapshots} - {("price", "S4")}
-    used = {date(2024, 1, 1): 3}
-    df = spark.createDataFrame(
-        requests, "request_id BIGINT, ts TIMESTAMP_NTZ, data_type STRING, symbol STRING, refresh BOOLEAN"
-    )
+    # Of one day nothing is left, of one it is less than nothing.
+    used = {date(2024, 1, 1): 3, date(2024, 1, 4): 9, date(2024, 1, 5): 12}
     plan = planning.plan_requests(
-        df, store_of(*snapshots), spark.createDataFrame(list(used.items()), "date DATE, total BIGINT"),
-        daily_limit=9,
+        spark.createDataFrame(requests, REQUEST_DDL), store_of(*snapshots),
+        spark.createDataFrame(list(used.items()), "date DATE, total BIGINT"),
+        daily_limit=9, once_a_day=once_a_day, block=block,
     )
-    got = {(r["data_type"], r["symbol"], r["ts"].date()): r["decision"] for r in plan.collect()}
-    expected = _plan_by_hand(requests, cached, used, 9)
+    got = {r["request_id"]: r["decision"] for r in plan.collect()}
+    expected = _plan_by_hand(requests, cached, used, 9, once_a_day)
     assert got == expected
     assert set(expected.values()) == {"serve_cache", "fetch", "fallback_cache", "unavailable"}
 
 
+def test_what_was_fetched_is_served_on_later_days(spark, store_of):
+    wanted = [(i, datetime(2024, 1, 1 + i), "price", "AAPL", False) for i in range(3)]
+    wanted += [(9, datetime(2024, 1, 3, 12), "price", "AAPL", True), (10, None, "price", "AAPL", None)]
+    plan = planning.plan_requests(
+        spark.createDataFrame(wanted, REQUEST_DDL), store_of(), once_a_day=False
+    )
+    assert {r["request_id"]: r["decision"] for r in plan.collect()} == {
+        0: "fetch", 1: "serve_cache", 2: "serve_cache", 9: "fetch", 10: "unavailable",
+    }
+    none = planning.plan_requests(spark.createDataFrame([], REQUEST_DDL), store_of())
+    assert none.collect() == []
+
+
+def test_a_refresh_may_come_before_the_first_plain_request(spark, store_of):
+    """Plain requests that a refresh of the same day has served must not use up the candidates."""
+    wanted = [(i, datetime(2024, 1, 1), "price", f"S{i % 3}", i < 3) for i in range(30)]
+    wanted += [(100 + i, datetime(2024, 1, 1, 5), "price", f"T{i}", False) for i in range(6)]
+    plan = planning.plan_requests(
+        spark.createDataFrame(wanted, REQUEST_DDL), store_of(), daily_limit=5, once_a_day=False
+    )
+    got = {r["request_id"]: r["decision"] for r in plan.collect()}
+    assert got == _plan_by_hand(wanted, set(), {}, 5, False)
+
+
+def test_blocks_of_days_are_bounded():
+    for limit in (1, 250, 10_000, 5_000_000):
+        days = planning.days_per_block(limit)
+        assert days == 1 or limit * days * (days + 1) // 2 <= planning.BLOCK_ROWS
+
+
 def test_request_paths(spark, rows):
     plan = spark.createDataFrame(
         [("price", "AAPL"), ("economic", "gdp"), ("news", "A"), ("esg", "B")], "data_type STRING, symbol STRING"

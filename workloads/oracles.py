@@ -169,22 +169,51 @@ REQUESTS = """
            bool_or(o_orderpriority = '1-URGENT') AS refresh
     FROM orders GROUP BY 1, 2, 4"""
 
-PLAN = f"""
-    WITH known AS (
-        SELECT r.*, c.event_type IS NOT NULL AS cached
-        FROM ({REQUESTS}) AS r
+EVERY_REQUEST = """
+    SELECT CASE o_orderstatus WHEN 'O' THEN 'view' WHEN 'P' THEN 'click' ELSE 'purchase' END
+               AS data_type,
+           CAST(o_custkey AS VARCHAR) AS symbol, o_orderkey AS request_id,
+           CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS ts,
+           o_orderpriority = '1-URGENT' AS refresh
+    FROM orders"""
+
+
+def plan_sql(requests: str) -> str:
+    """Day by day: ``got`` has the keys that the days before have fetched."""
+    return f"""
+    WITH RECURSIVE known AS MATERIALIZED (
+        SELECT r.*, c.event_type IS NOT NULL AS cached, data_type || ' ' || symbol AS key,
+               dense_rank() OVER (ORDER BY ts) AS k,
+               row_number() OVER (PARTITION BY ts, data_type, symbol ORDER BY request_id) AS nth
+        FROM ({requests}) AS r
         LEFT JOIN (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_key
                    FROM events) AS c
           ON r.data_type = c.event_type AND r.symbol = c.user_key),
-    ranked AS (
-        SELECT *, NOT cached OR refresh AS wants,
-               ROW_NUMBER() OVER (PARTITION BY ts, NOT cached OR refresh
-                                  ORDER BY request_id) AS rn
-        FROM known)
+    candidates AS MATERIALIZED (
+        SELECT k, list({{'key': key, 'refresh': refresh, 'id': request_id}} ORDER BY request_id) AS c
+        FROM known WHERE refresh OR (NOT cached AND nth = 1) GROUP BY k),
+    steps(k, got, now) AS (
+        SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]),
+               CAST([] AS STRUCT(key VARCHAR, refresh BOOLEAN, id BIGINT)[])
+        UNION ALL
+        SELECT s.k + 1, list_concat(s.got, list_transform(n.now, lambda x: x.key)), n.now
+        FROM steps AS s
+        JOIN (SELECT DISTINCT k FROM known) AS d ON d.k = s.k + 1
+        LEFT JOIN candidates AS c ON c.k = s.k + 1,
+        LATERAL (SELECT list_filter(coalesce(c.c, []), lambda x: x.refresh OR NOT list_contains(s.got, x.key))
+                        [1:{DAILY_LIMIT}] AS now) AS n),
+    fetched AS (SELECT k, unnest(now, recursive := true) FROM steps),
+    since AS (SELECT key, min(k * 1000000000 + id) AS since FROM fetched GROUP BY key),
+    spent AS (SELECT k, count(*) AS n, max(id) AS last FROM fetched GROUP BY k),
+    seen AS (
+        SELECT known.*, cached OR coalesce(since < known.k * 1000000000 + request_id, false) AS usable,
+               coalesce(n, 0) < {DAILY_LIMIT} OR request_id <= last AS room
+        FROM known LEFT JOIN since USING (key) LEFT JOIN spent USING (k))
     SELECT request_id, ts, data_type, symbol, refresh,
-           CASE WHEN NOT wants THEN 'serve_cache' WHEN rn <= {DAILY_LIMIT} THEN 'fetch'
-                WHEN cached THEN 'fallback_cache' ELSE 'unavailable' END AS decision
-    FROM ranked"""
+           CASE WHEN usable AND NOT refresh THEN 'serve_cache' WHEN room THEN 'fetch'
+                WHEN usable THEN 'fallback_cache' ELSE 'unavailable' END AS decision
+    FROM seen"""
+
 
 PATH = """
     SELECT o_orderkey AS request_id,
@@ -271,7 +300,8 @@ def oracle_sql() -> dict[str, str]:
                        FROM events WHERE event_type = 'purchase' GROUP BY 1) AS u
               ON CAST(e.ts AS DATE) = u.date""",
         # Requests and responses
-        "plan_requests": PLAN,
+        "plan_requests": plan_sql(REQUESTS),
+        "plan_every_request": plan_sql(EVERY_REQUEST),
         "request_path": _paths(),
         "classify_response": f"""
             SELECT event_id AS seq, data_type, {OUTCOME} AS outcome FROM ({LANDED}) AS l""",

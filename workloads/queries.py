@@ -130,6 +130,13 @@ def plan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plan_every_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request decided by itself, also several a day for one key."""
+    return planning.plan_requests(
+        fixtures.orders_as_requests(spark, sf_dir), fixtures.events_store(spark, sf_dir), once_a_day=False
+    )
+
+
 def request_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     data_type = F.expr(
         "CASE left(o_orderpriority, 1) WHEN '1' THEN 'price' WHEN '2' THEN 'income' "
@@ -402,6 +409,7 @@ def queries() -> dict[str, Query]:
         "admit_within_budget": admit_within_budget,
         "admit_after_spending": admit_after_spending,
         "plan_requests": plan_requests,
+        "plan_every_request": plan_every_request,
         "request_path": request_path,
         "classify_response": classify_response,
         "normalize_key": normalize_keys,
