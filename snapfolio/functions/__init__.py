@@ -8,6 +8,7 @@ from snapfolio.functions.payload import (
     member_text,
     payload_kind,
 )
+from snapfolio.functions.times import utc_time
 
 __all__ = [
     "decode_payload",
@@ -19,4 +20,5 @@ __all__ = [
     "normalize_key",
     "payload_kind",
     "strip_key",
+    "utc_time",
 ]

@@ -38,6 +38,8 @@ PARSE_ERROR = "parse_error"
 NO_KEY = "no_key"
 UNKNOWN_TYPE = "unknown_type"
 NO_TIME = "no_time"
+#: The column of landed lines that were not understood, and their outcome if nothing of them was.
+CORRUPT_LINE = "corrupt_line"
 
 
 def _members() -> dict[str, list[str]]:
@@ -144,14 +146,21 @@ def process_responses(landed: DataFrame) -> DataFrame:
     ``accepted`` and ``quarantined`` rows together are the request ledger, so the two
     come from one write and cannot disagree. Rows that are not accepted keep their
     body as ``raw_data``. Types that are not in the catalogue and rows without a time cannot be
-    placed, so they are neither snapshots nor requests. Works on batch and streaming DataFrames: no shuffle, no state.
+    placed, so they are neither snapshots nor requests. A line of which nothing could be read keeps its text
+    (``corrupt_line``) as ``raw_data``; if some fields could be read, they are judged. Works on batch and streaming DataFrames: no shuffle, no state.
     """
     # A row without ``seq`` gets an id that is the same whenever the row is read again.
-    seq = F.xxhash64("endpoint", "data_type", "symbol", "ts", "status", "body")
+    told = ["endpoint", "data_type", "symbol", "ts", "status", "body"]
+    line = F.lit(None).cast("string")
+    if CORRUPT_LINE in landed.columns:
+        nothing = F.coalesce(*[F.col(c).cast("string") for c in told]).isNull()
+        line = F.when(nothing, F.col(CORRUPT_LINE))
+        told.append(CORRUPT_LINE)
+    seq = F.xxhash64(*told)
     if "seq" in landed.columns:
         seq = F.coalesce(F.col("seq"), seq)
     body, data_type = F.col("body"), F.col("data_type")
-    rows = landed.withColumn("_seq", seq).withColumn("data_type", F.lower(F.trim("data_type")))
+    rows = landed.withColumn("_seq", seq).withColumn("_line", line).withColumn("data_type", F.lower(F.trim("data_type")))
     rows = normalize_keys(rows)
     # Each of these columns is used more than once by the next, so Spark computes it once.
     rows = rows.withColumn("_valid", (F.col("status") == 200) & is_valid_json(body))
@@ -173,7 +182,8 @@ def process_responses(landed: DataFrame) -> DataFrame:
         F.when(accepted, _shape_problem(F.col("raw_data"), data_type, F.col("_member"))),
     )
     outcome = (
-        F.when(F.col("symbol").isNull(), NO_KEY)
+        F.when(F.col("_line").isNotNull(), CORRUPT_LINE)
+        .when(F.col("symbol").isNull(), NO_KEY)
         .when(~F.coalesce(data_type.isin(data_types_where(lambda s: True)), F.lit(False)), UNKNOWN_TYPE)
         .when(F.col("ts").isNull(), NO_TIME)
         .when(F.col("problem").isNotNull(), QUARANTINED)
@@ -188,7 +198,7 @@ def process_responses(landed: DataFrame) -> DataFrame:
         "status",
         outcome.alias("outcome"),
         "problem",
-        "raw_data",
+        F.coalesce("_line", "raw_data").alias("raw_data"),
         ((outcome == ACCEPTED) & ~is_falsy(F.col("raw_data"))).alias("usable"),
     )
 

@@ -151,6 +151,33 @@ def flatten_nested_map(snapshots: DataFrame, member: str) -> DataFrame:
     )
 
 
+def odd_members(snapshots: DataFrame, member: str) -> DataFrame:
+    """What ``flatten_nested_map`` cannot show, or not as it is: ``symbol, period, segment, raw, problem``.
+
+    Periods that are no objects and those without segments have no shown row; values that are no numbers are shown as
+    NULL. Together with the shown rows that is every member of the map.
+    """
+    periods = decode_payload(F.col("raw_data"), f"STRUCT<`{member}`: MAP<STRING, STRING>>")[member]
+    kind = F.coalesce(payload_kind(F.col("_period")), F.lit("null"))
+    segments = F.when(kind == "object", decode_payload(F.col("_period"), "MAP<STRING, STRING>"))
+    rows = snapshots.select("symbol", F.explode(periods).alias("period", "_period")).select(
+        "symbol", "period", "_period", kind.alias("_kind"), segments.alias("_segments")
+    )
+    none = F.lit(None).cast("string")
+    whole = F.when(F.col("_kind") != "object", "period_not_an_object").when(
+        F.size("_segments") == 0, "period_without_segments"
+    )
+    odd = F.map_filter("_segments", lambda _, v: v.isNotNull() & v.try_cast("double").isNull())
+    parts = rows.select("symbol", "period", F.explode(odd).alias("segment", "raw")).withColumn(
+        "problem", F.lit("value_not_a_number")
+    )
+    return (
+        rows.select("symbol", "period", none.alias("segment"), F.col("_period").alias("raw"), whole.alias("problem"))
+        .filter("problem IS NOT NULL")
+        .unionByName(parts)
+    )
+
+
 def project_known_columns(records: DataFrame, spec: DatasetSpec) -> DataFrame:
     """The displayed keys in their order, after ``symbol`` and ``pos`` where present."""
     lead = [c for c in ("symbol", "rank", "pos") if c in records.columns]

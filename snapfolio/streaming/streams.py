@@ -6,6 +6,7 @@ All queries take ``available_now=True`` to work off what is there and stop.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from snapfolio.operators.ledger import request_counts
 from snapfolio.operators.responses import process_responses
 from snapfolio.operators.store import KEY, STORE_DDL, latest_snapshot
-from snapfolio.sources.store_table import append_log
+from snapfolio.sources.runs import FAN, RunTable
+from snapfolio.sources.store_table import append_log, fold_log
 
 
 def _start(writer, available_now: bool) -> StreamingQuery:
@@ -22,38 +24,62 @@ def _start(writer, available_now: bool) -> StreamingQuery:
     return writer.start()
 
 
+def _stream_name(checkpoint: str) -> str:
+    return f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+
+
 def stream_ingest(
-    landed: DataFrame, log_path: str, checkpoint: str, available_now: bool = False
+    landed: DataFrame, log_path: str, checkpoint: str, available_now: bool = False, fan: int = FAN
 ) -> StreamingQuery:
     """Landed responses into the response log, each exactly once.
 
     Stateless: classification and reshaping run where the files are read. A micro-batch is
     a run of the log like any batch job's, so both can share a log; a repeated one replaces
-    its own folder.
+    what it wrote. Small runs are folded as they add up, so the log stays a few parts.
     """
-    name = f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+    name = _stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_log(process_responses(batch), log_path, f"stream-{name}-{batch_id}")
+        fold_log(batch.sparkSession, log_path, fan)
 
     writer = landed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return _start(writer, available_now)
 
 
-COUNTS_DDL = "endpoint STRING, date DATE, count BIGINT, batch_id BIGINT"
+def _add_batch(
+    rows: DataFrame, path: str, run: str, schema: str, combine: Callable[[DataFrame], DataFrame], fan: int
+) -> None:
+    """Enter what a micro-batch gives as a run of its own and fold levels by ``combine``. A batch that is there
+    already, which a stream repeats with the same rows, adds nothing."""
+    table = RunTable(rows.sparkSession, path)
+    if run in table.listed().runs:
+        return
+    folder = table.new_folder()
+    rows.write.parquet(table.folder(folder))
+    table.enter(folder, [run], once=True)
+    table.fold(lambda parts, target: combine(table.read(schema, parts)).write.parquet(target), fan)
+
+
+COUNTS_DDL = "endpoint STRING, date DATE, count BIGINT"
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("endpoint", "date").agg(F.sum("count").alias("count"))
 
 
 def stream_request_counts(
-    log: DataFrame, path: str, checkpoint: str, available_now: bool = False
+    log: DataFrame, path: str, checkpoint: str, available_now: bool = False, fan: int = FAN
 ) -> StreamingQuery:
     """Counts per endpoint and day of every micro-batch, however late its requests are.
 
-    No state is kept, so no day is ever closed. A batch that is repeated after a failure
-    overwrites its own output. Read the sums with ``read_request_counts``.
+    No state is kept, so no day is ever closed. Counts of several batches are added up as they become many, and
+    a batch that is repeated after a failure counts once. Read the sums with ``read_request_counts``.
     """
+    name = _stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        request_counts(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _add_batch(request_counts(batch), path, f"stream-{name}-{batch_id}", COUNTS_DDL, _summed, fan)
 
     writer = log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return _start(writer, available_now)
@@ -61,22 +87,27 @@ def stream_request_counts(
 
 def read_request_counts(spark: SparkSession, path: str) -> DataFrame:
     """The counts over all batches."""
-    batches = spark.read.schema(COUNTS_DDL).parquet(path)
-    return batches.groupBy("endpoint", "date").agg(F.sum("count").alias("count"))
+    return _summed(RunTable(spark, path).read(COUNTS_DDL))
+
+
+def _newest(snapshots: DataFrame) -> DataFrame:
+    return latest_snapshot(snapshots, how="rank")
 
 
 def stream_latest_snapshot(
-    snapshots: DataFrame, path: str, checkpoint: str, available_now: bool = False
+    snapshots: DataFrame, path: str, checkpoint: str, available_now: bool = False, fan: int = FAN
 ) -> StreamingQuery:
     """Keep the newest snapshot of every key while snapshots arrive.
 
-    A batch adds at most one row per key, as its own folder, so its cost depends on
-    the batch and not on the number of keys seen so far. A repeated batch overwrites
-    its folder. Read the result with ``read_latest``.
+    A batch adds at most one row per key as a part of its own, so its cost depends on
+    the batch and not on the number of keys seen so far. ``fan`` parts of one level become one of the next, with
+    one row per key; a payload is rewritten once a level, and readers look at few parts however many batches
+    there were. A repeated batch changes nothing. Read the result with ``read_latest``.
     """
+    name = _stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_snapshot(batch, how="rank").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _add_batch(_newest(batch), path, f"stream-{name}-{batch_id}", STORE_DDL, _newest, fan)
 
     writer = (
         snapshots.writeStream.outputMode("append")
@@ -88,8 +119,7 @@ def stream_latest_snapshot(
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot per key over all batches."""
-    batches = spark.read.schema(f"{STORE_DDL}, batch_id BIGINT").parquet(path)
-    return latest_snapshot(batches.drop("batch_id"))
+    return latest_snapshot(RunTable(spark, path).read(STORE_DDL))
 
 
 def compact_latest(spark: SparkSession, path: str, target: str) -> None:

@@ -5,9 +5,10 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from snapfolio import spec_for
-from snapfolio.operators import planning, responses, store
-from snapfolio.operators.shaping import explode_records, flatten_nested_map
+from snapfolio.operators import ledger, planning, responses, store
+from snapfolio.operators.shaping import explode_records, flatten_nested_map, odd_members
 from snapfolio.sources import export, landing, store_table
+from snapfolio.sources.runs import RunTable
 from snapfolio.sources.scratch import new_folder
 from snapfolio.streaming import streams
 
@@ -110,3 +111,65 @@ def test_blanks_stay_in_csv(spark):
     records = spark.createDataFrame([("A", 0, "  lead and trail  ")], "symbol STRING, pos BIGINT, title STRING")
     export.write_export(records, path)
     assert "  lead and trail  " in spark.read.text(path).collect()[1][0]
+
+
+LINES = [
+    ('{"seq":1,"endpoint":"e","data_type":"news","symbol":"A","status":200,"body":"[{}]","ts":"2024-01-01T10:00:00Z"}', datetime(2024, 1, 1, 10)),
+    ('{"seq":2,"endpoint":"e","data_type":"news","symbol":"B","status":200,"body":"[{}]","ts":"2024-01-01T10:00:00+02:00"}', datetime(2024, 1, 1, 8)),
+    ('{"seq":3,"endpoint":"e","data_type":"news","symbol":"C","status":200,"body":"[{}]","ts":"2024-01-01 10:00:00.25"}', datetime(2024, 1, 1, 10, 0, 0, 250000)),
+    ('{"seq":4,"endpoint":"e","data_type":"news","symbol":"D","status":200,"body":"[{}]","ts":"2024-11-03T01:30:00-05:00"}', datetime(2024, 11, 3, 6, 30)),
+    ('{"seq":5,"endpoint":"e","data_type":"news","symbol":"E","status":200,"body":"[{}]","ts":"2024-11-03T01:30:00 GMT"}', datetime(2024, 11, 3, 1, 30)),
+    ('{"seq":6,"endpoint":"e","data_type":"news","symbol":"F","status":200,"body":"[{}]","ts":"2024-01-05"}', datetime(2024, 1, 5)),
+]
+BROKEN = ['{"seq":7,"endpoint":"e","data_', "no json at all", '["an", "array"]']
+
+
+def test_zoned_times_and_broken_lines(spark):
+    source, batch, log, checkpoint = (new_folder(spark, f"test-{n}") for n in ("lines", "batch", "log", "ckpt"))
+    odd_time = LINES[0][0].replace("2024-01-01T10:00:00Z", "soon").replace('"A"', '"G"').replace(":1,", ":8,")
+    odd_id = LINES[0][0].replace('"seq":1', '"seq":"x"').replace('"A"', '"H"')
+    lines = [line for line, _ in LINES] + BROKEN + [odd_time, odd_id]
+    spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.text(source)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        landing.ingest_landed_payloads(landing.read_landed(spark, source), batch)
+        read = landing.stream_landed(spark, source)
+        streams.stream_ingest(read, log, checkpoint, available_now=True).awaitTermination()
+        got = store_table.scan_log(spark, batch).collect()
+        streamed = store_table.scan_log(spark, log).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(str, got)) == sorted(map(str, streamed)) and len(got) == len(lines)
+    by_symbol = {r["symbol"]: r for r in got}
+    for (line, at), symbol in zip(LINES, "ABCDEF", strict=True):
+        assert (by_symbol[symbol]["last_updated"], by_symbol[symbol]["outcome"]) == (at, "accepted"), line
+    assert by_symbol["G"]["outcome"] == "no_time" and by_symbol["H"]["outcome"] == "accepted"
+    kept = [r["raw_data"] for r in got if r["outcome"] == "corrupt_line"]
+    assert sorted(kept) == sorted([BROKEN[1], BROKEN[2]]) or sorted(kept) == sorted(BROKEN)
+    assert len({r["id"] for r in got}) == len(lines)
+
+
+def test_every_member_of_a_map_is_shown_or_put_aside(spark):
+    raw = '{"breakdown":{"2023":{"a":"7","c":"x","d":null},"2022":5,"2021":{},"2020":null,"2019":[1]}}'
+    df = spark.createDataFrame([("A", raw), ("B", "[]"), ("C", None)], "symbol STRING, raw_data STRING")
+    shown = {(r["period"], r["segment"]): r["value"] for r in flatten_nested_map(df, "breakdown").collect()}
+    assert shown == {("2023", "a"): 7.0, ("2023", "c"): None, ("2023", "d"): None}
+    aside = {(r["period"], r["segment"]): (r["raw"], r["problem"]) for r in odd_members(df, "breakdown").collect()}
+    assert aside == {
+        ("2022", None): ("5", "period_not_an_object"), ("2019", None): ("[1]", "period_not_an_object"),
+        ("2020", None): (None, "period_not_an_object"), ("2021", None): ("{}", "period_without_segments"),
+        ("2023", "c"): ("x", "value_not_a_number"),
+    }
+
+
+def test_many_small_batches_fold_to_few_parts(spark):
+    path = new_folder(spark, "test-counts")
+    at = spark.createDataFrame([("e", datetime(2024, 1, 1))], "endpoint STRING, ts TIMESTAMP_NTZ")
+    counted = ledger.request_counts(at).coalesce(1)
+    for i in range(40):
+        streams._add_batch(counted, path, f"stream-x-{i}", streams.COUNTS_DDL, streams._summed, fan=3)
+        if i % 7 == 0:  # repeated after a failure
+            streams._add_batch(counted, path, f"stream-x-{i}", streams.COUNTS_DDL, streams._summed, fan=3)
+    assert len(RunTable(spark, path).listed().parts) <= 6
+    assert [r["count"] for r in streams.read_request_counts(spark, path).collect()] == [40]

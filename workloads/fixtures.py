@@ -276,6 +276,28 @@ def _breakdown_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What is odd in these breakdowns: a period of one number, one without segments, a value that is text.
+ODD_PERIOD, EMPTY_PERIOD, ODD_VALUE = "1995", "1996", ("1997", "R")
+
+
+def odd_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakdowns as ``symbol, raw_data`` with periods and values that are not what they should be."""
+    rows = breakdown_rows(spark, sf_dir)
+    odd = (F.col("period") == ODD_VALUE[0]) & (F.col("segment") == ODD_VALUE[1])
+    text = F.when(odd, F.lit('"n/a"')).otherwise(F.coalesce(F.col("value").cast("string"), F.lit("null")))
+    pair = F.concat(F.lit('"'), "segment", F.lit('":'), text)
+    inner = F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(pair)), ","), F.lit("}"))
+    periods = rows.groupBy("symbol", "period").agg(inner.alias("inner"))
+    shown = (
+        F.when(F.col("period") == ODD_PERIOD, F.lit("5"))
+        .when(F.col("period") == EMPTY_PERIOD, F.lit("{}"))
+        .otherwise(F.col("inner"))
+    )
+    member = F.concat(F.lit('"'), "period", F.lit('":'), shown)
+    whole = F.concat(F.lit('{"breakdown":{'), F.array_join(F.sort_array(F.collect_list(member)), ","), F.lit("}}"))
+    return periods.groupBy("symbol").agg(whole.alias("raw_data"))
+
+
 # --- landed responses -----------------------------------------------------------
 
 DATA_TYPE_OF_EVENT = (
@@ -326,6 +348,19 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landed_lines(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Events as JSON lines: times with and without zone, and lines that are cut off."""
+    events = landed(table(spark, sf_dir, "events"))
+    local = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    text = F.when(F.col("seq") % 3 == 0, F.concat(local, F.lit("+02:00"))).when(
+        F.col("seq") % 3 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    ).otherwise(plain)
+    line = F.to_json(F.struct("seq", "endpoint", "data_type", "symbol", "status", "body", text.alias("ts")))
+    cut = F.when(F.col("seq") % 10 == 7, F.concat(F.lit('{"seq":'), F.col("seq"))).otherwise(line)
+    events.select(cut.alias("value")).write.text(path)
+
+
 # --- requests -------------------------------------------------------------------
 
 

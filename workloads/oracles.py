@@ -11,8 +11,11 @@ from workloads.fixtures import (
     BLOCK,
     BODY,
     DATA_TYPE_OF_EVENT,
+    EMPTY_PERIOD,
     FIELDS,
     KEPT_BODY,
+    ODD_PERIOD,
+    ODD_VALUE,
     PAYLOAD_ORDER,
     RAW_KEY,
     STATUS,
@@ -319,6 +322,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT endpoint, CAST(ts AS DATE) AS date, COUNT(*) AS count
             FROM ({PROCESSED}) AS p WHERE outcome IN ('accepted', 'quarantined')
             GROUP BY 1, 2""",
+        "ingest_odd_lines": f"""
+            SELECT CASE WHEN id % 10 <> 7 THEN id END AS id, CASE WHEN id % 10 <> 7 THEN data_type END AS data_type,
+                   CASE WHEN id % 10 <> 7 THEN last_updated END AS last_updated,
+                   CASE WHEN id % 10 = 7 THEN 'corrupt_line' ELSE outcome END AS outcome,
+                   CASE WHEN id % 10 = 7 THEN '{{"seq":' || CAST(id AS VARCHAR) ELSE raw_data END AS raw_data
+            FROM ({INGESTED}) AS i""",
+        "folded_log": INGESTED,
+        "latest_of_log": f"""
+            SELECT id, data_type, symbol, last_updated, raw_data, usable
+            FROM ({INGESTED}) AS i WHERE outcome = 'accepted'
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY data_type, symbol ORDER BY last_updated DESC, id DESC) = 1""",
         # Shaping
         "explode_records": f"SELECT symbol, pos, {_keys('balance')} FROM ({records_sql('balance')}) AS r",
         "unwrap_envelope": f"""
@@ -327,6 +341,18 @@ def oracle_sql() -> dict[str, str]:
         "extract_nested_object": f"""
             SELECT symbol, {_keys('outlook')} FROM ({records_sql('outlook')}) AS r""",
         "flatten_nested_map": f"SELECT symbol, period, segment, value FROM ({BREAKDOWN}) AS b",
+        "odd_members": f"""
+            SELECT symbol, period, segment, CASE WHEN NOT odd THEN value END AS value,
+                   CAST(NULL AS VARCHAR) AS raw, 'shown' AS problem
+            FROM (SELECT *, period = '{ODD_VALUE[0]}' AND segment = '{ODD_VALUE[1]}' AS odd FROM ({BREAKDOWN}) AS b)
+            WHERE period NOT IN ('{ODD_PERIOD}', '{EMPTY_PERIOD}')
+            UNION ALL
+            SELECT symbol, period, segment, NULL, 'n/a', 'value_not_a_number' FROM ({BREAKDOWN}) AS b
+            WHERE period = '{ODD_VALUE[0]}' AND segment = '{ODD_VALUE[1]}'
+            UNION ALL
+            SELECT DISTINCT symbol, period, NULL, NULL, CASE period WHEN '{ODD_PERIOD}' THEN '5' ELSE '{{}}' END,
+                   CASE period WHEN '{ODD_PERIOD}' THEN 'period_not_an_object' ELSE 'period_without_segments' END
+            FROM ({BREAKDOWN}) AS b WHERE period IN ('{ODD_PERIOD}', '{EMPTY_PERIOD}')""",
         "project_known_columns": f"SELECT symbol, pos, {_keys('metrics')} FROM ({records_sql('metrics')}) AS r",
         "rename_columns": "SELECT symbol, pos, "
         + ", ".join(f'"{f.key}" AS "{f.label}"' for f in spec_for("ratios").fields)

@@ -10,8 +10,8 @@ from snapfolio.catalog import CATALOG, DatasetSpec, spec_for
 from snapfolio.functions import decode_payload, encode_payload, has_content, normalize_key
 from snapfolio.operators import ledger, planning, responses, shaping, store
 from snapfolio.plans.views import dataset_view, view_totals
-from snapfolio.sources import export, store_table
-from snapfolio.sources.landing import ingest_landed_payloads
+from snapfolio.sources import export, newest_index, store_table
+from snapfolio.sources.landing import ingest_landed_payloads, read_landed
 from snapfolio.sources.scratch import new_folder
 from snapfolio.streaming import streams
 from workloads import fixtures
@@ -186,6 +186,40 @@ def ingest_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_table.scan_log(spark, _ingested(spark, sf_dir))
 
 
+def ingest_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with zoned times, and lines that cannot be read, which keep their text."""
+    lines, path = new_folder(spark, "landed"), new_folder(spark, "log")
+    fixtures.landed_lines(spark, sf_dir, lines)
+    ingest_landed_payloads(read_landed(spark, lines), path)
+    return store_table.scan_log(spark, path).select(
+        F.when(F.col("outcome") != responses.CORRUPT_LINE, F.col("id")).alias("id"), "data_type", "last_updated",
+        "outcome", "raw_data",
+    )
+
+
+#: Runs that the landed responses come in, and how many of one level are folded.
+RUNS, FAN = 3, 2
+
+
+def _ingested_in_runs(spark: SparkSession, sf_dir: str) -> str:
+    """The log of the landed responses in several runs, one of which is repeated, folded after each."""
+    path = new_folder(spark, "log")
+    events = fixtures.landed(fixtures.table(spark, sf_dir, "events"))
+    for run in (*range(RUNS), 1):
+        ingest_landed_payloads(events.filter(F.col("seq") % RUNS == run), path, f"run-{run}")
+        store_table.fold_log(spark, path, fan=FAN)
+    return path
+
+
+def folded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_table.scan_log(spark, _ingested_in_runs(spark, sf_dir))
+
+
+def latest_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest snapshots of a log of several runs, by its index."""
+    return newest_index.latest_of_log(spark, _ingested_in_runs(spark, sf_dir))
+
+
 def ingested_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.request_counts(store_table.ledger_of_log(spark, _ingested(spark, sf_dir)))
 
@@ -236,6 +270,16 @@ def flatten_nested_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaping.flatten_nested_map(latest, "breakdown")
 
 
+def odd_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of breakdowns: what is shown, and beside it what is odd."""
+    breakdowns = fixtures.odd_breakdowns(spark, sf_dir)
+    shown = shaping.flatten_nested_map(breakdowns, "breakdown").select(
+        "*", F.lit(None).cast("string").alias("raw"), F.lit("shown").alias("problem")
+    )
+    odd = shaping.odd_members(breakdowns, "breakdown").withColumn("value", F.lit(None).cast("double"))
+    return shown.unionByName(odd)
+
+
 def project_known_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest, spec = _latest(spark, sf_dir, "metrics")
     return shaping.project_known_columns(shaping.explode_records(latest, spec), spec)
@@ -416,10 +460,14 @@ def queries() -> dict[str, Query]:
         "quarantine_bad_payloads": quarantine_bad_payloads,
         "ingest_landed_payloads": ingest_landed,
         "ingested_requests": ingested_requests,
+        "ingest_odd_lines": ingest_odd_lines,
+        "folded_log": folded_log,
+        "latest_of_log": latest_of_log,
         "explode_records": explode_records,
         "unwrap_envelope": unwrap_envelope,
         "extract_nested_object": extract_nested_object,
         "flatten_nested_map": flatten_nested_map,
+        "odd_members": odd_members,
         "project_known_columns": project_known_columns,
         "rename_columns": rename_columns,
         "sort_newest_first": sort_newest_first,
