@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from snapfolio.catalog import NESTED_MAP, NESTED_OBJECT, DatasetSpec
 from snapfolio.functions import decode_payload, encode_payload, payload_kind
@@ -70,31 +72,82 @@ def infer_record_type(store: DataFrame, spec: DatasetSpec, how: str = "lookup")
     return "STRUCT<" + ", ".join([*declared.values(), *extras]) + ">"
 
 
-def _whole_records(latest: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """``symbol, _records``: of each record the texts of its keys (``own``) and, for a nested object,
+def _whole_records(latest: DataFrame, spec: DatasetSpec, *keep: str) -> DataFrame:
+    """``symbol, _records`` and the columns to ``keep``: of each record the texts of its keys (``own``) and, for a nested object,
     those of the other members of the payload (``beside``). Keys differ by case."""
     raw, texts = F.col("raw_data"), "MAP<STRING, STRING>"
     none = F.lit(None).cast("map<string,string>")
     if spec.shape == NESTED_OBJECT:
         decoded = latest.select(
-            "symbol", F.when(payload_kind(raw) == "object", decode_payload(raw, texts)).alias("_payload")
+            "symbol", *keep, F.when(payload_kind(raw) == "object", decode_payload(raw, texts)).alias("_payload")
         )
         own = decode_payload(F.try_element_at("_payload", F.lit(spec.member)), texts)
         beside = F.map_filter("_payload", lambda k, _: k != spec.member)
         records = F.when(F.size(own) > 0, F.array(F.struct(own.alias("own"), beside.alias("beside"))))
-        return decoded.select("symbol", records.alias("_records"))
+        return decoded.select("symbol", *keep, records.alias("_records"))
     maps = F.when(payload_kind(raw) == "array", decode_payload(raw, f"ARRAY<{texts}>"))
     return latest.select(
-        "symbol", F.transform(maps, lambda m: F.struct(m.alias("own"), none.alias("beside"))).alias("_records")
+        "symbol", *keep, F.transform(maps, lambda m: F.struct(m.alias("own"), none.alias("beside"))).alias("_records")
     )
 
 
-def _found_keys(records: DataFrame, part: str) -> list[str]:
-    """The distinct keys of all records. Only names come to the driver, as many as columns are made."""
-    no_keys = F.array().cast("array<string>")
-    names = F.flatten(F.transform("_records", lambda r: F.coalesce(F.map_keys(r[part]), no_keys)))
-    found = records.select(F.explode(F.array_distinct(names)).alias("key")).distinct()
-    return sorted(r["key"] for r in found.collect())
+#: Kinds of JSON values as bits, so that the kinds of a key are one number. Null has none.
+BOOLEAN, WHOLE, NUMBER, TEXT = 1, 2, 4, 8
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a JSON value. Whole numbers beyond a long are text, since no number would hold them."""
+    name = F.schema_of_variant(value)
+    return (
+        F.when(name == "VOID", 0)
+        .when(name == "BOOLEAN", BOOLEAN)
+        .when(name == "BIGINT", WHOLE)
+        .when(name.rlike(r"^(DOUBLE|FLOAT|DECIMAL\([0-9]+,[1-9][0-9]*\))$"), NUMBER)
+        .otherwise(TEXT)
+    )
+
+
+def type_of_kinds(kinds: int) -> str:
+    """The narrowest type that holds values of all these kinds; text if they have nothing in common."""
+    if kinds == BOOLEAN:
+        return "BOOLEAN"
+    if kinds == WHOLE:
+        return "BIGINT"
+    return "DOUBLE" if kinds in (NUMBER, NUMBER | WHOLE) else "STRING"
+
+
+def _found_types(latest: DataFrame, spec: DatasetSpec, part: str) -> dict[str, str]:
+    """The distinct keys of all records, in order, and the type that all values of a key have.
+
+    One job; only names and types come to the driver, as many as columns are made. A payload that has no exact
+    VARIANT (one that repeats a key within an object, or is beyond 16 MB) counts as text.
+    """
+    raw, values = F.col("raw_data"), "MAP<STRING, VARIANT>"
+    if spec.shape != NESTED_OBJECT:
+        typed = decode_payload(raw, f"ARRAY<{values}>")
+    elif part == "own":
+        typed = F.array(decode_payload(raw, f"STRUCT<`{spec.member}`: {values}>")[spec.member])
+    else:
+        typed = F.array(decode_payload(raw, values))
+    # The texts tell which keys there are, the variants of what kind; one record is one place in both.
+    texts = _whole_records(latest.withColumn("_typed", typed), spec, "_typed")
+    none = F.array().cast("array<struct<key:string,kind:int>>")
+
+    def kinds(record: Column, at: Column) -> Column:
+        known = F.get("_typed", at)
+        return F.coalesce(
+            F.transform(
+                F.map_keys(record[part]),
+                lambda k: F.struct(
+                    k.alias("key"), F.coalesce(_kind(F.try_element_at(known, k)), F.lit(TEXT)).alias("kind")
+                ),
+            ),
+            none,
+        )
+
+    entries = F.array_distinct(F.flatten(F.transform("_records", kinds)))
+    found = texts.select(F.explode(entries).alias("e")).groupBy("e.key").agg(F.bit_or("e.kind").alias("kinds"))
+    return {r["key"]: type_of_kinds(r["kinds"]) for r in sorted(found.collect())}
 
 
 def column_names(keys: Sequence[str]) -> list[str]:
@@ -112,23 +165,22 @@ def column_names(keys: Sequence[str]) -> list[str]:
     return names
 
 
-def _exploded_whole(latest: DataFrame, spec: DatasetSpec) -> DataFrame:
+def _exploded_whole(latest: DataFrame, spec: DatasetSpec, typed: bool) -> DataFrame:
     records = _whole_records(latest, spec)
-    declared = {f.key: f.sql_type for f in spec.fields}
-    columns = [("own", k) for k in declared]
-    columns += [("own", k) for k in _found_keys(records, "own") if k not in declared]
-    if spec.shape == NESTED_OBJECT:
-        columns += [("beside", k) for k in _found_keys(records, "beside")]
-    names = column_names([k for _, k in columns])
+    types = {("own", f.key): f.sql_type for f in spec.fields}
+    for part in ("own", "beside") if spec.shape == NESTED_OBJECT else ("own",):
+        for key, kind in _found_types(latest, spec, part).items():
+            types.setdefault((part, key), kind if typed else "STRING")
+    names = column_names([k for _, k in types])
     rows = records.select("symbol", F.posexplode("_records").alias("pos", "_r"))
     return rows.select(
         "symbol",
         F.col("pos").cast("long").alias("pos"),
         *[
             F.try_element_at(F.col(f"_r.{part}"), F.lit(key))
-            .try_cast(declared.get(key, "STRING") if part == "own" else "STRING")
+            .try_cast(kind)
             .alias(name)
-            for (part, key), name in zip(columns, names, strict=True)
+            for ((part, key), kind), name in zip(types.items(), names, strict=True)
         ],
     )
 
@@ -141,12 +193,14 @@ def export_records(
     how: str = "lookup",
     salts: int = DEFAULT_SALTS,
     only_declared: bool = False,
+    typed: bool = True,
 ) -> DataFrame:
     """All records of the newest snapshot of the chosen symbols, with the payload's key
     names, in payload order (``pos``). Keys whose newest snapshot is empty have none.
 
     All keys of the payloads are exported: the declared ones first, with their types, then the
-    others by name, as text (JSON text if they are nested), then those of a nested object's other members.
+    others by name, with the narrowest type that holds all their values (JSON text if they are nested or of
+    different kinds, all as text without ``typed``), then those of a nested object's other members.
     Names that clash are made different by ``column_names``. Finding the keys runs a job.
     ``record_ddl`` (see ``infer_record_type``) sets keys and types instead, ``only_declared``
     leaves out what the catalogue does not name. Maps of maps become period, segment
@@ -161,7 +215,7 @@ def export_records(
         return flatten_nested_map(latest, spec.member)
     if only_declared or record_ddl is not None:
         return explode_records(latest, spec, record_ddl)
-    return _exploded_whole(latest, spec)
+    return _exploded_whole(latest, spec, typed)
 
 
 def export_path(directory: str, data_type: str, run: str) -> str:
@@ -185,6 +239,14 @@ def export_targets(symbols: DataFrame, spec: DatasetSpec, directory: str, run: s
     )
 
 
+def named_targets(symbols: DataFrame, spec: DatasetSpec, directory: str, run: str, fmt: str = "csv") -> DataFrame:
+    """The path of every symbol's file within an export with a file per symbol."""
+    base = export_path(directory, spec.data_type, run)
+    return symbols.select(
+        "symbol", F.concat(F.lit(f"{base}/"), file_name(F.col("symbol"), spec, run, fmt)).alias("target")
+    )
+
+
 def _flat_columns(df: DataFrame) -> DataFrame:
     """CSV holds no arrays, maps or structs: write them as JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -203,6 +265,7 @@ def write_export(
     fmt: str = "csv",
     layout: str = "flat",
     max_records_per_file: int = 1_000_000,
+    by: str = "symbol",
 ) -> None:
     """Write records as CSV (with header) or Parquet.
 
@@ -210,9 +273,9 @@ def write_export(
     files, so the symbols are spread over all shuffle partitions, which AQE would
     merge by their few bytes. ``layout="flat"`` keeps ``symbol`` as a column, shuffles
     nothing and is the one to use for very many symbols. The rows of a symbol come
-    from one payload, hence one task, and are written in payload order.
+    from one payload, hence one task, and are written in payload order. ``by`` names the folders otherwise.
     """
-    if layout not in ("flat", "symbol"):
+    if layout not in ("flat", "symbol"):  # "file" is ``write_named_files``
         raise ValueError(f"unknown layout {layout!r}")
     rows = _flat_columns(records) if fmt == "csv" else records
     if layout == "symbol":
@@ -221,18 +284,19 @@ def write_export(
         # and then merge partitions.
         rows = rows.repartition(partitions, F.xxhash64("symbol"))
     if "pos" in rows.columns:
-        order = [F.asc("symbol"), F.asc("pos")]
+        order = [F.asc(by), F.asc("pos")]
     else:
-        order = [F.asc("symbol"), F.desc("period"), F.asc("segment")]
+        order = [F.asc(by), F.desc("period"), F.asc("segment")]
+    rows = rows.sortWithinPartitions(*order)
     writer = (
-        rows.sortWithinPartitions(*order)
+        (rows if by == "symbol" else rows.drop("symbol"))
         .write.mode("errorifexists")
         .option("maxRecordsPerFile", max_records_per_file)
         .options(**(CSV_OPTIONS if fmt == "csv" else {}))
         .format(fmt)
     )
     if layout == "symbol":
-        writer = writer.partitionBy("symbol")
+        writer = writer.partitionBy(by)
     writer.save(path)
 
 
@@ -253,8 +317,63 @@ def export_all_keys(
     salts: int = DEFAULT_SALTS,
     only_declared: bool = False,
 ) -> str:
-    """Export the chosen symbols of a data type in one write; returns the folder written."""
+    """Export the chosen symbols of a data type in one write; returns the folder written. With ``layout="file"``
+    each symbol has one file, named as ``export_targets`` says."""
     path = export_path(directory, spec.data_type, run)
     records = export_records(store, spec, keys, record_ddl, how, salts, only_declared)
-    write_export(records, path, fmt=fmt, layout=layout)
+    if layout == "file":
+        write_named_files(records, path, spec, run, fmt)
+    else:
+        write_export(records, path, fmt=fmt, layout=layout)
     return path
+
+
+def file_name(symbol: Column, spec: DatasetSpec, run: str, fmt: str = "csv") -> Column:
+    """The name of a symbol's file. Characters that names of files cannot have are written as %XX."""
+    return F.concat(folder_name(symbol), F.lit(f"_{spec.export_suffix}_{run}.{fmt}"))
+
+
+#: Files that the driver renames at the same time.
+RENAMES = 32
+FILES_DDL = "symbol STRING, file STRING"
+
+
+def write_named_files(records: DataFrame, path: str, spec: DatasetSpec, run: str, fmt: str = "csv") -> None:
+    """One file per symbol, ``{symbol}_{suffix}_{run}.{fmt}``, in two steps.
+
+    First Spark writes the symbols to a folder beside the files, each in one file; then these get their
+    names and are entered in ``_files``, a table of ``symbol, file`` that is written last: an export without it is not whole.
+    A run that failed can be repeated, and replaces what it left; a whole one cannot. The driver renames
+    one file per symbol, some thousands a second; ``layout="flat"`` is the one for very many symbols.
+    """
+    spark = records.sparkSession
+    fs_path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = fs_path(path).getFileSystem(conf)
+    if fs.exists(fs_path(f"{path}/_files/_SUCCESS")):
+        raise ValueError(f"{path} already exists")
+    staged = f"{path}/_staged"
+    fs.delete(fs_path(staged), True)
+    named = records.withColumn("_name", file_name(F.col("symbol"), spec, run, fmt))
+    # Every symbol has one name and every name, being reversible, one symbol.
+    write_export(named, staged, fmt, "symbol", 0, by="_name")
+
+    def rename(folder) -> tuple[str, str]:
+        inner = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        name = unquote(folder.getName().removeprefix("_name="))
+        target = fs_path(f"{path}/{name}")
+        if fs.exists(target):
+            fs.delete(target, False)
+        if len(inner) != 1 or not fs.rename(inner[0], target):
+            raise OSError(f"cannot name {target}")
+        return unquote(name.removesuffix(f"_{spec.export_suffix}_{run}.{fmt}")), name
+
+    folders = [f.getPath() for f in fs.listStatus(fs_path(staged)) if f.isDirectory()]
+    with ThreadPoolExecutor(RENAMES) as pool:
+        files = list(pool.map(rename, folders))
+    spark.createDataFrame(files, FILES_DDL).coalesce(1).write.mode("overwrite").parquet(f"{path}/_files")
+    fs.delete(fs_path(staged), True)
+
+
+def exported_files(spark: SparkSession, path: str) -> DataFrame:
+    """``symbol, file`` of a whole export by ``write_named_files``."""
+    return spark.read.schema(FILES_DDL).parquet(f"{path}/_files")

@@ -95,7 +95,7 @@ def test_whole_payloads_by_default(spark, store_of):
         (2, "ratios", "B", "2024-01-01", '{"Error Message":"ignored"}'),
         (3, "ratios", "C", "2024-01-01", '[{"currentRatio":2,"voided":null}]'),
     )
-    records = export.export_records(df, spec)
+    records = export.export_records(df, spec, typed=False)
     others = ["_", "Date_2", "VARIANT_ID", "VOIDED", "a.b`c", "nested", "padded", "pos_2", "symbol_2", "symbol_2_2", "voided_2"]
     assert records.columns == ["symbol", "pos", *spec.keys, *others]
     found = [r.asDict() for r in records.orderBy("symbol", "pos").collect()]
@@ -115,7 +115,7 @@ def test_whole_payloads_by_default(spark, store_of):
 
 def test_other_members_of_an_outlook(store_of):
     body = '{"profile":{"companyName":"x","symbol":"A"},"metrics":{"pe":[1]},"ratios":[],"price":3}'
-    records = export.export_records(store_of((1, "outlook", "A", "2024-01-01", body)), spec_for("outlook"))
+    records = export.export_records(store_of((1, "outlook", "A", "2024-01-01", body)), spec_for("outlook"), typed=False)
     row = records.first().asDict()
     assert (row["companyName"], row["symbol_2"], row["price"]) == ("x", "A", None)
     assert (row["metrics"], row["ratios"], row["price_2"]) == ('{"pe":[1]}', "[]", "3")
@@ -150,3 +150,73 @@ def test_targets(spark, rows):
         base, target = export.export_targets(symbols, spec, "out/", "1").first()[1:]
         assert base == f"AAPL_{spec.export_suffix}_1"
         assert target == f"out/{spec.data_type}/run=1/symbol=AAPL"
+
+
+def test_types_of_undeclared_keys(store_of):
+    """Beside keys that clash or are odd, and payloads that have no exact variant."""
+    bodies = [
+        [{"date": "x", "n": 1, "N": "one", "f": 1, "b": True, "mixed": 1, "none": None, "": 5, "a.b`c": 2.5, "big": 2**70, "text": "7"}],
+        [{"f": 2.25, "n": -3, "mixed": "t", "b": False, "nested": {"a": 1}, "symbol": 4, "some": None}, {"n": None, "some": [1]}],
+    ]
+    df = store_of(*[(i, "ratios", f"S{i}", "2024-01-01", json.dumps(b)) for i, b in enumerate(bodies)])
+    records = export.export_records(df, spec_for("ratios"))
+    types = dict(records.dtypes)
+    expected = {
+        "n": "bigint", "N_2": None, "f": "double", "b": "boolean", "mixed": "string", "none": "string", "_": "bigint",
+        "a.b`c": "double", "big": "string", "text": "string", "nested": "string", "symbol_2": "bigint", "some": "string",
+    }
+    # Keys go by name, capitals first, so the later of two that clash gets a number.
+    expected = {"N": "string", "n_2": "bigint"} | {k: v for k, v in expected.items() if k not in ("n", "N_2")}
+    assert {k: types[k] for k in expected} == expected
+    rows = {(r["symbol"], r["pos"]): r.asDict() for r in records.collect()}
+    first, second, third = rows["S0", 0], rows["S1", 0], rows["S1", 1]
+    assert (first["n_2"], first["f"], first["b"], first["_"], first["a.b`c"], first["mixed"]) == (1, 1.0, True, 5, 2.5, "1")
+    assert (first["big"], first["text"], second["f"], second["mixed"]) == (str(2**70), "7", 2.25, "t")
+    assert (second["nested"], second["symbol_2"], third["n_2"], third["some"]) == ('{"a":1}', 4, None, "[1]")
+    repeated = store_of((9, "ratios", "T", "2024-01-01", '[{"k":1,"o":{"x":1,"x":2}}]'))
+    assert dict(export.export_records(repeated, spec_for("ratios")).dtypes)["k"] == "string"
+
+
+def test_types_of_an_outlooks_other_members(store_of):
+    body = '{"profile":{"companyName":"x","employees":12},"price":3,"beta":1.5,"metrics":{"pe":[1]}}'
+    records = export.export_records(store_of((1, "outlook", "A", "2024-01-01", body)), spec_for("outlook"))
+    types, row = dict(records.dtypes), records.first().asDict()
+    assert (types["employees"], row["employees"]) == ("bigint", 12)
+    found = {k: v for k, v in row.items() if v in (3, 1.5)}
+    assert sorted(found.values()) == [1.5, 3]
+
+
+SYMBOLS = ["^GSPC", "BRK/B", "A=B", "50%", "EUR:USD", "plain", "é x", "a_ratios_1", "{}[]*?"]
+
+
+def test_a_file_per_symbol_under_its_own_name(spark, store_of):
+    spec, folder = spec_for("grades"), new_folder(spark, "test-exports")
+    store = store_of(*[(i, "grades", s, "2024-01-01", f'[{{"date":"d{i}"}},{{"date":"e"}}]') for i, s in enumerate(SYMBOLS)])
+    run = dict(directory=folder, run="20240601_120000", layout="file")
+    path = export.export_all_keys(store, spec, **run)
+    targets = {r["symbol"]: r["target"] for r in export.named_targets(store, spec, folder, "20240601_120000").collect()}
+    listed = {r["symbol"]: f"{path}/{r['file']}" for r in export.exported_files(spark, path).collect()}
+    assert targets == listed and set(targets) == set(SYMBOLS)
+    schema = "pos BIGINT, date STRING"
+    read = spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
+    rows = read.select("date", F.url_decode("_metadata.file_path").alias("f")).filter("date <> 'e'").collect()
+    strip = lambda name: name.removeprefix("file:").replace("//", "/")
+    assert {strip(r["f"]): r["date"] for r in rows} == {
+        strip(targets[s]): f"d{i}" for i, s in enumerate(SYMBOLS)
+    }
+    assert "/%5EGSPC_" in targets["^GSPC"] and "/BRK%2FB_" in targets["BRK/B"]
+    with pytest.raises(ValueError, match="already exists"):
+        export.export_all_keys(store, spec, **run)
+
+
+def test_an_export_that_failed_is_repeated(spark, store_of, monkeypatch):
+    spec, folder = spec_for("grades"), new_folder(spark, "test-exports")
+    store = store_of(*[(i, "grades", f"S{i}", "2024-01-01", '[{"date":"d"}]') for i in range(5)])
+    run = dict(directory=folder, run="1", layout="file")
+    with monkeypatch.context() as broken:
+        broken.setattr(export, "FILES_DDL", "symbol INT, file INT")
+        with pytest.raises(Exception):
+            export.export_all_keys(store, spec, **run)
+    path = export.export_all_keys(store, spec, **run)
+    assert export.exported_files(spark, path).count() == 5
+    assert len(glob.glob(f"{path.removeprefix('file:')}/*.csv")) == 5 and not glob.glob(f"{path}/_staged*")

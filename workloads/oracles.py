@@ -378,6 +378,10 @@ def oracle_sql() -> dict[str, str]:
         # Exports
         "export_csv": f"SELECT symbol, pos, {_keys('grades')} FROM ({records_sql('grades')}) AS r",
         "export_all_keys": f"SELECT symbol, pos, {_keys('cashflow')} FROM ({records_sql('cashflow')}) AS r",
+        "export_named_files": f"""
+            SELECT symbol || '_{spec_for("marketcap").export_suffix}_20240601_120000.csv' AS file, pos,
+                   {_keys('marketcap')}
+            FROM ({records_sql('marketcap')}) AS r""",
         "export_path": """
             SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol,
                    'S' || CAST(l_suppkey AS VARCHAR) || '_balance_sheet_20240601_120000' AS file_base,

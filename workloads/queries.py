@@ -352,6 +352,18 @@ def export_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
 
 
+def export_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per symbol under its own name, read back with the name it was read from."""
+    spec, folder, run = spec_for("marketcap"), new_folder(spark, "exports"), "20240601_120000"
+    path = export.export_all_keys(
+        fixtures.snapshots(spark, sf_dir, "marketcap"), spec, folder, run, layout="file", only_declared=True, **ONCE
+    )
+    schema = _record_schema(spec, "pos BIGINT")
+    read = spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
+    name = F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -1)
+    return read.select(name.alias("file"), "pos", *spec.keys)
+
+
 def export_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = spec_for("balance")
     symbols = store.cached_keys(fixtures.snapshots(spark, sf_dir, "balance"), "balance")
@@ -477,6 +489,7 @@ def queries() -> dict[str, Query]:
         "view_totals": totals_of_view,
         "export_csv": export_csv,
         "export_all_keys": export_all_keys,
+        "export_named_files": export_named_files,
         "export_path": export_path,
         "export_records": export_records,
         "export_records_all_payload_keys": export_records_all_payload_keys,
