@@ -49,6 +49,25 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose nodes are in different components. A node without component is its own."""
+
+    def of(node: str) -> DataFrame:
+        return groups.select(F.col("node").alias(node), F.col("component").alias(f"_{node}"))
+
+    found = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return found.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that ``groups`` become by more links."""
+    if links.isEmpty():
+        return groups
+    # The first links count by their components, which is what they have in common.
+    known = groups.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return components(known.union(links.select("a", "b")))
+
+
 def bucket_components(
     rows: DataFrame,
     marks: DataFrame,
@@ -66,8 +85,9 @@ def bucket_components(
     first_table  from the same: the first table in which the two share a bucket
     confirm      keeps of pairs ``a, b`` (a < b) those that are links
 
-    First every node is compared with the least node of its buckets, which joins nearly all
-    of a large group with few comparisons per node. Of the other pairs only those that are
+    First every node is compared with the least node of its buckets: with the least of these that may be near, which
+    joins nearly all of a large group with one comparison and one link per node, then with the others that are in
+    another component by then. Of the other pairs only those that are
     still in different components can matter, and all of these are compared. So the components are
     those of all links, though most pairs of a group are never made.
     """
@@ -87,8 +107,12 @@ def bucket_components(
         .filter(near("x_", "y_"))
         .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
     )
-    links = written(confirm(written(first, "pairs")), "links")
-    groups = components(links)
+    first = written(first, "pairs")
+    least = written(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    groups = components(written(confirm(least), "links"))
+    tried = least.select(F.col("a").alias("_tried"), "b")
+    others = first.join(tried, "b").filter(F.col("a") != F.col("_tried")).select("a", "b")
+    groups = joined(groups, written(confirm(written(apart(others, groups), "pairs")), "links"))
     # In a bucket of two the only pair has been compared.
     placed = crowded.filter("n > 2").join(groups, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
@@ -115,11 +139,4 @@ def bucket_components(
         & (F.col("x_table") == first_table("x_", "y_")),
     ).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
     more = written(confirm(written(second, "pairs")), "links")
-    if more.isEmpty():
-        return groups
-    # The first links count by their components, which is what they have in common.
-    return components(
-        groups.filter("node <> component")
-        .select(F.col("component").alias("a"), F.col("node").alias("b"))
-        .union(more)
-    )
+    return joined(groups, more)
