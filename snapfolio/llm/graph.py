@@ -91,13 +91,26 @@ def bucket_components(
     still in different components can matter, and all of these are compared. So the components are
     those of all links, though most pairs of a group are never made.
     """
+    pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
+    crowded = written(rows.join(pivots.filter("n > 1"), "bucket"), "crowded")
+    return crowded_components(crowded, marks, table, near, first_table, confirm)
+
+
+def crowded_components(
+    crowded: DataFrame,
+    marks: DataFrame,
+    table: Column,
+    near: Callable[[str, str], Column],
+    first_table: Callable[[str, str], Column],
+    confirm: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``bucket_components`` from the written rows ``bucket, node, pivot, n`` of buckets with n > 1 nodes, of which
+    the pivot is the least."""
     columns = [c for c in marks.columns if c != "node"]
 
     def named(prefix: str) -> DataFrame:
         return marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in ["node", *columns]])
 
-    pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
-    crowded = written(rows.join(pivots.filter("n > 1"), "bucket"), "crowded")
     first = crowded.filter("node > pivot").select(
         F.col("pivot").alias("x_node"), F.col("node").alias("y_node")
     ).distinct()
