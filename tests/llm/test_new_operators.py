@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given as sampled
@@ -14,7 +15,7 @@ from hypothesis import settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapfolio.llm import clustering, fill_middle, oracles, queries, token_counts
+from snapfolio.llm import clustering, fill_middle, line_dedup, line_sketch, oracles, queries, token_counts
 from tests.compare import connect, differences
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import documents, empty, odd, prose
@@ -243,3 +244,84 @@ def test_other_vocabularies_are_refused():
 
     with pytest.raises(ValueError, match="byte-level"):
         token_counts.PrefixCounts(public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --- line dedup -------------------------------------------------------------------
+
+
+def _similar(spark, norm):
+    """All pairs of lines within a tenth of edits. Lines whose letters differ by more than these are told apart first."""
+    sizes = np.array([len(x) for x in norm])
+    letters = np.zeros((len(norm), 128), dtype=np.int16)
+    for i, x in enumerate(norm):
+        for c in x:
+            letters[i, ord(c) % 128] += 1
+    found = []
+    for i in range(len(norm) - 1):
+        most = np.maximum(sizes[i + 1 :], sizes[i]) // 10
+        apart = np.abs(letters[i + 1 :] - letters[i]).sum(axis=1)
+        found += [(i, i + 1 + int(j)) for j in np.flatnonzero((apart <= 2 * most) & (abs(sizes[i + 1 :] - sizes[i]) <= most))]
+    pairs = spark.createDataFrame([(i, j, norm[i], norm[j]) for i, j in found], "i INT, j INT, a STRING, b STRING")
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) / 10).cast("int")
+    near = pairs.repartition(16).filter(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
+    return [(r["i"], r["j"]) for r in near.select("i", "j").collect()]
+
+
+def _lines(spark, folder):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    norm = sorted(set(line_sketch.normalised(pa.array([x for t in texts for x in t.split("\n")])).to_pylist()))
+    return [x for x in norm if x.count(" ") >= 4 or len(x) >= 20]
+
+
+def test_blocks_are_shared_by_similar_lines(spark):
+    """Against all pairs of lines of a table, and lines of any length with a word replaced."""
+    norm = _lines(spark, SF_SMALL)
+    near = _similar(spark, norm)
+    buckets = [set(b) for b in line_sketch.blocks(pa.array(norm)).to_pylist()]
+    assert len(near) > 20
+    assert sum(bool(buckets[a] & buckets[b]) for a, b in near) >= 0.9 * len(near)
+    rng, pairs = random.Random(3), []
+    for n in range(5, 120):
+        words = prose(7 * n, n).split()
+        at = rng.randrange(n)
+        pairs.append((" ".join(words), " ".join([*words[:at], "zzz", *words[at + 1 :]])))
+    one, other = (line_sketch.blocks(pa.array(x)).to_pylist() for x in zip(*pairs, strict=True))
+    assert sum(bool(set(a) & set(b)) for a, b in zip(one, other, strict=True)) >= 0.97 * len(pairs)
+
+
+def test_bitmaps_never_rule_out_similar_lines():
+    rng = random.Random(11)
+    for _ in range(300):
+        line = prose(rng.randrange(10_000), rng.randrange(5, 60))
+        edits = max(1, len(line) // 10)
+        changed = list(line)
+        for _ in range(rng.randint(1, edits)):
+            at = rng.randrange(len(changed))
+            changed[at : at + 1] = rng.choice([[], ["q"], [changed[at], "é"]])
+        one, other = line_sketch.parities(pa.array([line, "".join(changed)])).view(np.uint64)
+        assert sum(int(x).bit_count() for x in one ^ other) <= 4 * edits
+
+
+def test_lines_with_clashing_columns_and_odd_texts(spark):
+    names = ["_hash", "_gone", "_n_removed", "row", "id", "place", "places", "text_hash", "node", "a.b`c"]
+    ddl = "doc_id BIGINT, text STRING, " + ", ".join(f"`{c.replace('`', '``')}` STRING" for c in names)
+    copied = "a line of several words that comes again"
+    texts = [(1, copied), (2, f"first\n{copied}"), (None, copied), (3, None), (4, ""), (2, f"first\n{copied}")]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in texts], ddl)
+    out = line_dedup.dedup_lines(docs, wide=True)
+    assert out.columns == [c for c in docs.columns if c != "_n_removed"] + ["_n_lines", "_n_removed"]
+    rows = out.collect()
+    assert all(r[c] == c for r in rows for c in names if c != "_n_removed")
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["_n_lines"], r["_n_removed"]) for r in rows)
+    assert got == [
+        ("1", "", 1, 1), ("2", "first", 2, 1), ("2", "first", 2, 1), ("3", "None", 0, 0), ("4", "", 1, 0), ("None", copied, 1, 0),
+    ]
+    for odd_docs in (odd(spark), empty(spark)):
+        kept = line_dedup.dedup_lines(odd_docs, wide=True)
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in odd_docs.collect())
+
+
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"{i} {prose(i % 50, 6)}" for i in range(100_000)] * 2
+    out = line_sketch.left_lines(pd.Series(["\n".join(lines)]), pd.Series([list(range(100_000, 200_000))]))
+    assert out[0] == "\n".join(lines[:100_000])
