@@ -16,6 +16,7 @@ rows are packed like any other. Columns other than the id and the text are not l
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -48,13 +50,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The rules of the vocabulary that words are split by.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class WordIds:
     """The ids of words, as the tokenizer gives them for a text that consists of the word.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text
     are those of its words one after another. Words of ASCII and Latin-1 letters, digits and signs are cut
     as the vocabulary's own pattern cuts them and looked up in its model; all other words
-    go through the whole tokenizer. Its special tokens' strings are ordinary text.
+    go through the whole tokenizer. So do texts that hold the string of a special token, which is one id, and
+    all texts if the file has other rules than those that are followed here.
     """
 
     # The pattern of the vocabulary, for the characters of PLAIN.
@@ -65,7 +79,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        described = json.loads(self.whole.to_str())
+        self.special = [t["content"] for t in described["added_tokens"]]
+        self.followed = {k: described[k] for k in RULES} == RULES and described["model"]["type"] == "BPE"
         self.model = self.whole.model
         # The byte-level alphabet shows printable bytes as themselves, others from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,7 +117,24 @@ def word_ids(path: str) -> WordIds:
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids after another, and where each text's begin; no end ids."""
-    words, encoder = split_words(texts), word_ids(path)
+    encoder = word_ids(path)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts, "")
+    whole = np.full(len(texts), not encoder.followed)
+    for special in encoder.special:
+        whole |= np.asarray(pc.match_substring(texts, special))
+    if not whole.any():
+        return _ids_by_word(texts, encoder)
+    ids, starts = _ids_by_word(texts.filter(pa.array(~whole)), encoder)
+    by_word = iter(np.split(ids, starts[1:-1]) if len(starts) > 1 else [])
+    apart = iter(encoder.whole.encode_batch(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False))
+    each = [np.array(next(apart).ids, dtype=np.uint32) if w else next(by_word) for w in whole]
+    return np.concatenate(each).astype(np.uint32), np.concatenate([[0], np.cumsum([len(e) for e in each])])
+
+
+def _ids_by_word(texts: pa.Array, encoder: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    words = split_words(texts)
     each = [encoder.word(w) for w in words.distinct.to_pylist()]
     counts = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
     flat = np.fromiter((i for ids in each for i in ids), dtype=np.uint32, count=int(counts.sum()))

@@ -126,9 +126,10 @@ def _decided(rows: DataFrame) -> DataFrame:
         .groupBy("digest")
         .agg(
             F.count("*").alias("n"),
-            F.max("page_id").alias("newest"),
-            F.max_by(F.coalesce("url", F.lit("")), "page_id").alias("newest_url"),
+            # Of several addresses under the newest id, always the same one.
+            F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("last"),
         )
+        .select("digest", "n", F.col("last.page_id").alias("newest"), F.col("last.url").alias("newest_url"))
         .filter("n > 1 and newest is not null")
         .drop("n")
     )
@@ -185,7 +186,8 @@ def write_archives(
         return pd.Series(np.searchsorted(shared.value, keys.to_numpy(dtype="U33"), side="right"))
 
     placed = keyed.withColumn("shard", shard_of("key"))
-    sorted_ = placed.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions(
+    # Every shard is a partition of its own, which a hash of few numbers would not give.
+    sorted_ = placed.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions(
         "shard", "key", "url", "digest"
     )
 

@@ -149,8 +149,8 @@ def test_packing_tokens_and_places(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_vocabulary())
-    whole.encode_special_tokens = True
     extra = ["It's 3 o'clock, I'LL go!!  x y", "ÉCOLE Straße ²½ ª × ÷ \x1c", "é É", "日本 <|endoftext|> ok", "a\x00b"]
+    extra += ["hello<|endoftext|>world", "<|startoftext|> a <|endoftext|>", "<|endoftext|>", "<|ENDOFTEXT|> <|endof text|>"]
     docs = given(spark).select("doc_id", "text").union(
         spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id BIGINT, text STRING")
     )
@@ -176,6 +176,21 @@ def test_packing_tokens_and_places(spark):
     assert len(by_sequence) <= 1.02 * math.ceil(sum(r["length"] for r in rows) / 4096) + 1
 
 
+def test_ids_of_other_vocabularies():
+    """One that is not split as it is by default goes through the whole tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["It's  two words", None, "", "é <|endoftext|>x", "plain"]
+    ids, starts = packing.token_ids(pa.array(texts), path)
+    whole = Tokenizer.from_file(path)
+    expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == expected
+
+
 def test_plan_places_everything_once():
     rng = np.random.default_rng(1)
     for capacity in (10, 97):
@@ -333,6 +348,8 @@ def test_warc_is_deterministic_and_whole(spark):
     big = "<p>ü</p>" * 300
     rows = [(k, f"http://x/{k}", big if k % 3 == 0 else f"page {k}") for k in range(30)]
     rows += [(None, None, None), (100, "a b\nc", None), (101, "u", ""), (27, "http://x/27", big)]
+    # The newest of some copies has several addresses.
+    rows += [(27, f"http://x/{k}", big) for k in "cab"]
     pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").withColumn("digest", F.lit("x"))
     lists = []
     for n in (1, 7):
