@@ -1,0 +1,105 @@
+"""Streams that carry state from one micro-batch to the next."""
+
+from collections import Counter
+from datetime import datetime, timedelta
+
+from snapfolio.operators import ledger
+from snapfolio.sources.runs import RunTable
+from snapfolio.sources.scratch import new_folder
+from snapfolio.streaming import streams
+
+LOG = "endpoint STRING, ts TIMESTAMP_NTZ"
+REQUESTS = "request_id BIGINT, ts TIMESTAMP_NTZ"
+
+
+def _arrive(spark, source, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+
+def test_late_requests_are_counted_once(spark):
+    source, closed, every = (new_folder(spark, f"test-{n}") for n in ("src", "closed", "every"))
+
+    def arrive(*days):
+        _arrive(spark, source, [(e, None if d is None else datetime(2024, 7, 1) + timedelta(hours=d)) for e, d in days], LOG)
+        log = spark.readStream.schema(LOG).parquet(source)
+        for start, path in ((streams.stream_closed_counts, closed), (streams.stream_request_counts, every)):
+            start(log, path, f"{path}-ckpt", available_now=True).awaitTermination()
+        return sorted(
+            (r["endpoint"] or "", r["date"].day, r["count"], r["late"])
+            for r in streams.read_closed_counts(spark, closed, every).collect()
+        )
+
+    assert arrive(("a", 1), ("a", 23), (None, 5), ("a", None)) == []
+    # Still open: the newest request is less than a day after the first day's end.
+    assert arrive(("a", 47), ("a", 2)) == []
+    # Closed with what came late but in time.
+    assert arrive(("b", 49)) == [("", 1, 1, 0), ("a", 1, 3, 0)]
+    # After that, requests are late ones, however often the streams are started again.
+    assert arrive(("a", 3), ("a", 4)) == [("", 1, 1, 0), ("a", 1, 5, 2)]
+    assert arrive(("b", 200)) == [("", 1, 1, 0), ("a", 1, 5, 2), ("a", 2, 1, 0), ("b", 3, 1, 0)]
+
+
+def test_days_of_the_wall_clock(spark):
+    source, closed, every = (new_folder(spark, f"test-{n}") for n in ("src", "closed", "every"))
+    times = [datetime(2024, 7, 1, 0, 30), datetime(2024, 7, 1, 23, 30), datetime(2024, 7, 2, 1), datetime(2024, 7, 9)]
+    _arrive(spark, source, [("e", t) for t in times], LOG)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        log = spark.readStream.schema(LOG).parquet(source)
+        for start, path in ((streams.stream_closed_counts, closed), (streams.stream_request_counts, every)):
+            start(log, path, f"{path}-ckpt", available_now=True).awaitTermination()
+        got = sorted((str(r["date"]), r["count"]) for r in streams.read_closed_counts(spark, closed, every).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("2024-07-01", 2), ("2024-07-02", 1)]
+
+
+def test_admissions_in_any_split(spark):
+    """Four days of 80 requests and a budget of 30: batches of any sizes get the batch job's admissions."""
+    rows = [(i, datetime(2024, 7, 1) + timedelta(minutes=36 * (i // 2))) for i in range(320)]
+    batch = ledger.admit_within_budget(spark.createDataFrame(rows, REQUESTS), daily_limit=30)
+    wanted = {r["request_id"] for r in batch.filter("admitted").collect()}
+    assert set(Counter(t.day for i, t in rows if i in wanted).values()) == {30}
+    for cuts in ((0, 320), (0, 7, 15, 16, 100, 101, 290, 320)):
+        source, path = new_folder(spark, "test-src"), new_folder(spark, "test-admitted")
+        for a, b in zip(cuts, cuts[1:]):
+            _arrive(spark, source, rows[a:b], REQUESTS)
+            read = spark.readStream.schema(REQUESTS).parquet(source)
+            streams.stream_admissions(
+                read, path, f"{path}-ckpt", daily_limit=30, available_now=True, fan=3
+            ).awaitTermination()
+        got = streams.read_admissions(spark, path).collect()
+        assert len(got) == len(rows)
+        assert {r["request_id"] for r in got if r["admitted"]} == wanted
+
+
+def test_an_admission_that_was_broken_off(spark, monkeypatch):
+    """Decisions that were entered without their spending stand when the batch is repeated."""
+    source, path = new_folder(spark, "test-src"), new_folder(spark, "test-admitted")
+    day = datetime(2024, 7, 1)
+
+    def start():
+        read = spark.readStream.schema(REQUESTS).parquet(source)
+        streams.stream_admissions(read, path, f"{path}-ckpt", daily_limit=3, available_now=True).awaitTermination()
+
+    _arrive(spark, source, [(1, day), (2, day), (3, None)], REQUESTS)
+    real = streams._add_batch
+
+    def broken(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(streams, "_add_batch", broken)
+    try:
+        start()
+        raise AssertionError("went through")
+    except Exception as e:
+        assert "lost" in str(e)
+    monkeypatch.setattr(streams, "_add_batch", real)
+    assert len(RunTable(spark, f"{path}/decided").listed().runs) == 1
+    start()
+    _arrive(spark, source, [(4, day), (5, day)], REQUESTS)
+    start()
+    start()
+    got = {r["request_id"]: r["admitted"] for r in streams.read_admissions(spark, path).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False}

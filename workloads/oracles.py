@@ -407,6 +407,16 @@ def oracle_sql() -> dict[str, str]:
         "stream_request_counts": """
             SELECT event_type AS endpoint, CAST(ts AS DATE) AS date, COUNT(*) AS count
             FROM events GROUP BY 1, 2""",
+        "stream_closed_counts": """
+            SELECT event_type AS endpoint, CAST(ts AS DATE) AS date, COUNT(*) AS count,
+                   CAST(0 AS BIGINT) AS late
+            FROM events GROUP BY 1, 2
+            HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""",
+        "stream_admissions": f"""
+            SELECT event_id AS request_id, ts,
+                   ROW_NUMBER() OVER (PARTITION BY CAST(ts AS DATE)
+                                      ORDER BY ts, event_id) <= {DAILY_LIMIT} AS admitted
+            FROM events""",
         "stream_latest_snapshot": f"""
             SELECT event_id AS id, event_type AS data_type, CAST(user_id AS VARCHAR) AS symbol,
                    ts AS last_updated, props AS raw_data, TRUE AS usable

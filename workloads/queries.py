@@ -435,6 +435,21 @@ def stream_request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read_request_counts(spark, path)
 
 
+def stream_closed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, every = new_folder(spark, "stream-closed"), new_folder(spark, "stream-counts")
+    log = fixtures.events_stream(spark, sf_dir).selectExpr("event_type AS endpoint", "ts")
+    for start, path in ((streams.stream_closed_counts, closed), (streams.stream_request_counts, every)):
+        start(log, path, new_folder(spark, "checkpoint"), available_now=True).awaitTermination()
+    return streams.read_closed_counts(spark, closed, every)
+
+
+def stream_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "stream-admitted")
+    requests = fixtures.events_stream(spark, sf_dir).selectExpr("event_id AS request_id", "ts")
+    streams.stream_admissions(requests, path, new_folder(spark, "checkpoint"), available_now=True).awaitTermination()
+    return streams.read_admissions(spark, path)
+
+
 def stream_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "stream-latest")
     snapshots = fixtures.events_stream(spark, sf_dir).selectExpr(
@@ -500,6 +515,8 @@ def queries() -> dict[str, Query]:
         "export_csv_from_store": export_csv_from_store,
         "stream_ingest": stream_ingest,
         "stream_request_counts": stream_request_counts,
+        "stream_closed_counts": stream_closed_counts,
+        "stream_admissions": stream_admissions,
         "stream_latest_snapshot": stream_latest_snapshot,
     }
     named.update({f"view_{spec.data_type}": _view(spec) for spec in CATALOG})
