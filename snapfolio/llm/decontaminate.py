@@ -1,18 +1,20 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are put in lower case and their white space is merged. Benchmark items are cut into segments of
-``SEGMENT`` characters, one every half segment, the last at the item's end. A document holds a
-segment if some region of it is at most so many edits away from it as ``budget`` allows (6 of 64).
+``SEGMENT`` characters, one every ``STRIDE``, the last at the item's end. A document holds a
+segment if some region of it is at most so many edits away from it as ``budget`` allows (6 of 64). So an excerpt of
+60 characters is found wherever in the item it begins: what it lacks of the nearest segment are edits.
 
 A region within k edits of a segment of m characters shares m - q + 1 - kq of its q-grams with it,
 on diagonals that differ by k at most. Every shared q-gram falls into two overlapping bands of 2k
 diagonals; bands with enough q-grams are verified by an alignment confined to the band.
 
-Items go to the tasks in blocks of ``BLOCK_CHARS`` characters, however many there are; a document is
-compared with every block in one scan. Documents are never shuffled.
+Items go to the tasks in blocks of ``BLOCK_CHARS`` characters, however many there are; documents are
+read once for every block and never shuffled.
 
-Null and empty texts hold nothing. Items that are null or, normalised, shorter than ``SHORTEST``
-characters are not looked for: such few characters turn up in any prose. Items repeated under one id count once, under
+Items of less than ``EXACT`` characters are looked for without edits, as whole words. Null and empty texts hold
+nothing. Items that are null or, normalised, shorter than ``SHORTEST`` characters, two or three words, are not looked for: they
+turn up in any prose. An empty benchmark is held by no document. Very long texts are looked at whole. Items repeated under one id count once, under
 several ids once each. Rows repeated or without id are judged like any other. Other columns are
 passed through by ``clean`` and not looked at by ``leaks``.
 """
@@ -27,9 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 Q = 8
+#: As many as a number has bits, which the alignment relies on.
 SEGMENT = 64
-SHORTEST = 24
-BLOCK_CHARS = 4 << 20
+STRIDE = SEGMENT // 8
+EXACT = 24
+SHORTEST = 16
+#: An index has some 60 bytes per character.
+BLOCK_CHARS = 1 << 20
 #: Characters of documents that are looked at together.
 BATCH_CHARS = 1 << 20
 #: Bits of a q-gram's hash that are looked up first.
@@ -50,8 +56,8 @@ def normalised(text: str | None) -> str:
 
 def budget(m: int) -> int:
     """Edits allowed in a segment of m characters: about a tenth, and so few that an eighth of
-    its q-grams must be left whole."""
-    return max(0, min(m // 10, (m - Q + 1 - m // 8) // Q))
+    its q-grams must be left whole; none in short ones."""
+    return 0 if m < EXACT else max(0, min(m // 10, (m - Q + 1 - m // 8) // Q))
 
 
 def _points(text: str) -> np.ndarray:
@@ -91,7 +97,7 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index | None:
         t = normalised(text)
         if len(t) < SHORTEST:
             continue
-        starts = {*range(0, max(1, len(t) - SEGMENT + 1), SEGMENT // 2), max(0, len(t) - SEGMENT)}
+        starts = {*range(0, max(1, len(t) - SEGMENT + 1), STRIDE), max(0, len(t) - SEGMENT)}
         cut += [(item, s, t[s : s + SEGMENT]) for s in sorted(starts)]
     cut = list(dict.fromkeys(cut))
     if not cut:
@@ -104,8 +110,8 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index | None:
         points[i, : len(p)] = p
         h = _gram_hashes(p)
         hashes.append(h)
-        segment.append(np.full(len(h), i))
-        place.append(np.arange(len(h)))
+        segment.append(np.full(len(h), i, dtype=np.int32))
+        place.append(np.arange(len(h), dtype=np.int32))
     flat = np.concatenate(hashes)
     order = np.argsort(flat, kind="stable")
     grams, first = np.unique(flat[order], return_index=True)
@@ -120,20 +126,33 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index | None:
 
 
 def aligned(patterns: np.ndarray, lengths: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least edits from each pattern to any part of its region, and where that part ends."""
+    """The least edits from each pattern to any part of its region, and where that part ends.
+
+    A column of the table of edits is kept as bits of one number, its steps up and its steps down (Myers, 1999), since
+    a pattern has 64 characters at most.
+    """
     n, width = regions.shape
-    columns = np.arange(width + 1)
-    row = np.zeros((n, width + 1), dtype=np.int32)
-    done = row.copy()
-    for i in range(int(lengths.max())):
-        change = row[:, :-1] + (regions != patterns[:, i : i + 1])
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(change, row[:, 1:] + 1)
-        row = (np.minimum.accumulate(new - columns, axis=1) + columns).astype(np.int32)
-        ends = lengths == i + 1
-        done[ends] = row[ends]
-    return done.min(axis=1), done.argmin(axis=1)
+    last = np.uint64(1) << (lengths - 1).astype(np.uint64)
+    up, down = np.full(n, ~np.uint64(0)), np.zeros(n, dtype=np.uint64)
+    edits = lengths.astype(np.int32)
+    least, end = edits.copy(), np.zeros(n, dtype=np.int64)
+    for j in range(width):
+        equal = np.packbits(patterns == regions[:, j : j + 1], axis=1, bitorder="little").view("<u8").ravel()
+        across = (((equal & up) + up) ^ up) | equal
+        rises, falls = down | ~(across | up), up & across
+        edits += (rises & last) != 0
+        edits -= (falls & last) != 0
+        rises, falls, equal = rises << np.uint64(1), falls << np.uint64(1), equal | down
+        up, down = falls | ~(equal | rises), rises & equal
+        better = edits < least
+        least[better], end[better] = edits[better], j + 1
+    return least, end
+
+
+def _whole_words(text: str, start: int, stop: int) -> bool:
+    """Whether no word goes on beyond either end."""
+    before, after = text[max(start - 1, 0) : start + 1], text[max(stop - 1, 0) : stop + 1]
+    return not any(len(ends) == 2 and ends.isalnum() for ends in (before if start else "", after))
 
 
 def find(texts: list[str], index: Index) -> list[list[tuple]]:
@@ -167,7 +186,7 @@ def find(texts: list[str], index: Index) -> list[list[tuple]]:
         return found
     entry = np.repeat(index.first[k] - (np.cumsum(many) - many), many) + np.arange(total)
     place = np.repeat(at, many)
-    segment = index.segment[entry]
+    segment = index.segment[entry].astype(np.int64)
     diagonal = place - index.place[entry]
     width = np.maximum(index.budgets[segment], 1)
     band = diagonal // width
@@ -194,6 +213,8 @@ def find(texts: list[str], index: Index) -> list[list[tuple]]:
             base = int(ends[doc] - sizes[doc])
             stop_in = min(stop_at - base, len(texts[doc]))
             start_in = max(0, stop_in - int(index.lengths[s[i]]))
+            if index.lengths[s[i]] < EXACT and not _whole_words(texts[doc], start_in, stop_in):
+                continue
             found[doc].append(
                 (index.items[s[i]], int(index.item_start[s[i]]), start_in, stop_in, int(edits[i]))
             )

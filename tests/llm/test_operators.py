@@ -248,6 +248,28 @@ def test_decontaminate_against_every_alignment(spark):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in texts} - {i for i, _ in wanted}
 
 
+def test_decontaminate_excerpts_at_every_offset(spark):
+    item = decontaminate.normalised(prose(100, 60))
+    excerpts = [(k, f"zq {item[k : k + 60]} vx {prose(400 + k, 6)}") for k in range(len(item) - 59)]
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    found = {r["doc_id"] for r in decontaminate.leaks(documents(spark, excerpts), bench).collect()}
+    assert found == {k for k, _ in excerpts} and len(found) > 100
+
+
+def test_decontaminate_short_items(spark):
+    """Items of 16 to 23 characters are held whole and between other words, or not at all."""
+    items = [(1, "Quartz vow, 9 jugs b"), (2, "sixteen of chars"), (3, "fifteen of char")]
+    assert [len(t) for _, t in items] == [20, 16, 15]
+    texts = [
+        (1, "They say: quartz  VOW, 9 jugs b."), (2, "quartz vow, 9 jugs b"), (3, "aquartz vow, 9 jugs b"),
+        (4, "quartz vow, 9 jugs by"), (5, "quartz vow, 8 jugs b"), (6, "a sixteen of chars, so"), (7, "fifteen of char"),
+        (8, "sixteen of charsixteen of chars"), (9, "quartz vow, 9 jugs by quartz vow, 9 jugs b"),
+    ]
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
+    assert got == {(1, 1), (2, 1), (6, 2), (9, 1)}
+
+
 def test_decontaminate_blocks(spark, monkeypatch):
     items = [(k, prose(100 + k, 20)) for k in range(6)]
     bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
@@ -519,6 +541,7 @@ def operators(spark):
         "suffix_tree": suffix_tree.scored,
         "packing": packing.packed,
         "clean": lambda d: decontaminate.clean(d, bench),
+        "leaks": lambda d: decontaminate.leaks(d, bench),
         "line_dedup": line_dedup.dedup_lines,
         "warc": lambda d: _warc(d),
         "quality_rules": quality_rules.ledger,
@@ -536,7 +559,7 @@ def _warc(docs):
 
 
 @pytest.mark.parametrize("name", [
-    "suffix_tree", "packing", "clean", "line_dedup", "warc", "quality_rules", "minhash", "licenses",
+    "suffix_tree", "packing", "clean", "leaks", "line_dedup", "warc", "quality_rules", "minhash", "licenses",
     "language", "quality_rank",
 ])
 def test_odd_and_empty_input(spark, name):
@@ -548,6 +571,8 @@ def test_odd_and_empty_input(spark, name):
     if name == "clean":
         # These begin with the benchmark's item.
         expected = Counter({k: v for k, v in expected.items() if k not in (5, 6, 7)})
+    if name == "leaks":
+        expected = Counter({k: v for k, v in expected.items() if k in (5, 6, 7)})
     if name == "packing":
         # A long text has several pieces.
         assert set(ids) == set(expected)
