@@ -1,16 +1,19 @@
 """Licence scans: TF-IDF cosine to licence notices, then inheritance along directories.
 
-Every line of a file and every file as a whole is compared with short notices of known licences. Weights
-are term counts times ``ln((files + 1) / (files with the term + 1)) + 1``, counted over all files; terms
-that are in no notice weigh like unseen ones. A line that reaches ``LEAST_COSINE`` gives its file
-a licence (a header); a file that reaches it as a whole is a licence file and speaks for its directory. A file
-without licence of its own takes that of the nearest directory above it, its own first, that has a licence file.
-
-A line can only reach the threshold for a notice if it has one of the notice's rarest terms: the
-other terms' weights are too small together. So only such lines are looked at closely, and none is lost.
+Every line of a file, every block of up to ``BLOCK_LINES`` adjacent lines that begins and ends with words, and every file as a
+whole is compared with short notices: sentences of headers, and titles and characteristic sentences of licence texts.
+Weights are term counts times ``ln((files + 1) / (files with the term + 1)) + 1``, counted over all files; terms
+that are in no notice weigh like unseen ones. What reaches ``LEAST_COSINE`` gives its file a licence. A file
+speaks for its directory if it reaches it as a whole, or in any part and bears a licence file's name (``NAMES``), as files with the
+full text do. A file without licence of its own takes that of the nearest directory above it, its own first, for
+which a file speaks. A notice that other licences hold too (``GENERAL``) gives way to any other in the same file or directory.
+
+A line or block can only reach the threshold for a notice if it has one of the notice's rarest terms: the
+other terms' weights are too small together. So only those with such a term are looked at closely, and none is lost. Of a
+very long text the lines are looked at one by one.
 
 A null text is empty. A null path is in no directory. An empty notice is never matched. Among equal cosines the first
-licence by name wins, then the first line. Files repeated whole (path and text) are one file with as many
+licence by name wins, then the first line. Without files there are no rows. Files repeated whole (path and text) are one file with as many
 rows; texts that differ under one path are files of their own. Only the path, the text and the columns
 named by ``keep`` are looked at, so other columns may have any name.
 """
@@ -26,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from snapfolio.sources.scratch import written
 
 LEAST_COSINE = 0.6
+BLOCK_LINES = 4
+NAMES = r"(?i)^((un)?licen[cs]e|copying)"
 BREAK = r"[^\p{L}\p{N}]+"
 
 #: Short notices as they stand in headers. Fixed values.
@@ -48,7 +53,22 @@ NOTICES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Titles and sentences of the licences' own texts.
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
+#: The two clauses are part of the three.
+GENERAL = ["BSD-2-Clause"]
 
 
 def terms(text: Column) -> Column:
@@ -101,7 +121,7 @@ def rare_terms(notices: list[tuple[str, str]], idf: dict[str, float], least: flo
 
 
 def _cosines(parts: DataFrame, notices, idf, other: float, least: float) -> DataFrame:
-    """Of rows ``path, h, line, words`` the best licence and its cosine, where it reaches ``least``."""
+    """Of rows ``path, h, line, many, words`` the best licence and its cosine, where it reaches ``least``."""
     spark = parts.sparkSession
     known = _table(spark, sorted(idf.items()), "term string, idf double")
     rows = []
@@ -110,7 +130,7 @@ def _cosines(parts: DataFrame, notices, idf, other: float, least: float) -> Data
         norm = math.sqrt(sum(w * w for w in vector.values()))
         rows += [(t, n, licence, w / norm) for t, w in vector.items()]
     weights = _table(spark, rows, "term string, notice int, licence string, w double")
-    keys = ["path", "h", "line"]
+    keys = ["path", "h", "line", "many"]
     counted = (
         parts.select(*keys, F.explode("words").alias("term"))
         .groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -134,10 +154,30 @@ def _cosines(parts: DataFrame, notices, idf, other: float, least: float) -> Data
 
 
 def _best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    first = F.min(F.struct((-F.col("cosine")).alias("c"), "licence", *order)).alias("b")
+    general = F.col("licence").isin(GENERAL).alias("general")
+    first = F.min(F.struct(general, (-F.col("cosine")).alias("c"), "licence", *order)).alias("b")
     return rows.groupBy(*keys).agg(first)
 
 
+def blocks_of_lines(lines: Column, most: int = BLOCK_LINES) -> Column:
+    """Of an array of ``t, rare`` all blocks of up to ``most`` adjacent lines, one of which is rare, that begin and end
+    with a line that has words: ``line`` (the first), ``many`` and the text ``t``."""
+
+    def blocks(many: int) -> Column:
+        def worded(i: Column) -> Column:
+            return F.get(lines, i)["t"].rlike(r"[\p{L}\p{N}]")
+
+        def taken(i: Column) -> Column:
+            near = F.exists(F.slice(lines, i + 1, many), lambda x: x["rare"])
+            return (i + many <= F.size(lines)) & near & worded(i) & worded(i + many - 1)
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), taken)
+        text = lambda i: F.array_join(F.transform(F.slice(lines, i + 1, many), lambda x: x["t"]), "\n")
+        return F.transform(starts, lambda i: F.struct(i.alias("line"), F.lit(many).alias("many"), text(i).alias("t")))
+
+    return F.flatten(F.array(*[blocks(m) for m in range(1, most + 1)]))
+
+
 def ancestors(directory: Column) -> Column:
     """The directory and all above it, with their depths; the topmost is the empty path."""
     parts = F.split(directory, "/")
@@ -155,8 +195,8 @@ def license_scan(
     notices: list[tuple[str, str]] = NOTICES,
     least: float = LEAST_COSINE,
 ) -> DataFrame:
-    """A row per file: ``path``, the columns of ``keep``, ``license``, ``cosine`` and ``line`` of its own header
-    (line -1: the file as a whole), ``inherited_from`` (a directory) where the licence is inherited."""
+    """A row per file: ``path``, the columns of ``keep``, ``license``, ``cosine`` and ``line`` of its own notice, the
+    first of several (line -1: the file as a whole), ``inherited_from`` (a directory) where the licence is inherited."""
     notices = [n for n in notices if notice_terms(n[1])]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = files.select(
@@ -165,25 +205,24 @@ def license_scan(
     )
     idf, other = _weights(rows, notices)
     rare = _lit_array(rare_terms(notices, idf, least))
-    lines = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("t"))),
-        lambda x: F.arrays_overlap(terms(x["t"]), rare),
-    )
-    whole = F.struct(F.lit(-1).alias("line"), F.col("text").alias("t"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("t"), F.arrays_overlap(terms(x), rare).alias("rare")))
+    whole = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("many"), F.col("text").alias("t"))
     # A file has a rare term if one of its lines has.
-    found = rows.select("path", "h", "text", lines.alias("lines")).filter(F.size("lines") > 0)
-    parts = found.select("path", "h", F.explode(F.concat(F.array(whole), F.col("lines"))).alias("x"))
-    parts = parts.groupBy("path", "h", F.col("x.line").alias("line")).agg(F.first("x.t").alias("t"))
+    found = rows.select("path", "h", "text", lines.alias("lines")).filter(F.exists("lines", lambda x: x["rare"]))
+    parts = found.select("path", "h", F.explode(F.concat(F.array(whole), blocks_of_lines(F.col("lines")))).alias("x"))
+    parts = parts.groupBy("path", "h", "x.line", "x.many").agg(F.first("x.t").alias("t"))
     matched = written(
-        _cosines(parts.select("path", "h", "line", terms(F.col("t")).alias("words")), notices, idf, other, least),
+        _cosines(parts.select("path", "h", "line", "many", terms(F.col("t")).alias("words")), notices, idf, other, least),
         "matches",
     )
     own = _best(matched, ["path", "h"], F.col("line")).select(
         "path", "h", F.col("b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), F.col("b.line").alias("line")
     )
     directory = F.regexp_replace("path", "/?[^/]*$", "")
+    named = F.regexp_extract("path", "[^/]*$", 0).rlike(NAMES)
     speaking = _best(
-        matched.filter("line = -1 and path is not null").withColumn("directory", directory), ["directory"], F.col("path")
+        matched.filter(F.col("path").isNotNull() & ((F.col("line") == -1) | named)).withColumn("directory", directory),
+        ["directory"], F.col("path"),
     ).select(F.col("directory").alias("above"), F.col("b.licence").alias("given"))
     # Directories are resolved once each, however many files they hold.
     directories = rows.filter("path is not null").select(directory.alias("directory")).distinct()

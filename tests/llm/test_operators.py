@@ -466,6 +466,60 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.license_scan(df).count() == len(files)
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+TITLE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+
+
+def test_full_licence_texts_are_inherited(spark):
+    """Files with whole licence texts, amid long other text, speak for their directories by their names."""
+    long = "\n".join(prose(k, 12) for k in range(40))
+    header = "# Licensed under the Apache\n# License, Version 2.0. x\nimport os\n" + prose(3)
+    files = [
+        ("m/LICENSE", MIT + long), ("m/a.py", prose(1)), ("b3/LICENSE.txt", BSD + THIRD + long), ("b3/x/y/a.py", prose(2)),
+        ("b2/COPYING", BSD + long), ("b2/a.py", ""), ("ap/licence.md", TITLE + long), ("ap/a.py", prose(4)),
+        ("h/a.py", header), ("h/b.py", prose(5)), ("n/notes.txt", MIT + long), ("n/a.py", prose(6)), ("e/LICENSE", ""),
+        ("e/a.py", "x"),
+    ]
+    df = spark.createDataFrame(files, "path STRING, text STRING")
+    got = {r["path"]: (r["license"], r["inherited_from"]) for r in licenses.license_scan(df).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", None), "m/a.py": ("MIT", "m"), "b3/LICENSE.txt": ("BSD-3-Clause", None),
+        "b3/x/y/a.py": ("BSD-3-Clause", "b3"), "b2/COPYING": ("BSD-2-Clause", None), "b2/a.py": ("BSD-2-Clause", "b2"),
+        "ap/licence.md": ("Apache-2.0", None), "ap/a.py": ("Apache-2.0", "ap"), "h/a.py": ("Apache-2.0", None),
+        "h/b.py": (None, None), "n/notes.txt": ("MIT", None), "n/a.py": (None, None), "e/LICENSE": (None, None),
+        "e/a.py": (None, None),
+    }
+
+
 def test_licence_lines_against_every_cosine(spark):
     docs = given(spark).withColumn("path", F.col("doc_id").cast("string"))
     texts = {str(i): t for i, t in docs.select("doc_id", "text").collect()}
@@ -475,7 +529,11 @@ def test_licence_lines_against_every_cosine(spark):
 
     for path, text in texts.items():
         best = []
-        for k, line in [(-1, text), *enumerate(text.split("\n"))]:
+        lines = text.split("\n")
+        blocks = [(k, lines[k : k + m]) for m in (1, 2, 3, 4) for k in range(len(lines) - m + 1)]
+        has_words = [bool(regex.search(r"[\p{L}\p{N}]", x)) for x in lines]
+        blocks = [(k, "\n".join(b)) for k, b in blocks if has_words[k] and has_words[k + len(b) - 1]]
+        for k, line in [(-1, text), *blocks]:
             tf = Counter(w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w)
             norm = math.sqrt(sum((c * idf.get(w, other)) ** 2 for w, c in tf.items()))
             for name, notice in licenses.NOTICES:
@@ -483,8 +541,8 @@ def test_licence_lines_against_every_cosine(spark):
                 dot = sum(tf[w] * idf[w] * x for w, x in vector.items())
                 cosine = dot / norm / math.sqrt(sum(x * x for x in vector.values())) if norm else 0
                 if cosine >= 0.6:
-                    best.append((-round(cosine, 9), name, k))
-        wanted[path] = min(best)[1:] if best else (None, None)
+                    best.append((name in licenses.GENERAL, -round(cosine, 9), name, k))
+        wanted[path] = min(best)[2:] if best else (None, None)
     got = {r["path"]: (r["license"], r["line"]) for r in licenses.license_scan(docs).collect()}
     assert got == wanted and sum(v[0] is not None for v in wanted.values()) >= 3
 
