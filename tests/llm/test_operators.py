@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from datetime import date
+from functools import lru_cache
 from itertools import combinations
 
 import duckdb
@@ -572,6 +574,37 @@ def test_language_sums_equal_bundles():
         assert np.array_equal(bound[which[owner == i]].sum(axis=0), total)
 
 
+def test_languages_against_every_cosine(spark):
+    """Predictions are the prototypes of greatest cosine, all vectors bundled by definition."""
+    rows = given(spark).select("doc_id", "text", "lang").orderBy("doc_id").limit(120).collect()
+    letter, bound = lru_cache(None)(lambda c: langid._vector(ord(c)).astype(np.float64)), {}
+
+    def bundle(text):
+        total = np.zeros(langid.DIMENSIONS)
+        plain = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        plain = re.sub(" +", " ", plain)
+        for gram, n in Counter(plain[k : k + 3] for k in range(len(plain) - 2)).items():
+            if gram not in bound:
+                bound[gram] = np.prod([np.roll(letter(c), 2 - p) for p, c in enumerate(gram)], axis=0)
+            total += n * bound[gram]
+        return total
+
+    vectors = {r["doc_id"]: bundle(r["text"] or "") for r in rows}
+    sums = defaultdict(lambda: np.zeros(langid.DIMENSIONS))
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            sums[r["lang"]] += vectors[r["doc_id"]]
+    wanted = {}
+    for i, v in vectors.items():
+        cosines = sorted((-(v @ p) / np.linalg.norm(v) / np.linalg.norm(p), lang) for lang, p in sums.items())
+        # Single precision tells no closer ones apart.
+        if cosines[1][0] - cosines[0][0] > 1e-4:
+            wanted[i] = cosines[0][1]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs).collect()}
+    assert {i: got[i] for i in wanted} == wanted and len(wanted) > 100 and len(set(wanted.values())) > 1
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
