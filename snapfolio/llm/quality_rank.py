@@ -5,8 +5,10 @@ labelled 0 the first should win: the weights make the logistic loss on the diffe
 features least. The cut lies at a quantile of the training scores: the share of documents
 labelled 0. The score maps worth to 0 to 1 so that the cut is at ``THRESHOLD``.
 
-Only the fit uses a sample: of the labelled rows that may be learnt from, the ``sample`` with
-the least hashes of their ids. Scores are computed for every row from its whole text.
+All labelled rows that may be learnt from are fitted to. They are dealt into blocks of about ``BLOCK`` by a hash, and every
+row labelled 1 meets every row labelled 0 of its block; a rare label's rows are in several blocks, so that no block is
+without. The sums of a Newton step are made per block and added as decimals, so they depend neither on
+partitions nor on the order of rows. The cut is the exact quantile over all these rows.
 
 A null text counts as an empty one and has features of 0, so all empty texts have one score.
 Repeated rows have equal scores. Labels without document, null labels and labels other than 0 and
@@ -16,6 +18,7 @@ than the id and the text are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snapfolio.llm.langid import held_out
 from snapfolio.llm.words import slices, split_words
+from snapfolio.sources.scratch import written
 
 THRESHOLD = 0.7
-#: Labelled rows that the weights are fitted to, at most.
-SAMPLE = 20_000
-#: Pairs per document labelled 0.
-PAIRS = 16
+#: Labelled rows in a block, on average, and those of each label at the least, on average.
+BLOCK, LEAST = 512, 16
+#: Parts that a range is cut into in search of a quantile.
+BINS = 4096
 #: Weight of the squares in the loss.
 RIDGE = 1e-3
 BATCH_BYTES = 2 << 20
@@ -106,30 +110,53 @@ class Ranking:
     weights: np.ndarray
     cut: float
 
+    def worth(self, x: np.ndarray) -> np.ndarray:
+        # Row by row, so that it does not depend on the rows that come with it.
+        return (x * self.weights).sum(axis=1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        lead = np.tanh((x @ self.weights - self.cut) / 2)
+        lead = np.tanh((self.worth(x) - self.cut) / 2)
         return np.where(lead >= 0, THRESHOLD + (1 - THRESHOLD) * lead, THRESHOLD * (1 + lead))
 
 
-def fit(x: np.ndarray, label: np.ndarray) -> Ranking:
-    """The weights that make the pairwise loss least, by Newton's method."""
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    weights = np.zeros(x.shape[1])
-    if not len(good) or not len(bad):
-        return Ranking(weights, 0.0)
-    draw = np.random.Generator(np.random.PCG64(7))
-    winners = draw.choice(good, (len(bad), PAIRS))
-    d = (x[winners] - x[bad][:, None, :]).reshape(-1, x.shape[1])
+def pair_sums(x: np.ndarray, label: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Over all pairs of a row labelled 1 and one labelled 0: their number, the slope of the loss and its bend. A row counts
+    ``n`` times."""
+    good, bad = x[label == 1], x[label == 0]
+    n_good, n_bad = n[label == 1].astype(float), n[label == 0].astype(float)
+    margin = (good @ weights)[:, None] - (bad @ weights)[None, :]
+    p = 1 / (1 + np.exp(np.clip(margin, -500, 500)))
+    pairs = n_good[:, None] * n_bad[None, :]
+    lost = p * pairs
+    slope = bad.T @ lost.sum(axis=0) - good.T @ lost.sum(axis=1)
+    bent = lost * (1 - p)
+    cross = good.T @ bent @ bad
+    bend = (good.T * bent.sum(axis=1)) @ good + (bad.T * bent.sum(axis=0)) @ bad - cross - cross.T
+    return np.concatenate([[pairs.sum()], slope, bend.ravel()])
+
+
+def _newton(width: int, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The weights that make the pairwise loss least; ``sums`` are those of ``pair_sums`` over all pairs."""
+    weights = np.zeros(width)
     for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(d @ weights, -500, 500)))
-        slope = -(d * p[:, None]).mean(axis=0) + RIDGE * weights
-        bend = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(weights))
+        found = sums(weights)
+        slope = found[1 : 1 + width] / found[0] + RIDGE * weights
+        bend = found[1 + width :].reshape(width, width) / found[0] + RIDGE * np.eye(width)
         step = np.linalg.solve(bend, slope)
         weights = weights - step
         if np.abs(step).max() < 1e-8:
             break
-    worth = x @ weights
-    return Ranking(weights, float(np.quantile(worth, len(bad) / len(label))))
+    return weights
+
+
+def fit(x: np.ndarray, label: np.ndarray) -> Ranking:
+    """The ranking of a few rows, all in one block."""
+    if not (label == 1).any() or not (label == 0).any():
+        return Ranking(np.zeros(x.shape[1]), 0.0)
+    ones = np.ones(len(label), dtype=np.int64)
+    ranking = Ranking(_newton(x.shape[1], lambda weights: pair_sums(x, label, ones, weights)), 0.0)
+    ranking.cut = float(np.quantile(ranking.worth(x), (label == 0).mean()))
+    return ranking
 
 
 def _features_udf():
@@ -144,6 +171,101 @@ def _features_udf():
     return of
 
 
+def _blocks(cells: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """``rows`` per block, of ``label, n, x``. Every block has both labels."""
+    n_blocks = -(-sum(sizes.values()) // BLOCK)
+    copies = {label: min(n_blocks, -(-LEAST * n_blocks // size)) for label, size in sizes.items()}
+    seed = 0
+    while True:
+        times = F.when(F.col("label") == 1, copies[1]).otherwise(copies[0])
+        # Rows of a very rare label are in every block.
+        block = F.when(times == n_blocks, F.col("i")).otherwise(
+            F.pmod(F.xxhash64(F.lit(seed), "doc_id", "x", "i"), F.lit(n_blocks))
+        )
+        dealt = cells.withColumn("i", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("block", block)
+        blocks = written(
+            dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("label", "n", "x"))).alias("rows")), "blocks"
+        )
+        one_label = F.get("rows", F.lit(0))["label"] == F.element_at("rows", -1)["label"]
+        if blocks.filter(one_label).isEmpty():
+            return blocks
+        seed += 1
+
+
+def _block_sums(blocks: DataFrame, weights: np.ndarray) -> np.ndarray:
+    width = len(weights)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for rows in batch.column("rows"):
+                flat = rows.values
+                x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                found.append(pair_sums(x, flat.field("label").to_numpy(), flat.field("n").to_numpy(), weights))
+            yield pa.RecordBatch.from_arrays([pa.array([f.tolist() for f in found], pa.list_(pa.float64()))], names=["s"])
+
+    parts = blocks.select("rows").mapInArrow(sums, "s ARRAY<DOUBLE>").select(F.posexplode("s").alias("at", "v"))
+    # Decimals, whose sum is the same in any order.
+    total = parts.groupBy("at").agg(F.sum(F.col("v").cast("decimal(28,12)")).cast("double").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(total, key=lambda r: r["at"])])
+
+
+def weighted_quantile(values: DataFrame, share: float) -> float:
+    """The quantile of ``value``, each ``n`` times, as ``numpy.quantile`` has it. Only counts of ranges come to the driver."""
+    lo, hi, total = values.agg(F.min("value"), F.max("value"), F.sum("n")).first()
+    place = share * (total - 1)
+    rank = int(place)
+    before = 0
+    while lo < hi:
+        at = F.least(F.floor((F.col("value") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        ranges = (
+            values.filter(F.col("value").between(lo, hi))
+            .groupBy(at.alias("at"))
+            .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n"))
+            .collect()
+        )
+        for r in sorted(ranges, key=lambda r: r["at"]):
+            lo, hi = r["lo"], r["hi"]
+            if before + r["n"] > rank:
+                break
+            before += r["n"]
+    if rank + 1 >= total:
+        return lo
+    up_to = values.filter(F.col("value") <= lo).agg(F.sum("n")).first()[0]
+    above = lo if up_to > rank + 1 else values.filter(F.col("value") > lo).agg(F.min("value")).first()[0]
+    return lo + (above - lo) * (place - rank)
+
+
+def _worth_udf(ranking: Ranking):
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(ranking.worth(np.stack(x)) if len(x) else np.zeros(0))
+
+    return of
+
+
+def _fitted(rows: DataFrame) -> Ranking:
+    """Fits to all rows ``doc_id, label, x``."""
+    nothing = Ranking(np.zeros(len(FEATURES)), 0.0)
+    cells = written(rows.groupBy("doc_id", "label", "x").agg(F.count("*").alias("n")), "cells")
+    found = cells.groupBy("label").agg(F.count("*").alias("cells"), F.sum("n").alias("n")).collect()
+    sizes = {r["label"]: r["cells"] for r in found}
+    if len(sizes) < 2:
+        return nothing
+    blocks = _blocks(cells, sizes)
+    ranking = Ranking(_newton(len(FEATURES), lambda weights: _block_sums(blocks, weights)), 0.0)
+    values = written(cells.select(_worth_udf(ranking)("x").alias("value"), "n"), "worths")
+    n = {r["label"]: r["n"] for r in found}
+    ranking.cut = weighted_quantile(values, n[0] / (n[0] + n[1]))
+    return ranking
+
+
+def _usable(labels: DataFrame, may_learn: Column, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(
+        F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn
+    )
+
+
 def learnt(
     docs: DataFrame,
     labels: DataFrame,
@@ -151,22 +273,12 @@ def learnt(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    sample: int = SAMPLE,
 ) -> Ranking:
-    """Fits to labelled documents for whose ``doc_id`` ``may_learn`` holds."""
-    usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter(
-        F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn
-    )
-    # At most ``sample`` ids, which every task gets.
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "label", _features_udf()(F.col("text")).alias("x")
-    )
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(sample).collect()
-    if not found:
-        return Ranking(np.zeros(len(FEATURES)), 0.0)
-    return fit(np.array([r["x"] for r in found]), np.array([r["label"] for r in found]))
+    """Fits to all labelled documents for whose ``doc_id`` ``may_learn`` holds."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(may_learn)
+    # Features before the join, which then moves no texts.
+    known = texts.select("doc_id", _features_udf()(F.col("text")).alias("x"))
+    return _fitted(known.join(_usable(labels, may_learn, id_col, label_col), "doc_id"))
 
 
 def score_of(text: Column, ranking: Ranking, spark: SparkSession) -> Column:
@@ -189,16 +301,22 @@ def ranked(
     text_col: str = "text",
     folds: int = 4,
     fold: int = 2,
-    sample: int = SAMPLE,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document, learnt from the other folds."""
-    ranking = learnt(docs, labels, ~held_out("doc_id", folds, fold), id_col, text_col, sample=sample)
-    scored = docs.select(
-        F.col(id_col).alias("doc_id"),
-        held_out(id_col, folds, fold).alias("held_out"),
-        score_of(F.col(text_col), ranking, docs.sparkSession).alias("score"),
+    known = written(
+        docs.select(F.col(id_col).alias("doc_id"), _features_udf()(F.col(text_col)).alias("x")), "features"
+    )
+    may_learn = ~held_out("doc_id", folds, fold)
+    ranking = _fitted(known.filter(may_learn).join(_usable(labels, may_learn, id_col, "quality"), "doc_id"))
+
+    @F.pandas_udf("double")
+    def scored(x: pd.Series) -> pd.Series:
+        return pd.Series(ranking.scores(np.stack(x)) if len(x) else np.zeros(0))
+
+    scores = known.select(
+        "doc_id", held_out("doc_id", folds, fold).alias("held_out"), scored(F.col("x")).alias("score")
     )
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scores.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:

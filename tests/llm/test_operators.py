@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -622,6 +624,28 @@ def test_pairwise_fit_orders_by_the_feature_that_tells():
     assert ((ranking.scores(x) >= quality_rank.THRESHOLD) == label).mean() > 0.95
 
 
+def test_quality_is_learnt_from_every_labelled_row(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(i, 3 + i % 4) + rng.choice(["", "!", " A1;", " B||"]), int(rng.random() < 0.7)) for i in range(21_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([r[::2] for r in rows], "doc_id BIGINT, quality INT")
+    ranking = quality_rank.learnt(docs, labels, F.lit(True))
+    worth = ranking.worth(quality_rank.features(pa.array([r[1] for r in rows])))
+    share = sum(r[2] == 0 for r in rows) / len(rows)
+    assert ranking.cut == pytest.approx(np.quantile(worth, share), abs=1e-12)
+    assert quality_rank.learnt(docs.repartition(3), labels, F.lit(True)).cut == ranking.cut
+
+
+@pytest.mark.parametrize("n_bad", [1, 40, 900])
+def test_quality_blocks_hold_every_row_and_both_labels(spark, n_bad):
+    width = len(quality_rank.FEATURES)
+    rows = [(i, int(i >= n_bad), 1, [float(i)] * width) for i in range(3000)]
+    cells = spark.createDataFrame(rows, "doc_id BIGINT, label INT, n BIGINT, x ARRAY<DOUBLE>")
+    blocks = quality_rank._blocks(cells, {0: n_bad, 1: 3000 - n_bad}).collect()
+    assert len(blocks) == 6 and all({r["label"] for r in b["rows"]} == {0, 1} for b in blocks)
+    assert {r["x"][0] for b in blocks for r in b["rows"]} == set(map(float, range(3000)))
+
+
 # Odd input
 
 
