@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from itertools import groupby
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from snapfolio.catalog import NESTED_MAP, NESTED_OBJECT, DatasetSpec
@@ -259,45 +262,61 @@ def _flat_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def _record_order(records: DataFrame) -> list[Column]:
+    if "pos" in records.columns:
+        return [F.asc("pos")]
+    return [F.desc("period"), F.asc("segment")]
+
+
+def _spread(records: DataFrame) -> DataFrame:
+    """Symbols over all shuffle partitions, which AQE would merge by their few bytes: the cost is the number of files."""
+    partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # By a hash of the symbol: Spark would drop a repartitioning it finds already done,
+    # and then merge partitions.
+    return records.repartition(partitions, F.xxhash64("symbol"))
+
+
 def write_export(
     records: DataFrame,
     path: str,
     fmt: str = "csv",
     layout: str = "flat",
     max_records_per_file: int = 1_000_000,
-    by: str = "symbol",
 ) -> None:
     """Write records as CSV (with header) or Parquet.
 
     ``layout="symbol"`` makes a folder and file per symbol; its cost is the number of
-    files, so the symbols are spread over all shuffle partitions, which AQE would
-    merge by their few bytes. ``layout="flat"`` keeps ``symbol`` as a column, shuffles
-    nothing and is the one to use for very many symbols. The rows of a symbol come
-    from one payload, hence one task, and are written in payload order. ``by`` names the folders otherwise.
+    files, so the symbols are spread over all shuffle partitions. Their tasks put the files in place, in a folder beside
+    ``path`` that gets its name by one rename: the export is there as a whole or not at all. ``layout="flat"`` keeps
+    ``symbol`` as a column, shuffles nothing and is the one to use for very many symbols. The rows of a symbol come
+    from one payload, hence one task, and are written in payload order.
     """
     if layout not in ("flat", "symbol"):  # "file" is ``write_named_files``
         raise ValueError(f"unknown layout {layout!r}")
     rows = _flat_columns(records) if fmt == "csv" else records
     if layout == "symbol":
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # By a hash of the symbol: Spark would drop a repartitioning it finds already done,
-        # and then merge partitions.
-        rows = rows.repartition(partitions, F.xxhash64("symbol"))
-    if "pos" in rows.columns:
-        order = [F.asc(by), F.asc("pos")]
-    else:
-        order = [F.asc(by), F.desc("period"), F.asc("segment")]
-    rows = rows.sortWithinPartitions(*order)
+        rows = _spread(rows)
+    rows = rows.sortWithinPartitions(F.asc("symbol"), *_record_order(rows))
     writer = (
-        (rows if by == "symbol" else rows.drop("symbol"))
-        .write.mode("errorifexists")
+        rows.write.mode("errorifexists")
         .option("maxRecordsPerFile", max_records_per_file)
         .options(**(CSV_OPTIONS if fmt == "csv" else {}))
         .format(fmt)
     )
-    if layout == "symbol":
-        writer = writer.partitionBy(by)
-    writer.save(path)
+    if layout == "flat":
+        writer.save(path)
+        return
+    fs, target = _hadoop_path(records.sparkSession, path)
+    if fs.exists(target):
+        raise ValueError(f"{path} already exists")
+    _, staged = _hadoop_path(records.sparkSession, f"{target.getParent()}/_staged-{uuid.uuid4().hex}")
+    try:
+        # Otherwise the driver alone moves all files once the tasks are done.
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("symbol").save(str(staged))
+        if fs.exists(target) or not fs.rename(staged, target):
+            raise OSError(f"cannot name {path}, or it already exists")
+    finally:
+        fs.delete(staged, True)
 
 
 def export_csv(records: DataFrame, path: str, **options) -> None:
@@ -333,45 +352,95 @@ def file_name(symbol: Column, spec: DatasetSpec, run: str, fmt: str = "csv") ->
     return F.concat(folder_name(symbol), F.lit(f"_{spec.export_suffix}_{run}.{fmt}"))
 
 
-#: Files that the driver renames at the same time.
-RENAMES = 32
 FILES_DDL = "symbol STRING, file STRING"
+#: What stands for a symbol that is null.
+NO_SYMBOL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path with its scheme."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = plain.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(plain)
+
+
+def _file_system(uri: str, folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """As the tasks see it. Paths of local folders are taken as they are, without unescaping."""
+    return (pa.fs.LocalFileSystem(), folder) if uri.startswith("file:") else pa.fs.FileSystem.from_uri(uri)
 
 
 def write_named_files(records: DataFrame, path: str, spec: DatasetSpec, run: str, fmt: str = "csv") -> None:
-    """One file per symbol, ``{symbol}_{suffix}_{run}.{fmt}``, in two steps.
+    """One file per symbol, ``{symbol}_{suffix}_{run}.{fmt}``, CSV or Parquet.
 
-    First Spark writes the symbols to a folder beside the files, each in one file; then these get their
-    names and are entered in ``_files``, a table of ``symbol, file`` that is written last: an export without it is not whole.
-    A run that failed can be repeated, and replaces what it left; a whole one cannot. The driver renames
-    one file per symbol, some thousands a second; ``layout="flat"`` is the one for very many symbols.
+    The tasks write the files, each under a name of its own first, and enter them in ``_files``, a table of ``symbol, file`` that
+    is whole last: an export without it is not whole. A run that failed can be repeated, and replaces what it left; a whole
+    one cannot. The lines of CSV are made by Spark; the driver does nothing per file.
     """
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"no files of format {fmt!r}")
     spark = records.sparkSession
-    fs_path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    fs = fs_path(path).getFileSystem(conf)
-    if fs.exists(fs_path(f"{path}/_files/_SUCCESS")):
+    fs, target = _hadoop_path(spark, path)
+    _, whole = _hadoop_path(spark, f"{path}/_files/_SUCCESS")
+    _, staged = _hadoop_path(spark, f"{path}/_staged")
+    if fs.exists(whole):
         raise ValueError(f"{path} already exists")
-    staged = f"{path}/_staged"
-    fs.delete(fs_path(staged), True)
-    named = records.withColumn("_name", file_name(F.col("symbol"), spec, run, fmt))
+    fs.delete(staged, True)
+    fs.mkdirs(staged)
+    uri, folder = str(target.toUri()), target.toUri().getPath()
+    flat = _flat_columns(records) if fmt == "csv" else records
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in flat.columns if c != "symbol"]
+    names = [c for c in flat.columns if c != "symbol"]
+    header = ""
+    if fmt == "csv":
+        titles = F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(names)])
+        header = spark.range(1).select(F.to_csv(titles, CSV_OPTIONS)).first()[0]
     # Every symbol has one name and every name, being reversible, one symbol.
-    write_export(named, staged, fmt, "symbol", 0, by="_name")
-
-    def rename(folder) -> tuple[str, str]:
-        inner = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-        name = unquote(folder.getName().removeprefix("_name="))
-        target = fs_path(f"{path}/{name}")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if len(inner) != 1 or not fs.rename(inner[0], target):
-            raise OSError(f"cannot name {target}")
-        return unquote(name.removesuffix(f"_{spec.export_suffix}_{run}.{fmt}")), name
-
-    folders = [f.getPath() for f in fs.listStatus(fs_path(staged)) if f.isDirectory()]
-    with ThreadPoolExecutor(RENAMES) as pool:
-        files = list(pool.map(rename, folders))
-    spark.createDataFrame(files, FILES_DDL).coalesce(1).write.mode("overwrite").parquet(f"{path}/_files")
-    fs.delete(fs_path(staged), True)
+    symbol, name = F.coalesce("symbol", F.lit(NO_SYMBOL)), file_name(F.col("symbol"), spec, run, fmt)
+    content = [F.to_csv(F.struct(*columns), CSV_OPTIONS).alias("line")] if fmt == "csv" else columns
+    rows = (
+        _spread(flat)
+        .sortWithinPartitions(F.asc("symbol"), *_record_order(flat))
+        .select(symbol.alias("_symbol"), F.coalesce(name, F.lit(NO_SYMBOL)).alias("_name"), *content)
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _file_system(uri, folder)
+
+        def runs() -> Iterator[tuple[tuple[str, str], pa.RecordBatch]]:
+            """The rows of a symbol, in one or more parts that follow one another."""
+            for batch in batches:
+                at = 0
+                keys = zip(batch.column("_symbol").to_pylist(), batch.column("_name").to_pylist(), strict=True)
+                for key, same in groupby(keys):
+                    n = sum(1 for _ in same)
+                    yield key, batch.slice(at, n).drop_columns(["_symbol", "_name"])
+                    at += n
+
+        def entered(files: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in files], pa.string()) for k in (0, 1)], names=["symbol", "file"]
+            )
+
+        done: list[tuple[str, str]] = []
+        for (of, file), parts in groupby(runs(), lambda r: r[0]):
+            own = f"{base}/_staged/{uuid.uuid4().hex}"
+            with system.open_output_stream(own) as out:
+                if fmt == "csv":
+                    out.write(f"{header}\n".encode())
+                    for _, part in parts:
+                        out.write("".join(f"{line}\n" for line in part.column("line").to_pylist()).encode())
+                else:
+                    tables = [part for _, part in parts]
+                    pa.parquet.write_table(pa.Table.from_batches(tables), out)
+            system.move(own, f"{base}/{file}")
+            done.append((of, file))
+            if len(done) == 1000:
+                yield entered(done)
+                done = []
+        yield entered(done)
+
+    rows.mapInArrow(write, FILES_DDL).write.mode("overwrite").parquet(f"{path}/_files")
+    fs.delete(staged, True)
 
 
 def exported_files(spark: SparkSession, path: str) -> DataFrame:

@@ -220,3 +220,50 @@ def test_an_export_that_failed_is_repeated(spark, store_of, monkeypatch):
     path = export.export_all_keys(store, spec, **run)
     assert export.exported_files(spark, path).count() == 5
     assert len(glob.glob(f"{path.removeprefix('file:')}/*.csv")) == 5 and not glob.glob(f"{path}/_staged*")
+
+
+def test_the_driver_does_nothing_per_named_file(spark, store_of, monkeypatch):
+    client = spark.sparkContext._gateway._gateway_client
+    send, calls = client.send_command, []
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: (calls.append(1), send(*a, **k))[1])
+
+    def export_of(n: int) -> int:
+        store = store_of(*[(i, "grades", f"S{i}", "2024-01-01", '[{"date":"d"}]') for i in range(n)])
+        folder = new_folder(spark, "test-exports")
+        calls.clear()
+        path = export.export_all_keys(store, spec_for("grades"), folder, "1", layout="file", only_declared=True)
+        made = len(calls)
+        assert len(glob.glob(f"{path}/*.csv")) == n
+        return made
+
+    # Some calls free objects that were made before.
+    assert export_of(200) - export_of(5) < 100
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_named_files_hold_what_spark_would_write(spark, store_of, fmt):
+    store, spec, folder = _news(store_of), spec_for("news"), new_folder(spark, "test-exports")
+    path = export.export_all_keys(store, spec, folder, "1", layout="file", fmt=fmt)
+    flat = export.export_all_keys(store, spec, folder, "2", layout="flat", fmt=fmt)
+    if fmt == "parquet":
+        read, wanted = (spark.read.parquet(p).select("pos", "title", "site") for p in (path, flat))
+        assert sorted(map(str, read.collect())) == sorted(map(str, wanted.collect()))
+    else:
+        wanted = "".join(open(f, newline="").read() for f in sorted(glob.glob(f"{flat}/part-*")))
+        (name,) = glob.glob(f"{path}/A_*.csv")
+        text = open(name, newline="").read().split("\n", 1)
+        assert text[0] == ",".join(["pos", *spec.keys]) and text[1].count("\n") == 1 + len(TEXTS)
+        assert all(line.removeprefix("A,") in text[1] for line in wanted.split("\n") if line.startswith("A,"))
+
+
+def test_an_export_by_symbol_is_there_as_a_whole_or_not_at_all(spark, store_of):
+    folder, spec = new_folder(spark, "test-exports"), spec_for("news")
+    records = export.export_records(_news(store_of), spec)
+    broken = records.withColumn("site", F.when(F.col("symbol") == "C", F.raise_error(F.lit("no"))).otherwise(F.col("site")))
+    path = f"{folder}/news/run=1"
+    with pytest.raises(Exception, match="no"):
+        export.write_export(broken, path, layout="symbol")
+    assert not glob.glob(f"{folder}/news/*")
+    # What failed can be repeated.
+    export.write_export(records, path, layout="symbol")
+    assert glob.glob(f"{path}/_SUCCESS") and not glob.glob(f"{folder}/news/_staged*")
