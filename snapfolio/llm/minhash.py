@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from snapfolio.llm.graph import bucket_components
 from snapfolio.llm.words import mix, slices, split_words
-from snapfolio.sources.scratch import written
+from snapfolio.sources.scratch import passing, sent, written
 
 SHINGLE = 3
 #: Similarity in hundredths.
@@ -155,6 +155,13 @@ def near_duplicates(
     with_hash: bool = False,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row, and ``text_hash`` if asked for."""
+    with passing() as stay:
+        return stay(written(_judged(docs, id_col, text_col, width, least_percent, with_hash), "judged"))
+
+
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, width: int, least_percent: int, with_hash: bool
+) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = written(sketches(docs, width), "sketches")
     nodes = drawn.filter("n_shingles > 0").groupBy("node").agg(
@@ -220,10 +227,9 @@ def near_duplicates(
         return first("l") * SIDE + first("r")
 
     # The texts of nodes that can be in a pair, one per node.
-    wanted = kept.select("node", "least")
-    texts = docs.join(
-        wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
+    wanted = written(kept.select(F.col("least").alias("doc_id")).distinct(), "wanted")
+    # Texts are not shuffled for the few that are looked for.
+    texts = docs.join(sent(wanted), "doc_id", "left_semi")
     # Nodes all of whose rows have no id are found among the rows without id.
     texts = texts.union(docs.filter("doc_id is null"))
     sets = _sets(texts, width).join(kept.select("node"), "node", "left_semi").dropDuplicates(["node"])

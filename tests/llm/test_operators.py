@@ -33,6 +33,7 @@ from snapfolio.llm import (
     suffix_tree,
     warc,
 )
+from snapfolio.sources import scratch
 from snapfolio.sources.scratch import new_folder
 from tests.compare import connect, differences
 from tests.conftest import SF_SMALL
@@ -449,6 +450,33 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == closure({x for l in links for x in l}, links)
 
 
+def test_components_of_trees_and_of_groups_joined(spark):
+    """A round has a row per node, and only the groups that links join are looked at again."""
+    trees = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(150, 300)]
+    links = spark.createDataFrame(trees, "a BIGINT, b BIGINT")
+    groups = graph.rooted(links)
+    assert dict(groups.collect()) == closure({x for l in trees for x in l}, trees)
+    more = [(120, 250), (7, 8), (8, 140), (900, 901), (100, 160)]
+    got = graph.joined(groups, spark.createDataFrame(more, "a BIGINT, b BIGINT")).collect()
+    wanted = closure({x for l in trees + more for x in l}, trees + more)
+    assert len(got) == len(wanted) and dict(got) == wanted
+    assert graph.joined(groups, links.limit(0)) is groups
+    assert graph.rooted(links.limit(0)).isEmpty()
+
+
+def test_minhash_does_not_shuffle_texts(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return scratch.written(df, name, **options)
+
+    monkeypatch.setattr(minhash, "written", seen)
+    docs = documents(spark, [(k, prose(k // 2, 60)) for k in range(20)])
+    assert sum(r["kept"] for r in minhash.near_duplicates(docs).collect()) == 10
+    assert "strategy=broadcast" in plans["sets"]
+
+
 # 8
 
 

@@ -1,10 +1,12 @@
 """Where intermediate tables go."""
 
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from snapfolio.sources.scratch import new_folder, scratch_root
+from snapfolio.sources.scratch import CLEANUP, new_folder, passing, scratch_root, sent, written
 
 
 def _session(**conf):
@@ -26,3 +28,49 @@ def test_no_local_folder_on_a_cluster():
 def test_local_folder_only_in_local_mode():
     spark = _session(**{"spark.master": "local[8]", "spark.app.id": "test"})
     assert scratch_root(spark) == scratch_root(spark)
+
+
+def test_passing_tables_are_deleted(spark):
+    with passing() as stay:
+        with passing() as stay_here:
+            gone = written(spark.range(5), "gone")
+            passed = stay_here(written(spark.range(6), "passed"))
+        kept = stay(written(passed.filter("id > 0"), "kept"))
+        assert passed.count() == 6
+    assert kept.count() == 5
+    for table in (gone, passed):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            table.collect()
+    outside = written(kept, "outside")
+    assert outside.count() == 5
+
+
+def test_passing_tables_go_when_a_block_fails(spark):
+    with pytest.raises(RuntimeError, match="stop"), passing():
+        gone = written(spark.range(5), "gone")
+        raise RuntimeError("stop")
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        gone.collect()
+
+
+def test_shuffles_of_written_tables_leave_no_files(spark):
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return str(found.mkString(" ")).count("shuffle_")
+
+    before, was = shuffles(), spark.conf.get(CLEANUP, None)
+    table = written(spark.range(100_000).groupBy(F.col("id") % 1000).agg(F.max("id").alias("m")), "grouped")
+    until = time.time() + 10
+    while shuffles() > before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert spark.conf.get(CLEANUP, None) == was
+    assert table.count() == 1000
+
+
+def test_small_tables_are_sent(spark):
+    wanted = written(spark.range(10), "wanted")
+    plan = spark.range(10**6).join(sent(wanted), "id", "left_semi")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+    plan = spark.range(10**6).join(sent(wanted, 10**9), "id", "left_semi")._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan
