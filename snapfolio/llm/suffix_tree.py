@@ -33,7 +33,7 @@ from pyspark.taskcontext import TaskContext
 
 from snapfolio.llm.langid import held_out
 from snapfolio.llm.words import mix, slices, split_words
-from snapfolio.sources.scratch import written
+from snapfolio.sources.scratch import passing, written
 
 ADDED = 0.1
 #: Occurrences of a context in training texts, whatever their size.
@@ -287,17 +287,26 @@ def scored(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds, fold).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    blocks = written(encoded(rows), "blocks")
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("symbols", "n_train")).alias("j", "s"))
-    asked = asked.select("block", "j", F.col("s.symbols").alias("sym"), F.col("s.n_train").alias("n"))
-    words = written(asked.filter("n > 0").groupBy("sym").agg(F.sum("n").alias("c")), "words")
-    first = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = first["n"] or 0, first["v"]
-    base = n_all + ADDED * (v_all + 1)
-
-    blocks = written(with_counts(blocks, asked, words), "blocks")
-    one = written(_in_all(followers(blocks, least_count, base)), "followers", compression="zstd")
-    blocks = written(with_singles(blocks, _answers(one, _tested(one, least_divergence)), least_count), "blocks")
+    with passing() as stay:
+        return stay(written(_scored(rows, least_count, least_divergence), "scored"))
+
+
+def _scored(rows: DataFrame, least_count: int, least_divergence: float) -> DataFrame:
+    """``scored`` of rows ``doc_id, held_out, text``."""
+    # Tables that a later one takes the place of are deleted on the way.
+    with passing() as stay:
+        with passing() as stay_here:
+            blocks = written(encoded(rows), "blocks")
+            asked = blocks.select("block", F.posexplode(F.arrays_zip("symbols", "n_train")).alias("j", "s"))
+            asked = asked.select("block", "j", F.col("s.symbols").alias("sym"), F.col("s.n_train").alias("n"))
+            words = written(asked.filter("n > 0").groupBy("sym").agg(F.sum("n").alias("c")), "words")
+            first = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+            n_all, v_all = first["n"] or 0, first["v"]
+            base = n_all + ADDED * (v_all + 1)
+            blocks = stay_here(written(with_counts(blocks, asked, words), "blocks"))
+        one = written(_in_all(followers(blocks, least_count, base)), "followers", compression="zstd")
+        told = _answers(one, _tested(one, least_divergence))
+        blocks = stay(written(with_singles(blocks, told, least_count), "blocks"))
     two = written(_in_all(pair_followers(blocks, least_count, base)), "followers", compression="zstd")
     pairs = written(_tested(two, least_divergence, F.first("suffix").alias("suffix")), "pairs")
     # The suffix of a state is a state; answers about words are numbered from -1 downwards.
