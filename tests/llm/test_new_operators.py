@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -15,7 +16,8 @@ from hypothesis import settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapfolio.llm import clustering, fill_middle, line_dedup, line_sketch, oracles, queries, token_counts
+from snapfolio.llm import clustering, fill_middle, graph, line_blocks, line_dedup, line_sketch, oracles, queries, token_counts
+from snapfolio.sources import scratch
 from tests.compare import connect, differences
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import documents, empty, odd, prose
@@ -325,3 +327,87 @@ def test_a_text_of_very_many_lines(spark):
     lines = [f"{i} {prose(i % 50, 6)}" for i in range(100_000)] * 2
     out = line_sketch.left_lines(pd.Series(["\n".join(lines)]), pd.Series([list(range(100_000, 200_000))]))
     assert out[0] == "\n".join(lines[:100_000])
+
+
+def test_lines_are_deduplicated_without_python(spark, monkeypatch):
+    """Of all tables written on the way, and of the result."""
+    plans = []
+    write = scratch.written
+
+    def told(df, name, **options):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, name, **options)
+
+    for module in (line_dedup, graph):
+        monkeypatch.setattr(module, "written", told)
+    lines = [prose(k // 3, 12) + " " + "abc"[k % 3] for k in range(60)]
+    out = line_dedup.dedup_lines(documents(spark, list(enumerate(lines))), wide=True)
+    plans.append(out._jdf.queryExecution().toString())
+    assert len(plans) > 10 and not [p for p in plans if re.search("Python|Pandas|Arrow", p)]
+    assert sum(r["text"] == "" for r in out.collect()) == 40
+
+
+def test_simhash_of_spark_functions(spark):
+    """Against the counts of every bit."""
+    rng = random.Random(7)
+    runs = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in [*range(1, 64), 2, 2, 4]]
+    runs[-1] = [5, 5, -1, 0]
+    rows = spark.createDataFrame([(r,) for r in runs], "v ARRAY<BIGINT>")
+    got = [r[0] for r in rows.select(line_blocks.simhash(F.col("v"), F.size("v"))).collect()]
+    for run, simhash in zip(runs, got, strict=True):
+        wanted = sum((2 * sum(x >> i & 1 for x in run) > len(run)) << i for i in range(64))
+        assert simhash % (1 << 64) == wanted
+
+
+def test_blocks_of_spark_functions_are_shared_by_similar_lines(spark):
+    """As often as those of the Arrow form, against all pairs of lines and words replaced; and as many as those."""
+    norm = _lines(spark, SF_SMALL)
+    near = _similar(spark, norm)
+    rng, pairs = random.Random(3), []
+    for n in range(5, 120):
+        words = prose(7 * n, n).split()
+        at = rng.randrange(n)
+        pairs.append((" ".join(words), " ".join([*words[:at], "zzz", *words[at + 1 :]])))
+    every = [*norm, *[x for pair in pairs for x in pair]]
+    rows = spark.createDataFrame(list(enumerate(every)), "i INT, x STRING").select("i", line_blocks.blocks(F.col("x")))
+    buckets = [set(r[1]) for r in sorted(rows.collect())]
+    assert sum(bool(buckets[a] & buckets[b]) for a, b in near) >= 0.9 * len(near)
+    changed = buckets[len(norm) :]
+    assert sum(bool(a & b) for a, b in zip(changed[::2], changed[1::2], strict=True)) >= 0.97 * len(pairs)
+    arrow = sum(len(b) for b in line_sketch.blocks(pa.array(every)).to_pylist())
+    assert 0.95 * arrow < sum(len(b) for b in buckets) < 1.05 * arrow
+
+
+def test_bitmaps_of_spark_functions_never_rule_out_similar_lines(spark):
+    rng, lines, most = random.Random(11), [], []
+    for _ in range(150):
+        line = prose(rng.randrange(10_000), rng.randrange(5, 60))
+        edits = max(1, len(line) // 10)
+        changed = list(line)
+        for _ in range(rng.randint(1, edits)):
+            at = rng.randrange(len(changed))
+            changed[at : at + 1] = rng.choice([[], ["q"], [changed[at], "é"], ["🙂"]])
+        lines += [line, "".join(changed)]
+        most.append(4 * edits)
+    rows = spark.createDataFrame([*enumerate(lines), (len(lines), "x")], "node BIGINT, norm STRING")
+    found = {r["node"]: [v % (1 << 64) for v in r[1:]] for r in line_blocks.parities(rows).collect()}
+    assert len(found) == len(lines) + 1 and not any(found[len(lines)])
+    for k, limit in enumerate(most):
+        assert sum((a ^ b).bit_count() for a, b in zip(found[2 * k], found[2 * k + 1], strict=True)) <= limit
+    odd = sum(v.bit_count() for v in found[0])
+    pairs = collections.Counter(zip(lines[0], lines[0][1:], strict=False))
+    assert 0 < odd <= sum(n % 2 for n in pairs.values())
+
+
+def test_lines_left_of_a_text_of_very_many(spark):
+    lines = [f"{i} {prose(i % 50, 6)}" for i in range(100_000)] * 2
+    rows = [("\n".join(lines), list(range(100_000, 200_000))), ("a\n\nb\n", [0]), ("a", [0]), ("\n", [5])]
+    docs = spark.createDataFrame(rows, "text STRING, gone ARRAY<INT>").coalesce(1)
+    out = [r[0] for r in docs.select(line_blocks.left_lines(F.col("text"), F.col("gone"))).collect()]
+    assert out == ["\n".join(lines[:100_000]), "\nb\n", "", "\n"]
+
+
+def test_a_line_of_very_many_words(spark):
+    line = " ".join(f"w{i}" for i in range(200_000))
+    rows = spark.createDataFrame([(line,)], "x STRING").select(F.size(line_blocks.blocks(F.col("x"))))
+    assert rows.first()[0] > 30_000
