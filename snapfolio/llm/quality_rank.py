@@ -37,7 +37,7 @@ BLOCK, LEAST = 512, 16
 BINS = 4096
 #: Weight of the squares in the loss.
 RIDGE = 1e-3
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 FEATURES = (
     "capitals", "signs", "bars", "marks", "digits", "stops", "lines",
