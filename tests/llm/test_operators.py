@@ -147,6 +147,44 @@ def test_suffix_tree_by_hand(spark):
         assert r["score"] == pytest.approx(score)
 
 
+def test_suffix_tree_split_contexts(spark):
+    """Contexts dealt onto several shards by their tokens, over several blocks, give the same scores."""
+    texts = [(i, prose(i, 300)) for i in range(60)] + [(60, None), (61, ""), (62, "the")]
+    docs = documents(spark, texts).repartition(5, "doc_id")
+
+    def scores(**more):
+        rows = suffix_tree.scored(docs, least_count=5, least_divergence=0.001, **more).collect()
+        return {r["doc_id"]: r for r in rows}
+
+    whole, split = scores(), scores(split=20)
+    assert whole.keys() == split.keys() and sum(r["n_in_states"] for r in whole.values()) > 1000
+    for k, r in whole.items():
+        assert r["n_in_states"] == split[k]["n_in_states"]
+        assert r["score"] == pytest.approx(split[k]["score"], rel=1e-12)
+
+
+def test_suffix_tree_sends_packed_rows(spark, monkeypatch):
+    """What blocks send, and what they are told, is a row per block and shard, not per (context, token)."""
+    rows_of = defaultdict(list)
+
+    def kept(df, name, **options):
+        out = scratch.written(df, name, **options)
+        rows_of[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", kept)
+    docs = documents(spark, [(i, prose(i, 2000)) for i in range(40)]).coalesce(1)
+    rows = suffix_tree.scored(docs, least_count=5).collect()
+    assert sum(r["n_in_states"] for r in rows) > 1000
+    # A row for the block and one for the states, of two words at most, of each shard.
+    assert len(rows_of["summed"]) == 2 and max(rows_of["summed"]) <= 2 * suffix_tree.FEWEST_SHARDS
+
+
+def test_suffix_tree_packs_any_longs():
+    arrays = [np.array([0, -1, 2**63 - 1, -(2**63)]), np.zeros(0, dtype=np.int64), np.arange(70_000)]
+    assert all((a == b).all() for a, b in zip(arrays, suffix_tree._unpack(suffix_tree._pack(*arrays)), strict=True))
+
+
 # 2
 
 
