@@ -57,8 +57,9 @@ BLOCKS = (
     "block BIGINT, doc_id ARRAY<BIGINT>, held_out ARRAY<BOOLEAN>, n ARRAY<INT>, codes BINARY, "
     "symbols ARRAY<BIGINT>, n_train ARRAY<INT>"
 )
-COUNTED = BLOCKS.replace("n_train ARRAY<INT>", "counts ARRAY<BIGINT>")
-TOLD = COUNTED + ", in_all ARRAY<BIGINT>, kinds ARRAY<BIGINT>, state ARRAY<BOOLEAN>"
+#: ``counts`` and ``told`` are packed.
+COUNTED = BLOCKS.replace("n_train ARRAY<INT>", "counts BINARY")
+TOLD = COUNTED + ", told BINARY"
 SENT = "block BIGINT, shard INT, packed BINARY"
 #: Rows for a block: its counts, and which of its contexts are split; rows without block: of split contexts the
 #: distributions, of others the suffixes of states.
@@ -150,9 +151,14 @@ def _trigrams(codes, n, use, which, in_all, least: int, size: int):
 
 
 def _columns(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
-    """Columns of one block, the tokens' numbers and the texts' lengths first."""
-    n, *out = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("n", *names)]
-    return [_unpacked(batch.column("codes")[i].as_py(), int(n.sum())).astype(np.int64), n, *out]
+    """Columns of one block, the tokens' numbers and the texts' lengths first. Those packed are unpacked, ``told`` into
+    three: ``in_all``, ``kinds`` and ``state``."""
+    n = batch.column("n")[i].values.to_numpy(zero_copy_only=False)
+    out = [_unpacked(batch.column("codes")[i].as_py(), int(n.sum())).astype(np.int64), n]
+    for name in names:
+        value = batch.column(name)[i]
+        out += _unpack(value.as_py()) if name in ("counts", "told") else [value.values.to_numpy(zero_copy_only=False)]
+    return out
 
 
 class Shards(NamedTuple):
@@ -176,20 +182,26 @@ def _dealt(ctx, sym, total, shards: Shards) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of longs, each by its first, second, … bytes, compressed."""
-    codec = pa.Codec("zstd", compression_level=1)
-    planes = [np.asarray(a, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
-    packed = [codec.compress(x, asbytes=True) for x in planes]
-    sizes = np.array([(len(a), len(x)) for a, x in zip(arrays, packed, strict=True)], dtype="<i8")
-    return b"".join([len(arrays).to_bytes(8, "little"), sizes.tobytes(), *packed])
+    """Arrays of longs, each by its first, second, … bytes, as many as it needs, compressed."""
+    codec, sizes, parts = pa.Codec("zstd", compression_level=1), [], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, dtype="<i8")
+        # Negative numbers need all bytes.
+        width = max(1, (int(a.view("<u8").max()).bit_length() + 7) // 8) if len(a) else 0
+        parts.append(codec.compress(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), asbytes=True))
+        sizes.append((len(a), width, len(parts[-1])))
+    return b"".join([len(arrays).to_bytes(8, "little"), np.array(sizes, dtype="<i8").tobytes(), *parts])
 
 
 def _unpack(packed: bytes) -> list[np.ndarray]:
     codec, many = pa.Codec("zstd"), int.from_bytes(packed[:8], "little")
-    at, out = 8 + 16 * many, []
-    for n, size in np.frombuffer(packed, dtype="<i8", count=2 * many, offset=8).reshape(-1, 2).tolist():
-        planes = codec.decompress(packed[at : at + size], decompressed_size=8 * n, asbytes=True) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T).view("<i8").ravel())
+    at, out = 8 + 24 * many, []
+    for n, width, size in np.frombuffer(packed, dtype="<i8", count=3 * many, offset=8).reshape(-1, 3).tolist():
+        numbers = np.zeros((n, 8), dtype=np.uint8)
+        if n:
+            planes = codec.decompress(packed[at : at + size], decompressed_size=width * n, asbytes=True)
+            numbers[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, n).T
+        out.append(numbers.view("<i8").ravel())
         at += size
     return out
 
@@ -230,17 +242,18 @@ def _in_all(
         del parts
         (ctx, total, suffix, *known), (sym, own, *counted) = values[:of_contexts], values[of_contexts:]
         contexts, first_run, which_ctx = np.unique(ctx, return_index=True, return_inverse=True)
-        symbols, number = np.unique(sym, return_inverse=True)
-        key = np.repeat(which_ctx, sizes) * len(symbols) + number
-        del sym, symbols, number
-        grams, at, which = np.unique(key, return_index=True, return_inverse=True)
+        key = mix(np.repeat(which_ctx, sizes).view(np.uint64), sym.view(np.uint64))
+        del sym
+        grams, which = np.unique(key, return_inverse=True)
         del key
-        c = np.zeros(len(grams), dtype=np.int64)
-        np.add.at(c, which, own)
+        at = np.zeros(len(grams), dtype=np.int64)
+        # Any place of a gram has what is known of it.
+        at[which] = np.arange(len(which))
+        del grams
+        c = np.bincount(which, own, minlength=len(at)).astype(np.int64)
         run_of = np.repeat(np.arange(len(ctx)), sizes)[at]
         p = probability([v[run_of] for v in known], [v[at] for v in counted])
         seen = np.flatnonzero(c > 0)
-        # The grams are in the order of contexts.
         of, c_seen, p_seen = which_ctx[run_of[seen]], c[seen], p[seen]
         kinds = np.bincount(of, minlength=len(contexts))
         all_of = np.bincount(of, c_seen, minlength=len(contexts))
@@ -352,9 +365,8 @@ def with_counts(blocks: DataFrame, asked: DataFrame, words: DataFrame) -> DataFr
         j = right.column("j").to_numpy()
         counts[j], symbols[j] = right.column("c").to_numpy(), right.column("number").to_numpy()
         left = left.drop_columns(["symbols", "n_train"])
-        for name, values in (("symbols", symbols), ("counts", counts)):
-            left = left.append_column(name, pa.chunked_array([_one_list(values)]))
-        return left
+        left = left.append_column("symbols", pa.chunked_array([_one_list(symbols)]))
+        return left.append_column("counts", pa.array([_pack(counts)], pa.binary()))
 
     # A block is not told of words that only it has.
     elsewhere = asked.join(words.filter("blocks > 1"), "sym")
@@ -382,8 +394,8 @@ def followers(blocks: DataFrame, least: int, shards: Shards) -> DataFrame:
 
 
 def with_singles(blocks: DataFrame, answers: DataFrame, least: int, shards: Shards) -> DataFrame:
-    """The blocks with what they are told of single words: ``in_all`` has the training count of each (word, token),
-    ``kinds`` and ``state`` concern the words."""
+    """The blocks with what they are told of single words, packed: ``in_all`` has the training count of each (word,
+    token), ``kinds`` and ``state`` concern the words."""
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.combine_chunks().to_batches()[0]
@@ -394,9 +406,7 @@ def with_singles(blocks: DataFrame, answers: DataFrame, least: int, shards: Shar
         kinds_of, state_of = np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=bool)
         at = ctx[order[runs]]
         kinds_of[at], state_of[at] = kinds, state
-        for name, values in (("in_all", c), ("kinds", kinds_of), ("state", state_of)):
-            left = left.append_column(name, pa.chunked_array([_one_list(values)]))
-        return left
+        return left.append_column("told", pa.array([_pack(c, kinds_of, state_of)], pa.binary()))
 
     return _told(blocks, answers, tell, TOLD)
 
@@ -413,8 +423,8 @@ def pair_followers(blocks: DataFrame, least: int, shards: Shards) -> DataFrame:
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, n, symbols, counts, held, in_all, kinds = _columns(
-                    batch, i, "symbols", "counts", "held_out", "in_all", "kinds"
+                codes, n, symbols, counts, held, in_all, kinds, _ = _columns(
+                    batch, i, "symbols", "counts", "held_out", "told"
                 )
                 use, word, later, which = _bigrams(codes, n, counts, least)
                 pair, use, ctx, code, which = _trigrams(codes, n, use, which, in_all, least, len(counts))
@@ -434,7 +444,7 @@ def pair_followers(blocks: DataFrame, least: int, shards: Shards) -> DataFrame:
                     shards,
                 )
 
-    columns = blocks.select("block", "codes", "n", "symbols", "counts", "held_out", "in_all", "kinds")
+    columns = blocks.select("block", "codes", "n", "symbols", "counts", "held_out", "told")
     return columns.mapInArrow(follow, SENT)
 
 
@@ -508,10 +518,8 @@ def _scored(rows: DataFrame, least_count: int, least_divergence: float, split: i
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = left.combine_chunks().to_batches()[0]
-        codes, n, symbols, counts, in_all, kinds, state = _columns(
-            batch, 0, "symbols", "counts", "in_all", "kinds", "state"
-        )
-        state = state.copy()
+        codes, n, symbols, counts, in_all, kinds, state = _columns(batch, 0, "symbols", "counts", "told")
+        state = state.astype(bool)
         state[right.filter(pc.is_null(right.column("shard"))).column("j").to_numpy()] = True
         use, word, later, which = _bigrams(codes, n, counts, least_count)
         _, use_two, pair, code, which_two = _trigrams(codes, n, use, which, in_all, least_count, len(counts))
