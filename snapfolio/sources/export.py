@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -378,12 +379,23 @@ def write_named_files(records: DataFrame, path: str, spec: DatasetSpec, run: str
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"no files of format {fmt!r}")
+    fs, _ = _hadoop_path(records.sparkSession, path)
+    _, whole = _hadoop_path(records.sparkSession, f"{path}/_files/_SUCCESS")
+    if fs.exists(whole):
+        raise ValueError(f"{path} already exists")
+    # Every symbol has one name and every name, being reversible, one symbol.
+    symbol, name = F.coalesce("symbol", F.lit(NO_SYMBOL)), file_name(F.col("symbol"), spec, run, fmt)
+    _write_files(records, path, symbol, F.coalesce(name, F.lit(NO_SYMBOL)), fmt)
+
+
+def _write_files(
+    records: DataFrame, path: str, symbol: Column, name: Column, fmt: str, most: int | None = None
+) -> None:
+    """A file ``name`` below ``path`` of the rows of every ``symbol``, or files ``{name}-00000.{fmt}`` and so on of ``most``
+    rows each, and the table ``_files`` of them."""
     spark = records.sparkSession
     fs, target = _hadoop_path(spark, path)
-    _, whole = _hadoop_path(spark, f"{path}/_files/_SUCCESS")
     _, staged = _hadoop_path(spark, f"{path}/_staged")
-    if fs.exists(whole):
-        raise ValueError(f"{path} already exists")
     fs.delete(staged, True)
     fs.mkdirs(staged)
     uri, folder = str(target.toUri()), target.toUri().getPath()
@@ -394,49 +406,64 @@ def write_named_files(records: DataFrame, path: str, spec: DatasetSpec, run: str
     if fmt == "csv":
         titles = F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(names)])
         header = spark.range(1).select(F.to_csv(titles, CSV_OPTIONS)).first()[0]
-    # Every symbol has one name and every name, being reversible, one symbol.
-    symbol, name = F.coalesce("symbol", F.lit(NO_SYMBOL)), file_name(F.col("symbol"), spec, run, fmt)
     content = [F.to_csv(F.struct(*columns), CSV_OPTIONS).alias("line")] if fmt == "csv" else columns
     rows = (
         _spread(flat)
         .sortWithinPartitions(F.asc("symbol"), *_record_order(flat))
-        .select(symbol.alias("_symbol"), F.coalesce(name, F.lit(NO_SYMBOL)).alias("_name"), *content)
+        .select(symbol.alias("_symbol"), name.alias("_name"), *content)
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _file_system(uri, folder)
+        # A folder of its own, so that tasks do not wait for each other.
+        own = f"{base}/_staged/{uuid.uuid4().hex}"
+        system.create_dir(own)
 
-        def runs() -> Iterator[tuple[tuple[str, str], pa.RecordBatch]]:
+        def runs() -> Iterator[tuple[tuple[str, str], list[str] | pa.RecordBatch]]:
             """The rows of a symbol, in one or more parts that follow one another."""
             for batch in batches:
                 at = 0
                 keys = zip(batch.column("_symbol").to_pylist(), batch.column("_name").to_pylist(), strict=True)
+                plain = batch.drop_columns(["_symbol", "_name"])
+                content = plain.column("line").to_pylist() if fmt == "csv" else plain
                 for key, same in groupby(keys):
                     n = sum(1 for _ in same)
-                    yield key, batch.slice(at, n).drop_columns(["_symbol", "_name"])
+                    yield key, content[at : at + n]
                     at += n
 
+        def files(parts: Iterator[list[str] | pa.RecordBatch]) -> Iterator[tuple[int, list[str] | pa.RecordBatch]]:
+            """The parts of a symbol with the number of their file."""
+            n = 0
+            for part in parts:
+                at = 0
+                while at < len(part):
+                    end = len(part) if most is None else min(len(part), at + most - n % most)
+                    yield 0 if most is None else n // most, part[at:end]
+                    n, at = n + end - at, end
+
         def entered(files: list[tuple[str, str]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in files], pa.string()) for k in (0, 1)], names=["symbol", "file"]
             )
 
         done: list[tuple[str, str]] = []
-        for (of, file), parts in groupby(runs(), lambda r: r[0]):
-            own = f"{base}/_staged/{uuid.uuid4().hex}"
-            with system.open_output_stream(own) as out:
-                if fmt == "csv":
-                    out.write(f"{header}\n".encode())
-                    for _, part in parts:
-                        out.write("".join(f"{line}\n" for line in part.column("line").to_pylist()).encode())
-                else:
-                    tables = [part for _, part in parts]
-                    pa.parquet.write_table(pa.Table.from_batches(tables), out)
-            system.move(own, f"{base}/{file}")
-            done.append((of, file))
-            if len(done) == 1000:
-                yield entered(done)
-                done = []
+        for (of, named), parts in groupby(runs(), lambda r: r[0]):
+            if "/" in named:
+                system.create_dir(f"{base}/{named.rpartition('/')[0]}")
+            for number, pieces in groupby(files(p for _, p in parts), lambda f: f[0]):
+                file = named if most is None else f"{named}-{number:05d}.{fmt}"
+                with system.open_output_stream(f"{own}/file", compression=None) as out:
+                    if fmt == "csv":
+                        out.write(f"{header}\n".encode())
+                        for _, lines in pieces:
+                            out.write("".join([f"{line}\n" for line in lines]).encode())
+                    else:
+                        pa.parquet.write_table(pa.Table.from_batches([piece for _, piece in pieces]), out)
+                system.move(f"{own}/file", f"{base}/{file}")
+                done.append((of, file))
+                if len(done) == 1000:
+                    yield entered(done)
+                    done = []
         yield entered(done)
 
     rows.mapInArrow(write, FILES_DDL).write.mode("overwrite").parquet(f"{path}/_files")
@@ -446,3 +473,62 @@ def write_named_files(records: DataFrame, path: str, spec: DatasetSpec, run: str
 def exported_files(spark: SparkSession, path: str) -> DataFrame:
     """``symbol, file`` of a whole export by ``write_named_files``."""
     return spark.read.schema(FILES_DDL).parquet(f"{path}/_files")
+
+
+#: Records of a file that are one row until Spark reads them, and about how many characters are a batch of rows.
+RECORDS, BATCH_CHARS = 1000, 4 << 20
+
+
+def _csv_records(text: Iterable[str]) -> Iterator[str]:
+    """The records of lines of CSV; a line end within quotes is part of its record."""
+    held: list[str] = []
+    odd = False
+    for line in text:
+        held.append(line)
+        odd ^= line.count('"') % 2 == 1
+        if not odd:
+            record = "".join(held).removesuffix("\n")
+            held = []
+            if record:
+                yield record
+    if held:
+        yield "".join(held)
+
+
+def read_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``symbol, file`` and the columns of ``schema``, those of the files in their order, of every record in the CSV files of a whole
+    export with files by symbol. The tasks open the files that ``_files`` names, and the driver lists none of them: it would
+    otherwise hold each with its size and place. Symbols that are null, and empty ones where folders are named by them, are null."""
+    _, target = _hadoop_path(spark, path)
+    uri, folder = str(target.toUri()), target.toUri().getPath()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _file_system(uri, folder)
+
+        def held(rows: list[tuple[str, str, list[str]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))],
+                names=["symbol", "file", "lines"],
+            )
+
+        rows, chars = [], 0
+        for batch in batches:
+            for of, file in zip(batch.column("symbol").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                with system.open_input_stream(f"{base}/{file}", compression=None) as source:
+                    records = _csv_records(io.TextIOWrapper(source, "utf-8", newline="\n"))
+                    next(records, None)
+                    while lines := list(islice(records, RECORDS)):
+                        rows.append((of, file, lines))
+                        chars += sum(map(len, lines))
+                        if chars > BATCH_CHARS:
+                            yield held(rows)
+                            rows, chars = [], 0
+        yield held(rows)
+
+    # Without a hash in it Spark would merge partitions, by the few bytes of names.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = exported_files(spark, path).repartition(partitions, F.xxhash64("file"))
+    lines = files.mapInArrow(read, f"{FILES_DDL}, lines ARRAY<STRING>")
+    line = F.from_csv("line", schema, {**CSV_OPTIONS, "lineSep": "\n"})
+    rows = lines.select("symbol", "file", F.explode("lines").alias("line")).select("symbol", "file", line.alias("_r"))
+    return rows.select(F.nullif("symbol", F.lit(NO_SYMBOL)).alias("symbol"), "file", "_r.*")

@@ -267,3 +267,57 @@ def test_an_export_by_symbol_is_there_as_a_whole_or_not_at_all(spark, store_of):
     # What failed can be repeated.
     export.write_export(records, path, layout="symbol")
     assert glob.glob(f"{path}/_SUCCESS") and not glob.glob(f"{folder}/news/_staged*")
+
+
+ODD_TEXTS = [*TEXTS, "  blanks ", "cr\rhere", "cr\r\nlf", '"', '""\n"', ",", "\n", "﻿x", "#no comment", "null"]
+
+
+@pytest.mark.parametrize("layout", ["file"])
+def test_files_read_by_the_tasks_hold_what_spark_reads(spark, layout, monkeypatch):
+    # Files of null and empty symbols have names that Spark's readers take for hidden.
+    symbols = ["A", "BRK/B", "a=b", "50%", "é {x}", *([None, ""] if layout == "symbol" else [])]
+    data = [(s, i, t, i / 4 if i % 3 else None) for s in symbols for i, t in enumerate(ODD_TEXTS)]
+    records = spark.createDataFrame(data, "symbol STRING, pos BIGINT, `odd, title` STRING, n DOUBLE")
+    path = f"{new_folder(spark, 'test-exports')}/run=1"
+    if layout == "file":
+        export.write_named_files(records, path, spec_for("news"), "1")
+    else:
+        export.write_export(records, path, layout="symbol", max_records_per_file=4)
+    schema = "pos BIGINT, title STRING, n DOUBLE"
+    listed = spark.read.options(**export.CSV_OPTIONS)
+    if layout == "symbol":
+        wanted = listed.schema(f"{schema}, symbol STRING").csv(path).select("symbol", "pos", "title", "n")
+    else:
+        wanted = listed.schema(schema).csv(path).select("pos", "title", "n")
+    wanted = sorted(map(str, wanted.collect()))
+    for name, value in (("RECORDS", 3), ("BATCH_CHARS", 20)):
+        monkeypatch.setattr(export, name, value)
+    read = export.read_files(spark, path, schema)
+    assert sorted(map(str, read.select(*["symbol"][: layout == "symbol"], "pos", "title", "n").collect())) == wanted
+    assert len(wanted) == len(data)
+    files = {r["file"] for r in read.select("file").distinct().collect()}
+    on_disk = glob.glob(f"{path}/**/*.csv", recursive=True)
+    assert files == {f.removeprefix(f"{path}/") for f in on_disk}
+    if layout == "symbol":
+        # Null and empty symbols share a folder.
+        assert {r["symbol"] for r in read.select("symbol").distinct().collect()} == {*symbols} - {""}
+        sizes = [r["n"] for r in read.groupBy("file").agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) == 4 and sum(sizes) == len(data)
+
+
+def test_an_export_without_records_is_read(spark, store_of):
+    folder, store = new_folder(spark, "test-exports"), _news(store_of).filter("symbol = 'none'")
+    for layout in ("file",):
+        path = export.export_all_keys(store, spec_for("news"), folder, layout, layout=layout)
+        assert export.read_files(spark, path, "pos BIGINT").collect() == []
+
+
+@pytest.mark.parametrize("name", ["export_named_files"])
+def test_the_driver_lists_no_exported_file(spark, name):
+    """Only the table of files, however many there are."""
+    from tests.conftest import SF_SMALL
+    from workloads.queries import queries
+
+    read = queries()[name](spark, SF_SMALL)
+    assert read.inputFiles() and all("/_files/" in f for f in read.inputFiles())
+    assert read.count() > 0

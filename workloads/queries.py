@@ -358,10 +358,9 @@ def export_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = export.export_all_keys(
         fixtures.snapshots(spark, sf_dir, "marketcap"), spec, folder, run, layout="file", only_declared=True, **ONCE
     )
-    schema = _record_schema(spec, "pos BIGINT")
-    read = spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
-    name = F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -1)
-    return read.select(name.alias("file"), "pos", *spec.keys)
+    read = export.read_files(spark, path, _record_schema(spec, "pos BIGINT"))
+    # Names that Spark's readers of files take for hidden, as those of null symbols, are left out here as well.
+    return read.filter(~F.col("file").rlike("^[_.]")).select("file", "pos", *spec.keys)
 
 
 def export_path(spark: SparkSession, sf_dir: str) -> DataFrame:
