@@ -121,32 +121,37 @@ def type_of_kinds(kinds: int) -> str:
 
 
 def _found_types(latest: DataFrame, spec: DatasetSpec, part: str) -> dict[str, str]:
-    """The distinct keys of all records, in order, and the type that all values of a key have.
+    """The distinct keys of all records that have no declared type, in order, and the type that all values of a key have.
 
     One job; only names and types come to the driver, as many as columns are made. A payload that has no exact
     VARIANT (one that repeats a key within an object, or is beyond 16 MB) counts as text.
     """
     raw, values = F.col("raw_data"), "MAP<STRING, VARIANT>"
+    declared = [f.key for f in spec.fields] if part == "own" else []
     if spec.shape != NESTED_OBJECT:
         typed = decode_payload(raw, f"ARRAY<{values}>")
     elif part == "own":
         typed = F.array(decode_payload(raw, f"STRUCT<`{spec.member}`: {values}>")[spec.member])
     else:
         typed = F.array(decode_payload(raw, values))
-    # The texts tell which keys there are, the variants of what kind; one record is one place in both.
-    texts = _whole_records(latest.withColumn("_typed", typed), spec, "_typed")
-    none = F.array().cast("array<struct<key:string,kind:int>>")
+
+    def others(record: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.coalesce(F.filter(F.map_keys(record[part]), lambda k: ~k.isin(declared)), none)
+
+    # The texts tell which keys there are, the variants of what kind; one record is one place in both. Payloads are
+    # only decoded again if they have other keys than declared ones.
+    texts = _whole_records(latest, spec, "raw_data").withColumn(
+        "_typed", F.when(F.exists("_records", lambda r: F.size(others(r)) > 0), typed)
+    )
 
     def kinds(record: Column, at: Column) -> Column:
         known = F.get("_typed", at)
-        return F.coalesce(
-            F.transform(
-                F.map_keys(record[part]),
-                lambda k: F.struct(
-                    k.alias("key"), F.coalesce(_kind(F.try_element_at(known, k)), F.lit(TEXT)).alias("kind")
-                ),
+        return F.transform(
+            others(record),
+            lambda k: F.struct(
+                k.alias("key"), F.coalesce(_kind(F.try_element_at(known, k)), F.lit(TEXT)).alias("kind")
             ),
-            none,
         )
 
     entries = F.array_distinct(F.flatten(F.transform("_records", kinds)))
@@ -288,32 +293,43 @@ def write_export(
 
     ``layout="symbol"`` makes a folder and file per symbol; its cost is the number of
     files, so the symbols are spread over all shuffle partitions. Their tasks put the files in place, in a folder beside
-    ``path`` that gets its name by one rename: the export is there as a whole or not at all. ``layout="flat"`` keeps
+    ``path`` that gets its name by one rename: the export is there as a whole or not at all. CSV files are written as
+    ``write_named_files`` does and entered in ``_files``, those of other formats by Spark's writer, which takes several times as
+    long for a file. ``layout="flat"`` keeps
     ``symbol`` as a column, shuffles nothing and is the one to use for very many symbols. The rows of a symbol come
     from one payload, hence one task, and are written in payload order.
     """
     if layout not in ("flat", "symbol"):  # "file" is ``write_named_files``
         raise ValueError(f"unknown layout {layout!r}")
-    rows = _flat_columns(records) if fmt == "csv" else records
-    if layout == "symbol":
-        rows = _spread(rows)
-    rows = rows.sortWithinPartitions(F.asc("symbol"), *_record_order(rows))
-    writer = (
-        rows.write.mode("errorifexists")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .options(**(CSV_OPTIONS if fmt == "csv" else {}))
-        .format(fmt)
-    )
+
+    def save(rows: DataFrame, to: str, *by: str) -> None:
+        rows = rows.sortWithinPartitions(F.asc("symbol"), *_record_order(rows))
+        writer = (
+            rows.write.mode("errorifexists")
+            .option("maxRecordsPerFile", max_records_per_file)
+            # Otherwise the driver alone moves all files once the tasks are done.
+            .options(**({"mapreduce.fileoutputcommitter.algorithm.version": "2"} if by else {}))
+            .options(**(CSV_OPTIONS if fmt == "csv" else {}))
+            .format(fmt)
+        )
+        (writer.partitionBy(*by) if by else writer).save(to)
+
     if layout == "flat":
-        writer.save(path)
+        save(_flat_columns(records) if fmt == "csv" else records, path)
         return
     fs, target = _hadoop_path(records.sparkSession, path)
     if fs.exists(target):
         raise ValueError(f"{path} already exists")
     _, staged = _hadoop_path(records.sparkSession, f"{target.getParent()}/_staged-{uuid.uuid4().hex}")
     try:
-        # Otherwise the driver alone moves all files once the tasks are done.
-        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("symbol").save(str(staged))
+        if fmt == "csv":
+            # An empty symbol is in the folder of null, as partitions are.
+            named = records.withColumn("symbol", F.coalesce(F.nullif("symbol", F.lit("")), F.lit(NO_SYMBOL)))
+            name = F.concat(F.lit("symbol="), folder_name(F.col("symbol")), F.lit("/part"))
+            _write_files(named, str(staged), F.col("symbol"), name, fmt, max_records_per_file)
+            fs.create(records.sparkSession._jvm.org.apache.hadoop.fs.Path(staged, "_SUCCESS")).close()
+        else:
+            save(_spread(records), str(staged), "symbol")
         if fs.exists(target) or not fs.rename(staged, target):
             raise OSError(f"cannot name {path}, or it already exists")
     finally:
@@ -471,7 +487,7 @@ def _write_files(
 
 
 def exported_files(spark: SparkSession, path: str) -> DataFrame:
-    """``symbol, file`` of a whole export by ``write_named_files``."""
+    """``symbol, file`` of a whole export by ``write_named_files``, or by symbol as CSV."""
     return spark.read.schema(FILES_DDL).parquet(f"{path}/_files")
 
 

@@ -272,7 +272,7 @@ def test_an_export_by_symbol_is_there_as_a_whole_or_not_at_all(spark, store_of):
 ODD_TEXTS = [*TEXTS, "  blanks ", "cr\rhere", "cr\r\nlf", '"', '""\n"', ",", "\n", "﻿x", "#no comment", "null"]
 
 
-@pytest.mark.parametrize("layout", ["file"])
+@pytest.mark.parametrize("layout", ["file", "symbol"])
 def test_files_read_by_the_tasks_hold_what_spark_reads(spark, layout, monkeypatch):
     # Files of null and empty symbols have names that Spark's readers take for hidden.
     symbols = ["A", "BRK/B", "a=b", "50%", "é {x}", *([None, ""] if layout == "symbol" else [])]
@@ -307,12 +307,12 @@ def test_files_read_by_the_tasks_hold_what_spark_reads(spark, layout, monkeypatc
 
 def test_an_export_without_records_is_read(spark, store_of):
     folder, store = new_folder(spark, "test-exports"), _news(store_of).filter("symbol = 'none'")
-    for layout in ("file",):
+    for layout in ("file", "symbol"):
         path = export.export_all_keys(store, spec_for("news"), folder, layout, layout=layout)
         assert export.read_files(spark, path, "pos BIGINT").collect() == []
 
 
-@pytest.mark.parametrize("name", ["export_named_files"])
+@pytest.mark.parametrize("name", ["export_all_keys", "export_named_files"])
 def test_the_driver_lists_no_exported_file(spark, name):
     """Only the table of files, however many there are."""
     from tests.conftest import SF_SMALL
@@ -321,3 +321,12 @@ def test_the_driver_lists_no_exported_file(spark, name):
     read = queries()[name](spark, SF_SMALL)
     assert read.inputFiles() and all("/_files/" in f for f in read.inputFiles())
     assert read.count() > 0
+
+
+def test_declared_keys_are_not_decoded_again(store_of):
+    """Their types are known; a kind is only looked up of others."""
+    body = [{"date": "x", "currentRatio": 1, "other": 2}, {"date": "y", "other": 2.5}, {"date": None}]
+    store = store_of((1, "ratios", "A", "2024-01-01", json.dumps(body)), (2, "ratios", "B", "2024-01-01", '[{"date":"z"}]'))
+    latest = store.select("symbol", "raw_data")
+    assert export._found_types(latest, spec_for("ratios"), "own") == {"other": "DOUBLE"}
+    assert export._found_types(latest.filter("symbol = 'B'"), spec_for("ratios"), "own") == {}

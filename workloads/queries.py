@@ -348,8 +348,7 @@ def export_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         fixtures.snapshots(spark, sf_dir, "cashflow"), spec, new_folder(spark, "exports"),
         run="20240601_120000", **ONCE,
     )
-    schema = _record_schema(spec, "pos BIGINT") + ", symbol STRING"
-    return spark.read.options(**export.CSV_OPTIONS).schema(schema).csv(path)
+    return export.read_files(spark, path, _record_schema(spec, "pos BIGINT")).select("pos", *spec.keys, "symbol")
 
 
 def export_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
