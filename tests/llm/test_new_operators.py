@@ -413,3 +413,28 @@ def test_a_line_of_very_many_words(spark):
     line = " ".join(f"w{i}" for i in range(200_000))
     rows = spark.createDataFrame([(line,)], "x STRING").select(F.size(line_blocks.blocks(F.col("x"))))
     assert rows.first()[0] > 30_000
+
+
+def test_lines_are_similar_by_their_edit_distance(spark):
+    """Without the words at both ends and word by word as by Spark's function over whole lines."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 6)))
+    pairs = [("a", "a"), ("a", "b"), ("x y", "x z y"), ("x x", "x x x"), ("a b", "ab"), ("漢字かな", "漢字カな"), ("a b c", "b c a"), ("a", "a b")]
+    for _ in range(400):
+        line = [word() for _ in range(rng.randint(1, 25))]
+        other = list(line)
+        for _ in range(rng.randint(0, 4)):
+            at, kind = rng.randrange(len(other)), rng.random()
+            other[at : at + 1] = [word()] if kind < 0.5 else [word(), other[at]] if kind < 0.75 else []
+            other = other or ["a"]
+        pairs.append((" ".join(line), " ".join(other)))
+    rows = spark.createDataFrame(pairs, "a STRING, b STRING").withColumn("most", F.explode(F.array(*map(F.lit, (0, 1, 3, 6, 12)))))
+    got = rows.select(
+        (F.levenshtein("a", "b") <= F.col("most")).alias("wanted"), line_blocks.within(F.col("a"), F.col("b"), F.col("most")).alias("got")
+    ).collect()
+    assert all(r["got"] == r["wanted"] for r in got) and {r["got"] for r in got} == {True, False}
+    long = [word() for _ in range(60_000)]
+    pair = [(" ".join(long), " ".join([*long[:30_000], "other", *long[30_001:59_999], "end"]))]
+    # All of both lines would be 180,000 letters in a band of 36,000.
+    most = F.floor(F.length("a") / 10).cast("int")
+    assert spark.createDataFrame(pair, "a STRING, b STRING").select(line_blocks.within(F.col("a"), F.col("b"), most)).first()[0]
